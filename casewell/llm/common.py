@@ -64,3 +64,26 @@ def crc32_text(column: str = "text") -> Column:
 
 def pieces_for(rows: int, per_piece: int) -> int:
     return max(1, -(-rows // per_piece))
+
+
+def slices(batch, column: int, most: int = 8 << 20):
+    """Parts of an Arrow batch whose texts in ``column`` have about ``most`` bytes at most; a longer text is alone."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def with_row_id(docs: DataFrame) -> DataFrame:
+    """``docs`` with columns file_no and row_no that tell its rows apart, repeated ones too; the same in every scan."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return docs.select("*", F.xxhash64("_metadata.file_path").alias("file_no"), F.col("_metadata.row_index").alias("row_no"))
+    except AnalysisException:  # not a scan of files
+        return with_row_id(saved(docs, "rows"))

@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_sharding, op2_token_tables
+from . import op1_sharding, op2_token_tables, op6_quality_rules, op7_mixing, op10_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_bin_sharding": op1_sharding.query,
     "op2_token_tables": op2_token_tables.query,
+    "op6_quality_rules": op6_quality_rules.query,
+    "op7_source_mixing": op7_mixing.query,
+    "op10_token_counts": op10_token_counts.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": op6_quality_rules.ORACLE_SQL}
