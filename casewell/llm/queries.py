@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_sharding, op2_token_tables, op4_toxicity, op6_quality_rules, op7_mixing, op8_multiprobe, op10_token_counts
+from . import op1_sharding, op2_token_tables, op4_toxicity, op6_quality_rules, op7_mixing, op8_multiprobe, op9_jaccard_join, op10_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_bin_sharding": op1_sharding.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules.query,
     "op7_source_mixing": op7_mixing.query,
     "op8_multiprobe_neighbours": op8_multiprobe.query,
+    "op9_jaccard_forest": op9_jaccard_join.query,
     "op10_token_counts": op10_token_counts.query,
 }
 
