@@ -144,3 +144,44 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mix.rows.join(mix.taken(), ["file_no", "row_no"], "left")
     sources = mix.sources.select("source_no", "source_size", "target")
     return rows.join(sources, "source_no").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def _cut(batches, columns: int):
+    """Texts cut to the taken ranges of words; a range is (from, to)."""
+    import re
+
+    import pyarrow as pa
+
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    for batch in batches:
+        texts, ranges, sizes = (batch.column(columns + k).to_pylist() for k in (-3, -2, -1))
+        out = []
+        for text, parts, size in zip(texts, ranges, sizes):
+            merged: list[list[int]] = []
+            for a, n in sorted((p["from_word"], p["words"]) for p in parts):
+                if merged and merged[-1][1] == a:
+                    merged[-1][1] = a + n
+                else:
+                    merged.append([a, a + n])
+            if merged == [[0, size]]:
+                out.append(text)
+                continue
+            at = [m.span() for m in word.finditer(text)]
+            out.append("\n".join(text[at[a][0] : at[b - 1][1]] for a, b in merged))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(out, pa.string())], [*batch.schema.names[:-3], "text_"])
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row per document and pass over its source, with the words that the drawn blocks take of it."""
+    mix = Mix(docs)
+    parts = mix.drawn().groupBy("file_no", "row_no", "turn").agg(F.collect_list(F.struct("from_word", "words")).alias("parts"))
+    parts = parts.join(mix.rows.select("file_no", "row_no", "size"), ["file_no", "row_no"])
+    rows = with_row_id(docs).join(parts, ["file_no", "row_no"])
+    names = [c for c in docs.columns if c != "text"]
+    rows = rows.select(*names, "text", "parts", "size")
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
+    width = len(names) + 3
+    cut = rows.mapInArrow(lambda batches: _cut(batches, width), f"{schema}, text_ string").withColumnRenamed("text_", "text")
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return cut.select(*docs.columns)

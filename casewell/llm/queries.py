@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_sharding, op2_token_tables, op4_toxicity, op6_quality_rules, op7_mixing, op8_multiprobe, op9_jaccard_join, op10_token_counts
+from . import op1_sharding, op2_token_tables, op3_packing, op4_toxicity, op5_line_dedup, op6_quality_rules, op7_mixing, op8_multiprobe, op9_jaccard_join, op10_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_bin_sharding": op1_sharding.query,
     "op2_token_tables": op2_token_tables.query,
+    "op3_conflict_packing": op3_packing.query,
     "op4_weak_toxicity": op4_toxicity.query,
+    "op5_line_edit_join": op5_line_dedup.query,
     "op6_quality_rules": op6_quality_rules.query,
     "op7_source_mixing": op7_mixing.query,
     "op8_multiprobe_neighbours": op8_multiprobe.query,
@@ -19,4 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_quality_rules": op6_quality_rules.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_edit_join": op5_line_dedup.ORACLE_SQL,
+    "op6_quality_rules": op6_quality_rules.ORACLE_SQL,
+}
