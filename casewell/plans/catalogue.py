@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import decision_plans, metric_plans, text_plans, thread_plans, vector_plans
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "decision_plans", "metric_plans", "text_plans", "thread_plans", "vector_plans"]
