@@ -150,7 +150,7 @@ def spearman(rows: DataFrame, by: list[str] = ()) -> DataFrame:
         below = Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow) if by else Window.orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         ranks = per.select(*by, c, (F.sum("c_").over(below) - (F.col("c_") - 1) / 2).alias(f"r{c}"))
         ranked = ranked.join(ranks, [*by, c])
-    sums = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho"), F.avg(F.col("b") - F.col("a")).alias("mean_bias"), F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1"))
+    sums = ranked.groupBy(*by).agg(F.count("*").alias("n"), (F.covar_pop("ra", "rb") / F.nullif(F.stddev_pop("ra") * F.stddev_pop("rb"), F.lit(0.0))).alias("rho"), F.avg(F.col("b") - F.col("a")).alias("mean_bias"), F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1"))
     fit = (F.col("n") >= 3) & (F.col("a0") < F.col("a1")) & (F.col("b0") < F.col("b1"))
     return sums.select(*by, "n", F.when(fit, F.col("rho")).alias("rho"), "mean_bias")
 
