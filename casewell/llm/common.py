@@ -69,6 +69,7 @@ def pieces_for(rows: int, per_piece: int) -> int:
 def slices(batch, column: int, most: int = 8 << 20):
     """Parts of an Arrow batch whose texts in ``column`` have about ``most`` bytes at most; a longer text is alone."""
     import numpy as np
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
@@ -77,6 +78,7 @@ def slices(batch, column: int, most: int = 8 << 20):
         end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
         yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()
 
 
 def with_row_id(docs: DataFrame) -> DataFrame:

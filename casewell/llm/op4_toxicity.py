@@ -190,14 +190,16 @@ def cut(z: np.ndarray, toxic: np.ndarray) -> float:
     return float((z[k] + z[min(k + 1, len(z) - 1)]) / 2)
 
 
-def _scores(batches: Iterator[pa.RecordBatch], voters: Voters, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _scores(batches: Iterator[pa.RecordBatch], voters: Voters, weights: np.ndarray, text: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
+    """The batch with a score; ``text`` is the number of its text column."""
     per_vote = weights[4:]
     for whole in batches:
-        for batch in slices(whole, whole.num_columns - 1):
-            fired, hits, words = voters.fired(batch.column(batch.num_columns - 1))
+        for batch in slices(whole, text):
+            fired, hits, words = voters.fired(pc.fill_null(batch.column(text), ""))
             z = features(np.zeros((len(hits), 0)), hits, words) @ weights[:4] + np.array([per_vote[f].sum() for f in fired])
             score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], [*batch.schema.names[:-1], "score"])
+            kept = [i for i in range(batch.num_columns) if keep_text or i != text]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(score)], [*(batch.schema.names[i] for i in kept), "score"])
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -241,8 +243,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Voters, np.ndarray]:
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     voters, weights = fit(docs, labels)
-    rows = docs.select("doc_id", held_out().alias("held_out"), text_of().alias("text"))
-    scored = rows.mapInArrow(partial(_scores, voters=voters, weights=weights), "doc_id long, held_out boolean, score double")
+    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
+    scored = rows.mapInArrow(partial(_scores, voters=voters, weights=weights, text=2, keep_text=False), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
@@ -254,6 +256,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` without the documents that are predicted toxic."""
     voters, weights = fit(docs, table(spark, sf_dir, "labels"))
     columns = docs.columns
-    rows = docs.select("*", text_of().alias("whole_text_"))
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return rows.mapInArrow(partial(_scores, voters=voters, weights=weights), f"{schema}, score double").where(F.col("score") < THRESHOLD).select(*columns)
+    scores = partial(_scores, voters=voters, weights=weights, text=columns.index("text"), keep_text=True)
+    return docs.mapInArrow(scores, f"{schema}, score double").where(F.col("score") < THRESHOLD).select(*columns)
