@@ -81,11 +81,36 @@ def slices(batch, column: int, most: int = 8 << 20):
     pa.default_memory_pool().release_unused()
 
 
-def with_row_id(docs: DataFrame) -> DataFrame:
-    """``docs`` with columns file_no and row_no that tell its rows apart, repeated ones too; the same in every scan."""
+def filed(docs: DataFrame) -> DataFrame:
+    """``docs`` itself if it is a scan of files, whose rows have a lasting place; else the same rows, written and read."""
     from pyspark.errors import AnalysisException
 
     try:
-        return docs.select("*", F.xxhash64("_metadata.file_path").alias("file_no"), F.col("_metadata.row_index").alias("row_no"))
-    except AnalysisException:  # not a scan of files
-        return with_row_id(saved(docs, "rows"))
+        docs.select("_metadata.file_path")
+        return docs
+    except AnalysisException:
+        return saved(docs, "rows")
+
+
+def _row_id() -> list[Column]:
+    return [F.xxhash64("_metadata.file_path").alias("file_no"), F.col("_metadata.row_index").alias("row_no")]
+
+
+def with_row_id(docs: DataFrame) -> DataFrame:
+    """``docs`` with columns file_no and row_no that tell its rows apart, repeated ones too; the same in every scan."""
+    return filed(docs).select("*", *_row_id())
+
+
+def carried(docs: DataFrame) -> DataFrame:
+    """file_no, row_no and doc: all columns of ``docs`` in a struct, where their names clash with no others."""
+    return filed(docs).select(*_row_id(), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+
+
+def replaced(docs: DataFrame, new: dict[str, Column]) -> list[Column]:
+    """The columns of ``docs`` out of ``doc``, some of them replaced."""
+    return [new[c].alias(c) if c in new else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
+
+
+def chars_of(docs: DataFrame, text: Column) -> dict[str, Column]:
+    """A new n_chars for a new text, where the table has one."""
+    return {"n_chars": F.length(text).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {}

@@ -1,6 +1,7 @@
 """Operator 7, mixing sources to target weights in fixed-length blocks.
 
-Every source is one stream of its documents' words (in the order of a hash), cut into blocks of
+Every source is one stream of its documents' words (in the order of a hash of identifier, text and
+place in the file, not of the file's path), cut into blocks of
 ``BLOCK`` words. Each output shard draws how many blocks it takes of each source from a multinomial
 over what the targets still lack, so the totals meet the targets to the block. The k-th slot of a
 source reads block perm(k): a keyed pseudorandom permutation of its block numbers, a fresh one for
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, pieces_for, saved, table, text_of, with_row_id
+from .common import carried, chars_of, crc32_text, filed, n_words, pieces_for, replaced, saved, table, text_of, with_row_id
 
 BLOCK, SHARD_SLOTS, MOST_SHARDS, BUCKET, SEED = 128, 4096, 4096, 16_384, 20_240
 
@@ -92,7 +93,7 @@ class Mix:
 
     def __init__(self, docs: DataFrame):
         spark = docs.sparkSession
-        light = with_row_id(docs).select("file_no", "row_no", "doc_id", "source", n_words(text_of()).alias("size"))
+        light = with_row_id(docs.select("doc_id", "text", "source")).select("file_no", "row_no", "doc_id", "source", n_words(text_of()).alias("size"), F.xxhash64("row_no", "doc_id", crc32_text()).alias("order"))
         light = saved(light, "mix-rows")
         found = sorted(light.groupBy("source").agg(F.sum("size"), F.count("*")).collect(), key=lambda r: (r[0] is None, r[0] or ""))
         sizes, n_rows = [r[1] for r in found], sum(r[2] for r in found)
@@ -105,11 +106,11 @@ class Mix:
         if len(known) <= 10_000:  # else Spark chooses by what it measures
             named = F.broadcast(named)
         light = light.join(named, F.col("source").eqNullSafe(F.col("known")), "left").drop("known")
-        light = light.withColumn("bucket", F.pmod(F.xxhash64("file_no", "row_no"), F.lit(pieces_for(n_rows, BUCKET))).cast("int"))
+        light = light.withColumn("bucket", F.pmod(F.xxhash64("order"), F.lit(pieces_for(n_rows, BUCKET))).cast("int"))
         sums = light.groupBy("source_no", "bucket").agg(F.sum("size").alias("n"))
         before = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         offsets = sums.select("source_no", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-        within = Window.partitionBy("source_no", "bucket").orderBy(F.xxhash64("row_no", "file_no"), "row_no", "file_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        within = Window.partitionBy("source_no", "bucket").orderBy("order", "row_no", "doc_id", "file_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         light = light.withColumn("running", F.sum("size").over(within)).join(offsets, ["source_no", "bucket"])
         self.rows = saved(light.select("file_no", "row_no", "doc_id", "size", "source_no", (F.col("offset") + F.col("running") - F.col("size")).alias("start")), "mix-places")
         counts = spark.createDataFrame(draw_counts(slots), "shard int, source_no int, first long, n long")
@@ -130,12 +131,12 @@ class Mix:
 
     def drawn(self) -> DataFrame:
         """Each slot's parts of documents: shard, slot, turn, file_no, row_no, from_word, words."""
-        return self.slots.join(self.pieces(), ["source_no", "block"])
+        return self.slots.hint("merge").join(self.pieces(), ["source_no", "block"])  # slots are exploded: no size estimate holds
 
     def taken(self) -> DataFrame:
         """file_no, row_no and the words that the mix takes of the row, repeats counted."""
         times = self.slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-        parts = self.pieces().join(times, ["source_no", "block"])
+        parts = self.pieces().join(times.hint("merge"), ["source_no", "block"])
         return parts.groupBy("file_no", "row_no").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
 
 
@@ -146,7 +147,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(sources, "source_no").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def _cut(batches, columns: int):
+def _cut(batches):
     """Texts cut to the taken ranges of words; a range is (from, to)."""
     import re
 
@@ -154,7 +155,7 @@ def _cut(batches, columns: int):
 
     word = re.compile(r"[^\x20\x09-\x0D]+")
     for batch in batches:
-        texts, ranges, sizes = (batch.column(columns + k).to_pylist() for k in (-3, -2, -1))
+        texts, ranges, sizes = (batch.column(k).to_pylist() for k in (1, 2, 3))
         out = []
         for text, parts, size in zip(texts, ranges, sizes):
             merged: list[list[int]] = []
@@ -168,20 +169,16 @@ def _cut(batches, columns: int):
                 continue
             at = [m.span() for m in word.finditer(text)]
             out.append("\n".join(text[at[a][0] : at[b - 1][1]] for a, b in merged))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(out, pa.string())], [*batch.schema.names[:-3], "text_"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc", "text_"])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row per document and pass over its source, with the words that the drawn blocks take of it."""
+    docs = filed(docs)
     mix = Mix(docs)
     parts = mix.drawn().groupBy("file_no", "row_no", "turn").agg(F.collect_list(F.struct("from_word", "words")).alias("parts"))
     parts = parts.join(mix.rows.select("file_no", "row_no", "size"), ["file_no", "row_no"])
-    rows = with_row_id(docs).join(parts, ["file_no", "row_no"])
-    names = [c for c in docs.columns if c != "text"]
-    rows = rows.select(*names, "text", "parts", "size")
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
-    width = len(names) + 3
-    cut = rows.mapInArrow(lambda batches: _cut(batches, width), f"{schema}, text_ string").withColumnRenamed("text_", "text")
-    if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return cut.select(*docs.columns)
+    others = F.struct(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c != "text")).alias("doc")
+    rows = carried(docs).join(parts, ["file_no", "row_no"]).select(others, "doc.text", "parts", "size")
+    cut = rows.mapInArrow(_cut, f"doc {dict(rows.dtypes)['doc']}, text_ string")
+    return cut.select(*replaced(docs, {"text": F.col("text_")} | chars_of(docs, F.col("text_"))))

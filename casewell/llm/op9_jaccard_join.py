@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pieces_for, saved, slices, table, text_of, with_row_id
+from .common import carried, filed, pieces_for, replaced, saved, slices, table, text_of, with_row_id
 from .components import components
 
 N, TREES, DEPTH, RECALL, CELL, PACK, SEED = 5, 20, 8, 0.9995, 768, 512, 5
@@ -173,7 +173,7 @@ class Join:
     """light: one row per document with its node; nodes: node, class_node, class_id, n_links, n_copies."""
 
     def __init__(self, docs: DataFrame):
-        rows = with_row_id(docs.select("doc_id", "text"))
+        rows = with_row_id(filed(docs.select("doc_id", "text")))
         signed = rows.select("file_no", "row_no", "doc_id", text_of().alias("text")).mapInArrow(_signed, "file_no long, row_no long, doc_id long, node long, keys array<long>")
         signed = saved(signed, "jaccard-signed")
         self.light = signed.drop("keys")
@@ -216,9 +216,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every class: the one with the least doc_id. Documents without words are kept."""
+    docs = filed(docs)
     rows = Join(docs).rows()
     first = Window.partitionBy("class_node").orderBy(F.col("doc_id").asc_nulls_last(), "file_no", "row_no")
     grouped = rows.where("class_node is not null and (n_links > 0 or n_copies > 0)")
     heads = saved(grouped.withColumn("place", F.row_number().over(first)).where("place <= 1").select("file_no", "row_no"), "jaccard-heads")
     dropped = grouped.select("file_no", "row_no").join(heads, ["file_no", "row_no"], "left_anti")
-    return with_row_id(docs).join(dropped, ["file_no", "row_no"], "left_anti").select(*docs.columns)
+    return carried(docs).join(dropped, ["file_no", "row_no"], "left_anti").select(*replaced(docs, {}))
