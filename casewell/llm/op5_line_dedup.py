@@ -51,26 +51,30 @@ def joined_small(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(F.broadcast(small) if small.count() <= SMALL else small, on)
 
 
+#: At least WORDS words, found without counting the rest of the line.
+ENOUGH = rf"^[\x20\x09-\x0D]*(?:{WORD}[\x20\x09-\x0D]+){{{WORDS - 1}}}[^\x20\x09-\x0D]"
+
+
 class Lines:
-    """docs: file_no, row_no, doc_id, n_lines, lines (no, h, h2 of those that may be removed)."""
+    """docs: file_no, row_no, doc_id, n_lines; lines: the place, hashes and keys of every line that may be removed."""
 
     def __init__(self, docs: DataFrame):
-        self.rows = with_row_id(docs.select("doc_id", "text")).select("file_no", "row_no", "doc_id", F.split(text_of(), "\n").alias("all_lines"))
-        fits = lambda x: (F.length(x) >= CHARS) & (F.regexp_count(x, F.lit(WORD)) >= WORDS)
-        marked = F.transform("all_lines", lambda x, i: F.when(fits(x), F.struct(i.alias("no"), F.xxhash64(x).alias("h"), F.xxhash64(x, F.lit(1)).alias("h2"))))
-        kept = self.rows.select("file_no", "row_no", "doc_id", F.size("all_lines").alias("n_lines"), F.array_compact(marked).alias("lines"))
-        self.docs = saved(kept, "lines")
-        line = self.rows.select(F.explode("all_lines").alias("line")).where(fits(F.col("line")))
-        self.text = line.select("line", F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("h2"))
+        rows = with_row_id(docs.select("doc_id", "text")).select("file_no", "row_no", "doc_id", text_of().alias("text"))
+        self.docs = rows.select("file_no", "row_no", "doc_id", (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).alias("n_lines"))
+        fits = (F.length("line") >= CHARS) & F.col("line").rlike(ENOUGH)
+        every = rows.select("file_no", "row_no", "doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(fits)
+        hashed = [F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("h2")]
+        # the keys are a projection of their own: a generator would compute shared parts of them again and again
+        self.lines = saved(every.select("file_no", "row_no", "doc_id", "no", *hashed, segment_keys(F.col("line")).alias("keys")), "lines")
+        self.text = every.select("line", *hashed)
 
     def occurrences(self) -> DataFrame:
-        one = self.docs.select("file_no", "row_no", "doc_id", F.explode("lines").alias("x"))
-        place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "file_no", "row_no", F.col("x.no").alias("no"))
-        return one.select("file_no", "row_no", F.col("x.no").alias("no"), F.col("x.h").alias("h"), F.col("x.h2").alias("h2"), place.alias("place"))
+        place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "file_no", "row_no", "no")
+        return self.lines.select("file_no", "row_no", "no", "h", "h2", place.alias("place"))
 
     def similar(self, firsts: DataFrame) -> DataFrame:
         """h, h2 of distinct lines that have an earlier line within EDITS edits."""
-        keys = self.text.select("h", "h2", F.posexplode(segment_keys(F.col("line"))).alias("k", "key"))
+        keys = self.lines.select("h", "h2", F.posexplode("keys").alias("k", "key"))
         shared = keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max(F.col("k").isin(OWN)).alias("own"))
         shared = saved(shared.where("low <> high and own").select("key"), "line-keys")
         members = saved(joined_small(keys.select("h", "h2", "key"), shared, ["key"]).distinct(), "line-members")
@@ -106,7 +110,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` with their removed lines taken out of text (n_chars follows); a document of which no line that could be removed is left goes."""
     lines = Lines(docs)
-    removed = saved(lines.removed().join(lines.docs.select("file_no", "row_no", F.size("lines").alias("could")), ["file_no", "row_no"]), "line-removed")
+    removed = saved(lines.removed().join(lines.lines.groupBy("file_no", "row_no").agg(F.count("*").alias("could")), ["file_no", "row_no"]), "line-removed")
     rows = with_row_id(docs).join(removed, ["file_no", "row_no"], "left")
     rows = rows.where(F.col("removed").isNull() | (F.size("removed") < F.col("could")))
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
