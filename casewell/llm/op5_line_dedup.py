@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, saved, table, text_of, with_row_id
+from .common import WORD, carried, chars_of, filed, replaced, saved, table, text_of, with_row_id
 
 WORDS, CHARS, EDITS, BLOCK, SMALL = 5, 24, 2, 96, 2_000_000
 
@@ -109,15 +109,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` with their removed lines taken out of text (n_chars follows); a document of which no line that could be removed is left goes."""
+    docs = filed(docs)
     lines = Lines(docs)
     removed = saved(lines.removed().join(lines.lines.groupBy("file_no", "row_no").agg(F.count("*").alias("could")), ["file_no", "row_no"]), "line-removed")
-    rows = with_row_id(docs).join(removed, ["file_no", "row_no"], "left")
+    rows = carried(docs).join(removed, ["file_no", "row_no"], "left")
     rows = rows.where(F.col("removed").isNull() | (F.size("removed") < F.col("could")))
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
-    rows = rows.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(left))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
-    return rows.select(*docs.columns)
+    left = F.array_join(F.filter(F.split("doc.text", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    rows = rows.withColumn("left_text", F.when(F.col("removed").isNotNull(), left))
+    text = F.coalesce("left_text", "doc.text")
+    chars = {c: F.when(F.col("removed").isNull(), F.col("doc.n_chars")).otherwise(n) for c, n in chars_of(docs, text).items()}
+    return rows.select(*replaced(docs, {"text": text} | chars))
 
 
 ORACLE_SQL = rf"""
