@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .metrics import majority_class
 from .sample import position_folds
 
+#: Fixed value: the canned reply.
 CANNED_REPLY = "Sorry for the trouble! We'd like to help. Please share more details so we can look into this for you."
 
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 
+# The reasons an annotator may give.
 REASONS = [
-    "none", "account_or_payment_access", "legal_or_safety", "angry_or_repeat_contact", "needs_order_lookup",
-    "policy_exception", "ambiguous_or_underspecified", "personal_data_exposed", "other",
+    "none", "needs_account_access", "angry_or_distressed", "policy_exception_or_refund", "safety_or_legal",
+    "ambiguous_or_underspecified", "novel_no_precedent", "contains_personal_data", "multi_intent",
 ]
 
 

@@ -101,13 +101,13 @@ query("r7_validate_judge", f"""SELECT doc_id, {clamped('g')} AS groundedness, {c
 
 
 @query("r8_validate_annotation", f"""WITH a AS (SELECT doc_id, CASE WHEN {hb('i', 13)} < 10 THEN concat('c', {hb('i', 13)}) ELSE 'other' END AS intent, CASE {hb('ac', 3)} WHEN 0 THEN 'auto' ELSE 'escalate' END AS said,
-  CASE {hb('rs', 3)} WHEN 0 THEN 'none' WHEN 1 THEN 'legal_or_safety' ELSE 'ambiguous_or_underspecified' END AS r, least(3, greatest(1, {hb('cf', 6)})) AS confidence FROM documents),
+  CASE {hb('rs', 3)} WHEN 0 THEN 'none' WHEN 1 THEN 'safety_or_legal' ELSE 'ambiguous_or_underspecified' END AS r, least(3, greatest(1, {hb('cf', 6)})) AS confidence FROM documents),
 c AS (SELECT *, CASE WHEN intent IN ('c0', 'c3') THEN 'escalate' ELSE said END AS action FROM a)
 SELECT doc_id, intent, action, CASE WHEN action = 'auto' THEN 'none' WHEN r = 'none' THEN 'ambiguous_or_underspecified' ELSE r END AS escalation_reason, CAST(confidence AS INTEGER) AS confidence, 'n' AS note FROM c""")
 def r8(spark, d):
     h = lambda p, n: stable_bucket(F.concat(F.lit(p + ":"), F.col("doc_id")), n)
     pick = lambda p, *values: F.element_at(F.array(*map(F.lit, values)), (h(p, len(values)) + 1).cast("int"))
-    rows = I.table(spark, d, "documents").select("doc_id", F.concat(F.lit("c"), h("i", 13)).alias("intent"), pick("ac", "auto", "escalate", "maybe").alias("action"), pick("rs", "none", "legal_or_safety", "unknown").alias("escalation_reason"), h("cf", 6).cast("string").alias("confidence"), F.lit("n").alias("note"))
+    rows = I.table(spark, d, "documents").select("doc_id", F.concat(F.lit("c"), h("i", 13)).alias("intent"), pick("ac", "auto", "escalate", "maybe").alias("action"), pick("rs", "none", "safety_or_legal", "unknown").alias("escalation_reason"), h("cf", 6).cast("string").alias("confidence"), F.lit("n").alias("note"))
     return responses.validate_annotation(rows, I.NAMES, I.NEVER_AUTO)
 
 
