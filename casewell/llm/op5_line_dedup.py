@@ -100,11 +100,11 @@ class Lines:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines, n_removed, removed_lines (numbers from 0) of every document."""
+    """doc_id, n_lines, n_removed, removed_lines (numbers from 0, with commas) of every document."""
     lines = Lines(table(spark, sf_dir, "documents"))
     rows = lines.docs.select("file_no", "row_no", "doc_id", "n_lines").join(lines.removed(), ["file_no", "row_no"], "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return rows.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed_lines"))
+    return rows.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), F.array_join(F.transform(removed, lambda x: x.cast("string")), ",").alias("removed_lines"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -132,5 +132,5 @@ s AS (SELECT DISTINCT a.line FROM f a JOIN (SELECT *, unnest(range(n - {EDITS},
 x AS (SELECT e.r, e.no FROM e JOIN f USING (line) LEFT JOIN s USING (line) WHERE s.line IS NOT NULL OR e.place <> f.place),
 g AS (SELECT r, list(CAST(no AS INTEGER) ORDER BY no) AS removed FROM x GROUP BY r)
 SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(len(removed), 0) AS BIGINT) AS n_removed,
-  coalesce(removed, CAST([] AS INTEGER[])) AS removed_lines FROM d LEFT JOIN g USING (r)
+  coalesce(array_to_string(removed, ','), '') AS removed_lines FROM d LEFT JOIN g USING (r)
 """

@@ -99,7 +99,7 @@ def judge(docs: DataFrame, rules=RULES) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents"))
+    return judge(table(spark, sf_dir, "documents")).withColumn("broken_rules", F.array_join("broken_rules", ","))
 
 
 def _sql() -> str:
@@ -129,7 +129,7 @@ n AS (SELECT *, word_chars / nullif(n_words, 0) AS mean_word_chars, n_symbols /
   (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed FROM m),
 o AS (SELECT *, list_filter([{', '.join(checks)}], lambda x: x IS NOT NULL) AS broken_rules FROM n)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
-  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, broken_rules,
+  CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, array_to_string(broken_rules, ',') AS broken_rules,
   (NOT base_failed AND len(broken_rules) = 0) AS kept FROM o
 """
 
