@@ -82,8 +82,8 @@ def t18(spark, d):
 
 
 per_doc("t19_ws_tokens", lambda: F.array_join(T.ws_tokens(F.col("text")), "|"), r"array_to_string(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> ''), '|')")
-query("t20_l2_normalise", "SELECT vec_id, list_transform(embedding, lambda x: round(x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6)) AS unit FROM embeddings")(
-    lambda spark, d: I.table(spark, d, "embeddings").select("vec_id", F.transform(T.l2_normalise(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
+query("t20_l2_normalise", "SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS i, round(unnest(embedding) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS x FROM embeddings")(
+    lambda spark, d: I.table(spark, d, "embeddings").select("vec_id", F.posexplode(T.l2_normalise(F.col("embedding"))).alias("i", "x")).withColumn("x", F.round("x", 6))
 )
 
 # ---- filters and curation
