@@ -21,12 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one is set only where that is unset."""
+    """The shared folder of spark.checkpoint.dir; a local one is taken only where that is unset, as in tests."""
     place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = f"file://{tempfile.gettempdir()}/casewell-scratch-{os.getuid()}"
-        spark.sparkContext.setCheckpointDir(place)
-    return place.rstrip("/")
+    return (place or f"file://{tempfile.gettempdir()}/casewell-scratch-{os.getuid()}").rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
