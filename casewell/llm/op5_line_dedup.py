@@ -56,11 +56,11 @@ ENOUGH = rf"^[\x20\x09-\x0D]*(?:{WORD}[\x20\x09-\x0D]+){{{WORDS - 1}}}[^\x20\x09
 
 
 class Lines:
-    """docs: file_no, row_no, doc_id, n_lines; lines: the place, hashes and keys of every line that may be removed."""
+    """docs: file_no, row_no, doc_id, n_lines, hashes of the text; lines: the place, hashes and keys of every line that may be removed."""
 
     def __init__(self, docs: DataFrame):
         rows = with_row_id(docs.select("doc_id", "text")).select("file_no", "row_no", "doc_id", text_of().alias("text"))
-        self.docs = rows.select("file_no", "row_no", "doc_id", (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).alias("n_lines"))
+        self.docs = rows.select("file_no", "row_no", "doc_id", (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).alias("n_lines"), F.xxhash64("text").alias("t"), F.xxhash64("text", F.lit(1)).alias("t2"))
         fits = (F.length("line") >= CHARS) & F.col("line").rlike(ENOUGH)
         every = rows.select("file_no", "row_no", "doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(fits)
         hashed = [F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(1)).alias("h2")]
@@ -98,6 +98,13 @@ class Lines:
         hit = self.occurrences().join(saved(known, "line-known"), ["h", "h2"]).where(F.col("near") | (F.col("place") != F.col("first")))
         return hit.groupBy("file_no", "row_no").agg(F.array_sort(F.collect_list("no")).alias("removed"))
 
+    def copies(self) -> DataFrame:
+        """file_no, row_no of rows whose whole text stands in an earlier row."""
+        place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "file_no", "row_no")
+        rows = self.docs.select("file_no", "row_no", "t", "t2", place.alias("place"))
+        firsts = saved(rows.groupBy("t", "t2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "line-copied")
+        return joined_small(rows, firsts, ["t", "t2"]).where("place <> first").select("file_no", "row_no")
+
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed, removed_lines (numbers from 0, with commas) of every document."""
@@ -108,14 +115,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` with their removed lines taken out of text (n_chars follows); a document of which no line that could be removed is left goes."""
+    """``docs`` with their removed lines taken out of text (n_chars follows). Of the documents that lose lines, those go
+    of which no line with a word is left, and those whose whole text an earlier row has: that one keeps their other lines."""
     docs = filed(docs)
     lines = Lines(docs)
-    removed = saved(lines.removed().join(lines.lines.groupBy("file_no", "row_no").agg(F.count("*").alias("could")), ["file_no", "row_no"]), "line-removed")
+    copies = lines.copies().withColumn("copy", F.lit(True))
+    removed = saved(lines.removed().join(copies, ["file_no", "row_no"], "left"), "line-removed")
     rows = carried(docs).join(removed, ["file_no", "row_no"], "left")
-    rows = rows.where(F.col("removed").isNull() | (F.size("removed") < F.col("could")))
     left = F.array_join(F.filter(F.split("doc.text", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
     rows = rows.withColumn("left_text", F.when(F.col("removed").isNotNull(), left))
+    rows = rows.where(F.col("removed").isNull() | (F.col("copy").isNull() & F.col("left_text").rlike(WORD)))
     text = F.coalesce("left_text", "doc.text")
     chars = {c: F.when(F.col("removed").isNull(), F.col("doc.n_chars")).otherwise(n) for c, n in chars_of(docs, text).items()}
     return rows.select(*replaced(docs, {"text": text} | chars))

@@ -257,6 +257,15 @@ def test_lines_of_messy_and_empty(spark, messy, none):
     assert _removed(none).count() == 0
 
 
+def test_line_stage_keeps_short_lines(spark):
+    passage = "a passage of words that other documents hold as well"
+    rows = [(0, passage), (1, f"{passage}\nown short line\n他说的话没有空格"), (2, f"{passage}\n \t\n{passage}"), (3, f"{passage}\nown short line\n他说的话没有空格"), (4, f"short\n{passage}\n\nend")]
+    table = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in op5_line_dedup.stage(spark, table, "").collect()}
+    want = {0: passage, 1: "own short line\n他说的话没有空格", 4: "short\n\nend"}  # 2 has no word left, 3 is 1 again
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
 # ---- 6
 def test_rules_same_as_sql(spark, sf):
     same(op6_quality_rules.query(spark, sf), engine(sf).sql(op6_quality_rules.ORACLE_SQL).df())
