@@ -3,9 +3,10 @@
 Every source is one stream of its documents' words (in the order of a hash of identifier, text and
 place in the file, not of the file's path), cut into blocks of
 ``BLOCK`` words. Each output shard draws how many blocks it takes of each source from a multinomial
-over what the targets still lack, so the totals meet the targets to the block. The k-th slot of a
+over what the targets still lack. The k-th slot of a
 source reads block perm(k): a keyed pseudorandom permutation of its block numbers, a fresh one for
-each pass over the source. Slots join blocks by (source, block).
+each pass over the source. Its last slot reads only the first words of its block, as many as are
+missing, so the totals meet the targets to the word. Slots join blocks by (source, block).
 
 Positions come from sums over hash buckets of about 16,384 rows, so a source that holds a third of
 all rows is many tasks, not one. The driver sees one row per source and the drawn counts, at most
@@ -83,13 +84,54 @@ def permuted(k: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def place_of(block: int, n: int, key: int) -> int:
+    """The k that ``permuted`` sends to ``block``: the rounds backwards, walked until it lands below n."""
+    half, word = max(1, math.ceil(math.log2(max(n, 2)) / 2)), (1 << 64) - 1
+    mask, x = (1 << half) - 1, block
+    while True:
+        left, right = x >> half, x & mask
+        for r in reversed(range(4)):
+            f = ((left + key + r) * 0x9E3779B97F4A7C15) & word
+            f = ((f ^ (f >> 29)) * 0xBF58476D1CE4E5B9) & word
+            left, right = right ^ ((f >> 32) & mask), left
+        x = (left << half) | right
+        if x < n:
+            return x
+
+
+def key_of(turn, source_no):
+    return (turn * 1_000_003 + source_no) * 97 + SEED
+
+
+def slots_for(words: int, size: int, source_no: int) -> tuple[int, int]:
+    """Slots that hold ``words`` words of a source, and the words of the last one."""
+    if not words:
+        return 0, 0
+    n = -(-size // BLOCK)
+    turn, rest = divmod(words - 1, size)
+    rest, short = rest + 1, size - BLOCK * (n - 1)
+    before = BLOCK * place_of(n - 1, n, key_of(turn, source_no))  # words of the pass ahead of its short block
+    if rest <= before:
+        more, last = -(-rest // BLOCK), (rest - 1) % BLOCK + 1
+    elif rest <= before + short:
+        more, last = before // BLOCK + 1, rest - before
+    else:
+        more, last = 1 + -(-(rest - short) // BLOCK), (rest - short - 1) % BLOCK + 1
+    return turn * n + more, last
+
+
 def _block_of(k: pd.Series, n: pd.Series, source_no: pd.Series) -> pd.Series:
     n_, turn = n.to_numpy(), k.to_numpy() // n.to_numpy()
-    return pd.Series(permuted(k.to_numpy() % n_, n_, (turn * 1_000_003 + source_no.to_numpy()) * 97 + SEED))
+    return pd.Series(permuted(k.to_numpy() % n_, n_, key_of(turn, source_no.to_numpy())))
+
+
+def _read(parts: DataFrame) -> DataFrame:
+    """Parts of documents cut to the words that their slot reads of the block."""
+    return parts.where(F.col("at") < F.col("most")).withColumn("words", F.least("words", F.col("most") - F.col("at"))).drop("at", "most")
 
 
 class Mix:
-    """rows: file_no, row_no, doc_id, size, source_no, start; sources: one row each; slots: shard, slot, source_no, block, turn."""
+    """rows: file_no, row_no, doc_id, size, source_no, start; sources: one row each; slots: shard, slot, source_no, block, turn, most (words it reads)."""
 
     def __init__(self, docs: DataFrame):
         spark = docs.sparkSession
@@ -99,9 +141,10 @@ class Mix:
         sizes, n_rows = [r[1] for r in found], sum(r[2] for r in found)
         targets = fill_targets(sizes)
         n_blocks = [-(-x // BLOCK) for x in sizes]
-        slots = [min(3 * n, round(t / BLOCK)) if t < 3 * x else 3 * n for t, x, n in zip(targets, sizes, n_blocks)]
-        known = [(r[0], k, x, float(t), n) for k, (r, x, t, n) in enumerate(zip(found, sizes, targets, n_blocks))]
-        self.sources = spark.createDataFrame(known, "source string, source_no int, source_size long, target double, n_blocks long")
+        ends = [slots_for(min(3 * x, round(t)), x, k) for k, (t, x) in enumerate(zip(targets, sizes))]
+        slots = [n for n, _ in ends]
+        known = [(r[0], k, x, float(t), n, *end) for k, (r, x, t, n, end) in enumerate(zip(found, sizes, targets, n_blocks, ends))]
+        self.sources = spark.createDataFrame(known, "source string, source_no int, source_size long, target double, n_blocks long, n_slots long, last long")
         named = self.sources.select(F.col("source").alias("known"), "source_no")
         if len(known) <= 10_000:  # else Spark chooses by what it measures
             named = F.broadcast(named)
@@ -114,29 +157,31 @@ class Mix:
         light = light.withColumn("running", F.sum("size").over(within)).join(offsets, ["source_no", "bucket"])
         self.rows = saved(light.select("file_no", "row_no", "doc_id", "size", "source_no", (F.col("offset") + F.col("running") - F.col("size")).alias("start")), "mix-places")
         counts = spark.createDataFrame(draw_counts(slots), "shard int, source_no int, first long, n long")
-        counts = counts.join(F.broadcast(self.sources.select("source_no", "n_blocks")) if len(known) <= 10_000 else self.sources.select("source_no", "n_blocks"), "source_no")
+        ended = self.sources.select("source_no", "n_blocks", "n_slots", "last")
+        counts = counts.join(F.broadcast(ended) if len(known) <= 10_000 else ended, "source_no")
         counts = counts.repartition(max(1, min(2000, sum(slots) // 20_000)), "shard", "source_no")
-        slot = counts.select("shard", "source_no", "n_blocks", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
+        slot = counts.select("shard", "source_no", "n_blocks", "n_slots", "last", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
         slot = slot.withColumn("block", F.pandas_udf(_block_of, "long")("slot", "n_blocks", "source_no"))
-        self.slots = slot.select("shard", "source_no", "slot", "block", F.expr("slot div n_blocks").cast("int").alias("turn"))
+        self.slots = slot.select("shard", "source_no", "slot", "block", F.expr("slot div n_blocks").cast("int").alias("turn"), F.when(F.col("slot") == F.col("n_slots") - 1, F.col("last")).otherwise(BLOCK).alias("most"))
 
     def pieces(self) -> DataFrame:
-        """Parts of documents by block: from_word (in the document) and words."""
+        """Parts of documents by block: from_word (in the document), words, and at, their place in the block."""
         rows = self.rows.where("size > 0")
         blocks = F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(start + size - 1) div {BLOCK}")))
         parts = rows.select("file_no", "row_no", "source_no", "size", "start", blocks.alias("block"))
         low = F.greatest("start", F.col("block") * BLOCK)
         high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK)
-        return parts.select("file_no", "row_no", "source_no", "block", (low - F.col("start")).alias("from_word"), (high - low).alias("words"))
+        return parts.select("file_no", "row_no", "source_no", "block", (low - F.col("start")).alias("from_word"), (high - low).alias("words"), (low - F.col("block") * BLOCK).alias("at"))
 
     def drawn(self) -> DataFrame:
         """Each slot's parts of documents: shard, slot, turn, file_no, row_no, from_word, words."""
-        return self.slots.hint("merge").join(self.pieces(), ["source_no", "block"])  # slots are exploded: no size estimate holds
+        parts = self.slots.hint("merge").join(self.pieces(), ["source_no", "block"])  # slots are exploded: no size estimate holds
+        return _read(parts)
 
     def taken(self) -> DataFrame:
         """file_no, row_no and the words that the mix takes of the row, repeats counted."""
-        times = self.slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-        parts = self.pieces().join(times.hint("merge"), ["source_no", "block"])
+        times = self.slots.groupBy("source_no", "block", "most").agg(F.count("*").alias("times"))
+        parts = _read(self.pieces().join(times.hint("merge"), ["source_no", "block"]))
         return parts.groupBy("file_no", "row_no").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
 
 

@@ -326,6 +326,17 @@ def test_mix_taken_equals_its_drawn_parts(docs):
     assert drawn.sort_index().tolist() == taken.sort_index().tolist()
 
 
+def test_mix_meets_small_targets_to_the_word(spark):
+    for n in (1, 2, 3, 7, 100):
+        image = op7_mixing.permuted(np.arange(n), np.full(n, n), np.full(n, 9))
+        assert [op7_mixing.place_of(int(b), n, 9) for b in image] == list(range(n))
+    sizes = [50] * 60 + [130] * 9 + [1, 127, 128, 129, 900]
+    rows = [(10 * s + j, " ".join(f"w{i}" for i in range(j, n, 3)), f"s{s:03d}") for s, n in enumerate(sizes) for j in range(3)]
+    mix = op7_mixing.Mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    taken = mix.rows.join(mix.taken(), ["file_no", "row_no"]).groupBy("source_no").agg({"taken": "sum"}).toPandas().set_index("source_no")["sum(taken)"]
+    assert {r.source_no: round(r.target) for r in mix.sources.collect() if round(r.target)} == taken.to_dict()
+
+
 def test_mix_of_messy_and_empty(spark, messy, none):
     mix = op7_mixing.Mix(messy)
     assert mix.rows.count() == len(MESSY)
