@@ -99,8 +99,8 @@ def m3(spark, d):
     return projected.join(F.broadcast(first), F.lit(True)).select("id", F.round(T.dot(F.col("vector"), F.col("zero")), 6).alias("dot_with_first"))
 
 
-query("m4_kmeans")(lambda spark, d: models.kmeans_assign(I.vectors(spark, d).drop("cluster"), 10, restarts=2))
-query("m5_choose_k")(lambda spark, d: models.choose_k(I.vectors(spark, d).drop("cluster"), ks=range(8, 14, 2)))
+query("m4_kmeans")(lambda spark, d: models.kmeans_assign(I.vectors(spark, d).drop("cluster"), 10))
+query("m5_choose_k")(lambda spark, d: models.choose_k(I.vectors(spark, d).drop("cluster")))
 query("m6_logreg_oof")(
     lambda spark, d: models.logreg_oof(I.vectors(spark, d).select("id", F.col("cluster").cast("double").alias("label"), "vector"), 3).select("id", "label", "pred", "fold")
 )

@@ -49,6 +49,19 @@ def test_kmeans_and_sweep(spark, sf):
     assert sweep.chosen.sum() == 1 and sweep[sweep.chosen].k.iloc[0] == best.k
 
 
+def test_sweep_tries_every_k_of_the_survey(spark, sf):
+    assert [r.k for r in catalogue.QUERIES["m5_choose_k"](spark, sf).orderBy("k").collect()] == list(range(8, 24, 2))
+
+
+def test_kmeans_does_four_restarts(spark, sf, monkeypatch):
+    from casewell.operators import models
+
+    seeds, fit = [], models.KMeans.fit
+    monkeypatch.setattr(models.KMeans, "fit", lambda self, rows: seeds.append(self.getSeed()) or fit(self, rows))
+    catalogue.QUERIES["m4_kmeans"](spark, sf)
+    assert len(set(seeds)) == 4
+
+
 def test_stream_dedupe_drops_repeats(spark, sf):
     rows = catalogue.QUERIES["x2_stream_dedupe"](spark, sf)
     total = spark.read.parquet(f"{sf}/events.parquet").count()
