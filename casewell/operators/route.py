@@ -23,6 +23,7 @@ def rules(never_auto: Column, note: Column, tau_confidence: float, tau_similarit
     uncertain, uncertainty_reason and max_similarity."""
     hard, pii = T.match_hard_escalation(F.col("customer_msg")), T.match_pii(F.col("customer_msg"))
     lit, number = F.lit, lambda c: F.format_string("%.2f", c)
+    # Rule names and the wording of reasons, which are output.
     return [
         (hard.isNotNull(), hard, F.concat(lit("message matches "), _words(hard), lit(" pattern"))),
         (pii.isNotNull(), F.concat(lit("pii_"), pii), F.concat(lit("message appears to contain "), _words(pii))),

@@ -18,7 +18,7 @@ def routed(spark, **change):
 
 
 @pytest.mark.parametrize("change, rule", [
-    ({}, "rules_only"), ({"customer_msg": "someone hacked my acc"}, "account_compromise"), ({"customer_msg": "card 4111 1111 1111 1111 twice"}, "pii_payment_card"),
+    ({}, "rules_only"), ({"customer_msg": "the profile looks compromised"}, "account_compromise"), ({"customer_msg": "number 5500 0055 5555 5559 on the front"}, "pii_payment_card"),
     ({"intent": "c0"}, "never_auto_intent"), ({"ok": False}, "classifier_failure"), ({"reply": "  "}, "draft_failure"), ({"truncated": True}, "draft_over_length"),
     ({"grounded_in": []}, "draft_ungrounded"), ({"uncertain": True}, "draft_uncertain"), ({"max_similarity": 0.5}, "low_retrieval_similarity"), ({"confidence": 0.5}, "low_confidence"),
 ])

@@ -8,8 +8,8 @@ def one(spark, column, value=""):
 
 
 def test_normalise(spark):
-    got = one(spark, T.normalise, "@ShopHelp my order NEVER arrived!!! see https://t.co/x @115712")
-    assert "@" not in got and "<URL>" in got and "NEVER" in got and "!!!" in got
+    got = one(spark, T.normalise, "@LampStore2 the blue kettle LEAKS?? photo at www.example.org/k @40917 ASAP")
+    assert got == "the blue kettle LEAKS?? photo at <URL> ASAP"
     assert one(spark, T.normalise, "ﬁne  &amp; ① @Ünï") == "fine & 1"
     assert one(spark, T.normalise, None) == ""
 
@@ -20,7 +20,7 @@ def test_bucket_is_pinned(spark):
 
 def test_dedupe_key(spark):
     key = lambda v: one(spark, T.dedupe_key, v)
-    assert key("Service is DOWN!!!") == key("service is down") and key("order late") != key("order lost")
+    assert key("Kettle, blue: (2 pcs)") == key("kettle blue 2 pcs") and key("blue kettle") != key("blue kettles")
 
 
 def test_deflection_and_handoff(spark):
@@ -31,15 +31,15 @@ def test_deflection_and_handoff(spark):
 
 
 def test_hard_patterns_both_ways(spark):
-    for benign in ("my fire tv is stuck", "fire hd 10 won't charge", "burning the midnight oil", "fire stick remote"):
+    for benign in ("a fireside chair", "is the wood fire pit in stock", "my ears burn when i sing", "fireproof gloves in red"):
         assert one(spark, T.match_hard_escalation, benign) is None
-    for harmful in ("the charger caught fire", "it's a fire hazard", "burned my hand", "set it alight", "started a fire", "burst into flames", "phone on fire"):
+    for harmful in ("the toaster catches fire", "this cable is a fire risk", "the iron burnt her arm", "the stove set the curtain alight", "a spark started a fire", "kettle bursting into flames", "lamp on fire now"):
         assert one(spark, T.match_hard_escalation, harmful) == "safety_or_harm"
-    assert one(spark, T.match_hard_escalation, "someone hacked my acc n ordered a laptop wtf") == "account_compromise"
+    assert one(spark, T.match_hard_escalation, "somebody has compromised our profile since may") == "account_compromise"
 
 
 def test_pii_in_order(spark):
-    assert one(spark, T.match_pii, "charged card 4111 1111 1111 1111 twice") == "payment_card"
+    assert one(spark, T.match_pii, "the number is 5500 0055 5555 5559 on the front") == "payment_card"
     assert one(spark, T.match_pii, "mail me at a.b@c.org") == "email_address"
     assert one(spark, T.match_pii, "I live at 12 Old Mill Road") == "postal_address"
     assert one(spark, T.match_pii, "order 111-1234567-1234567") in ("payment_card", "order_id")
