@@ -347,21 +347,51 @@ def test_mix_of_messy_and_empty(spark, messy, none):
 
 
 # ---- 8
+def nearest_by_force(m, ids, k=5, every=50):
+    m = m / np.linalg.norm(m, axis=1, keepdims=True)
+    out = {}
+    for q in ids[ids % every == 0]:
+        s = (m @ m[ids == q][0]).round(12)
+        others = ids != q
+        out[int(q)] = [(int(v), float(x)) for v, x in sorted(zip(ids[others], s[others]), key=lambda r: (-r[1], r[0]))[:k]]
+    return out
+
+
+def found_by(rows):
+    out = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
+        out[r.query_id].append((r.vec_id, round(r.score, 12)))
+    return out
+
+
 def test_neighbours_recall(spark):
     folder = "/root/testdata/sf0.1"
-    rows = op8_multiprobe.query(spark, folder).toPandas()
+    got = found_by(op8_multiprobe.query(spark, folder).collect())
     e = spark.read.parquet(f"{folder}/embeddings.parquet").toPandas()
-    m, ids = np.array(e.embedding.tolist(), float), e.vec_id.to_numpy()
-    m /= np.linalg.norm(m, axis=1, keepdims=True)
-    hit = total = 0
-    for q, part in rows.groupby("query_id"):
-        s = m @ m[ids == q][0]
-        s[ids == q] = -9
-        best = set(ids[np.lexsort((ids, -s.round(12)))[:5]])
-        hit, total = hit + len(best & set(part.vec_id)), total + 5
-        assert np.allclose(part.score, [s[ids == v][0] for v in part.vec_id], atol=1e-12)
-        assert sorted(part["rank"]) == [1, 2, 3, 4, 5]
-    assert hit / total >= 0.95
+    want = nearest_by_force(np.array(e.embedding.tolist(), float), e.vec_id.to_numpy())
+    assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
+    assert sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_neighbours_of_clusters_without_scoring_all_rows(spark):
+    rng = np.random.default_rng(0)
+    m = np.repeat(rng.standard_normal((320, 32)), 25, axis=0) + 0.3 * rng.standard_normal((8000, 32))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    search = op8_multiprobe.Search(table, 5, 50, "vec_id", "embedding")
+    got, want = found_by(search.nearest().collect()), nearest_by_force(m, np.arange(8000))
+    assert sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want) >= 0.95 * 5 * len(want)
+    assert search.scored().agg({"scored": "avg"}).first()[0] < 0.25 * 8000
+
+
+def test_neighbours_ties_go_to_the_least_ids(spark):
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal(8)
+    multiples = np.array([base * (i + 1) for i in range(200)])
+    hot = np.array([[1.0 if j == i % 7 else 0.0 for j in range(12)] for i in range(400)])
+    for m in (multiples, hot, 1e200 * multiples):
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+        got, want = found_by(op8_multiprobe.nearest(table).collect()), nearest_by_force(m / np.abs(m).max(), np.arange(len(m)))
+        assert {q: [v for v, _ in x] for q, x in got.items()} == {q: [v for v, _ in x] for q, x in want.items()}
 
 
 def test_neighbours_of_messy_and_empty(spark):
