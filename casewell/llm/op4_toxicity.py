@@ -2,17 +2,20 @@
 
 Voters are lexicon entries (written-down insults of four languages, and words or word beginnings that
 training rows show far more often when they are labelled toxic, either at all or densely) and surface
-patterns. A voter fires or abstains. A generative label model (two latent classes, fitted by expectation maximisation on the votes)
-estimates how each voter fires in either class; correlations left inside the classes discount voters
-that fire together. A logistic regression is trained on the model's posteriors and scores every text.
+patterns. A voter fires or abstains. A generative label model (two latent classes, fitted by expectation
+maximisation on the votes) estimates how accurate each voter is and how voters go together: inside a class
+a voter depends on at most one other, the one it is most correlated with, so a voter that only echoes
+another adds little. A logistic regression is trained on the model's posteriors and scores every text.
 
-``SAMPLE`` bounds the labelled rows used for fitting (by order of a hash of doc_id); scoring covers
+``SAMPLE`` bounds the labelled documents and the rows used for fitting (by order of hashes); scoring covers
 every row. Rows with crc32(doc_id as text) % 4 == 2 are held out: their labels are never read.
 Labels, lang, source and doc_id are no inputs of a score.
 
-Defined results: null and empty texts fire nothing and get the score of silence; a document labelled
-more than once counts as toxic if any label says so; null labels are ignored; without labels only the
-written-down lexicon votes; repeated rows repeat; an empty table gives no rows; other columns are ignored.
+Defined results: null and empty texts fire nothing and get the score of silence, which is below the
+threshold; a document labelled more than once counts as toxic if any label says so; null labels are ignored;
+with fewer than ``LEAST_LABELS`` labelled documents of either class, or none of them told apart by a voter,
+only the written-down lexicon votes; repeated rows repeat (for fitting, rows with equal votes of a document
+count once); an empty table gives no rows; other columns are ignored.
 No text is shuffled: the sample of labels is joined by broadcast (its size is bounded by ``SAMPLE``).
 """
 
@@ -29,9 +32,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table, text_of
+from .common import ship, slices, table, text_of
 
 SAMPLE, MAX_INDUCED, LEAST_RATIO, STEMS, THRESHOLD = 20_000, 400, 8.0, (4, 5, 6, 7, 8), 0.3
+#: Labelled documents that either class must have for a fit.
+LEAST_LABELS = 20
 #: A dense voter fires if its key makes up this share of a text's words.
 DENSE = 0.005
 
@@ -70,9 +75,9 @@ def _count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of either label that hold a key, one partial count per task."""
     toxic, clean = Counter(), Counter()
     for batch in batches:
-        words, which, ends = words_by_text(batch.column(1))
+        words, which, ends = words_by_text(batch.column(2))
         at = 0
-        for label, end in zip(batch.column(0).to_pylist(), ends):
+        for label, end in zip(batch.column(1).to_pylist(), ends):
             n = Counter()
             for i, c in zip(*np.unique(which[at:end], return_counts=True)):
                 if len(words[i]) > 2:
@@ -122,41 +127,89 @@ class Voters:
 
 def _votes(batches: Iterator[pa.RecordBatch], voters: Voters) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fired, hits, words = voters.fired(batch.column(1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.tolist() for f in fired], pa.list_(pa.int64())), pa.array(hits.astype(np.int64)), pa.array(words.astype(np.int64))], ["toxic", "fired", "hits", "words"])
+        fired, hits, words = voters.fired(batch.column(2))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f.tolist() for f in fired], pa.list_(pa.int64())), pa.array(hits.astype(np.int64)), pa.array(words.astype(np.int64))], ["doc_id", "toxic", "fired", "hits", "words"])
 
 
 @dataclass
 class LabelModel:
-    """Firing rates in the toxic and the clean class, weights after correlation, and the log odds of prior and silence."""
+    """Firing rates in the toxic and the clean class; per voter the one it depends on (itself: none) and its log odds
+    of the classes by whether it and that one fire; log odds of the prior and of a text where no lexicon voter fires."""
 
     toxic: np.ndarray
     clean: np.ndarray
-    weight: np.ndarray
+    parent: np.ndarray
+    odds: np.ndarray
     prior: float
     silence: float
 
-    def posterior(self, votes: np.ndarray, lexical: np.ndarray) -> np.ndarray:
-        ratio = np.clip(np.log(self.toxic / self.clean), -6, 6) * self.weight
-        return 1 / (1 + np.exp(-(self.prior + votes @ ratio + np.where(lexical, 0, self.silence))))
+    def posterior(self, votes: np.ndarray, lexical: np.ndarray, both: np.ndarray | None = None) -> np.ndarray:
+        """Chance of the toxic class; ``both`` may hold the votes that a voter and its parent share."""
+        both = votes * votes[:, self.parent] if both is None else both
+        odds = self.odds.astype(votes.dtype)
+        z = votes @ odds[:, 0] + both @ (odds[:, 1] - odds[:, 0])
+        return 1 / (1 + np.exp(-np.clip(self.prior + z.astype(float) + np.where(lexical, 0, self.silence), -30, 30)))
+
+
+def correlations(votes: np.ndarray, q: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+    """Of what the classes leave unexplained, from sums of products, so that no second matrix of votes is made."""
+    n, more = len(votes), toxic - clean
+    held, fired = (q.astype(votes.dtype) @ votes).astype(float), votes.sum(axis=0, dtype=float)
+    cross = np.outer(held, more) + np.outer(fired, clean)
+    model = (q @ q) * np.outer(more, more) + q.sum() * (np.outer(more, clean) + np.outer(clean, more)) + n * np.outer(clean, clean)
+    mean = (fired - q.sum() * more) / n - clean
+    cov = ((votes.T @ votes).astype(float) - cross - cross.T + model) / n - np.outer(mean, mean)
+    spread = np.sqrt(np.maximum(np.diag(cov), 0)) + 1e-9
+    return cov / np.outer(spread, spread)
+
+
+def dependencies(corr: np.ndarray, least: float = 0.2) -> np.ndarray:
+    """A forest over the voters: the strongest correlations first, none that closes a circle; each voter's parent, or itself."""
+    n = len(corr)
+    root, edges = np.arange(n), [[] for _ in range(n)]
+    pairs = np.argwhere(np.triu(corr > least, 1))
+    for i, j in pairs[np.argsort(-corr[tuple(pairs.T)], kind="stable")]:
+        if root[i] != root[j]:
+            root[root == root[j]] = root[i]
+            edges[i].append(int(j))
+            edges[j].append(int(i))
+    parent, seen = np.arange(n), np.zeros(n, bool)
+    for start in range(n):
+        todo = [] if seen[start] else [start]
+        while todo:
+            i = todo.pop()
+            seen[i] = True
+            for j in edges[i]:
+                if not seen[j]:
+                    parent[j] = i
+                    todo.append(j)
+    return parent
 
 
 def fit_label_model(votes: np.ndarray, lexical: np.ndarray, prior: float, rounds: int = 30) -> LabelModel:
     """votes: rows by voters, 0 or 1; lexical: rows where a lexicon voter fires."""
-    q = np.where(lexical, 0.9, 0.02)
-    prior_odds, weight, model = float(np.log(prior / (1 - prior))), np.ones(votes.shape[1]), None
+    q, alone, both = np.where(lexical, 0.9, 0.02), np.arange(votes.shape[1]), votes
+    prior_odds, parent, model = float(np.log(prior / (1 - prior))), alone, None
+    total, kind = votes.sum(axis=0, dtype=float), votes.dtype
+    joint = total
     for step in range(rounds):
         n1, n0 = q.sum() + 1, (1 - q).sum() + 1
-        toxic, clean = (q @ votes + 0.05) / n1, ((1 - q) @ votes + 0.05) / n0
+        fired = (q.astype(kind) @ votes).astype(float)
+        toxic, clean = (fired + 0.05) / n1, (total - fired + 0.05) / n0
         silent1, silent0 = (q @ ~lexical + 0.5) / n1, ((1 - q) @ ~lexical + 0.5) / n0
-        if step in (5, 15, 25):  # correlation inside the classes, from the residuals
-            rest = votes - np.outer(q, toxic) - np.outer(1 - q, clean)
-            spread = rest.std(axis=0) + 1e-9
-            corr = (rest.T @ rest) / len(rest) / np.outer(spread, spread)
-            np.fill_diagonal(corr, 0)
-            weight = 1 / (1 + np.where(corr > 0.2, corr, 0).sum(axis=1))
-        model = LabelModel(toxic, clean, weight, prior_odds, float(np.log(silent1 / silent0)))
-        q = model.posterior(votes, lexical)
+        if step in (1, 5, 15, 25):
+            parent = dependencies(correlations(votes, q, toxic, clean))
+            both = votes * votes[:, parent]
+            joint = both.sum(axis=0, dtype=float)
+        together = (q.astype(kind) @ both).astype(float)
+        rates = []  # of either class: given that the parent does not fire, given that it fires; drawn to the marginal
+        for mass, rate, one, two in ((q.sum(), toxic, fired, together), (len(q) - q.sum(), clean, total - fired, joint - together)):
+            above = one[parent]
+            rates.append(((one - two + 0.5 * rate) / (mass - above + 0.5), (two + 0.5 * rate) / (above + 0.5)))
+        marginal = np.log(toxic / clean)
+        odds = np.column_stack([np.where(parent == alone, marginal, np.log(np.maximum(rates[0][k], 1e-9) / np.maximum(rates[1][k], 1e-9))) for k in (0, 1)])
+        model = LabelModel(toxic, clean, parent, np.clip(odds, -6, 6), prior_odds, float(np.log(silent1 / silent0)))
+        q = model.posterior(votes, lexical, both)
     return model
 
 
@@ -178,20 +231,22 @@ def fit_logistic(x: np.ndarray, q: np.ndarray, penalty: float = 0.3, rounds: int
     return w
 
 
-def cut(z: np.ndarray, toxic: np.ndarray) -> float:
-    """The log odds that parts training rows best (largest F1; the middle of the gap below); where THRESHOLD falls then."""
-    if toxic.all() or not toxic.any():
-        return float(np.log(THRESHOLD / (1 - THRESHOLD)))
+def cut(z: np.ndarray, toxic: np.ndarray, silent: float) -> float | None:
+    """The log odds that parts training rows best (largest F1; the middle of the gap below), above those of a text
+    where no voter fires; None if there are none."""
     order = np.argsort(-z, kind="stable")
     z, hit = z[order], np.cumsum(toxic[order])
     f1 = 2 * hit / (np.arange(1, len(z) + 1) + toxic.sum())
     f1[:-1][z[:-1] == z[1:]] = -1
+    f1[z <= silent] = -1
+    if not (f1 > 0).any():
+        return None
     k = int(f1.argmax())
-    return float((z[k] + z[min(k + 1, len(z) - 1)]) / 2)
+    return float((z[k] + max(silent, z[k + 1] if k + 1 < len(z) else silent)) / 2)
 
 
-def _scores(batches: Iterator[pa.RecordBatch], voters: Voters, weights: np.ndarray, text: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
-    """The batch with a score; ``text`` is the number of its text column."""
+def _scores(batches: Iterator[pa.RecordBatch], voters: Voters, weights: np.ndarray, text: int, keep_text: bool, name: str = "score") -> Iterator[pa.RecordBatch]:
+    """The batch with a score of that name; ``text`` is the number of its text column."""
     per_vote = weights[4:]
     for whole in batches:
         for batch in slices(whole, text):
@@ -199,44 +254,54 @@ def _scores(batches: Iterator[pa.RecordBatch], voters: Voters, weights: np.ndarr
             z = features(np.zeros((len(hits), 0)), hits, words) @ weights[:4] + np.array([per_vote[f].sum() for f in fired])
             score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             kept = [i for i in range(batch.num_columns) if keep_text or i != text]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(score)], [*(batch.schema.names[i] for i in kept), "score"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(score)], [*(batch.schema.names[i] for i in kept), name])
 
 
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def lexicon(keys: list[str]) -> np.ndarray:
+    """Weights where nothing can be fitted: any word of the lexicon marks a text."""
+    weights = np.zeros(4 + len(keys) + len(PATTERNS))
+    weights[:2] = -3, 5
+    return weights
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Voters, np.ndarray]:
     """Voters and classifier weights, from training rows only."""
+    spark = ship(docs.sparkSession)
     usable = labels.where(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     sample = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     known = sample.toPandas()
-    marked = docs.sparkSession.createDataFrame([(int(a), int(b)) for a, b in zip(known.doc_id, known.toxic)], "doc_id long, toxic int")
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(marked), "doc_id").select("toxic", "text")
-    keys = [w for w in dict.fromkeys(INSULTS)]
+    plain = list(dict.fromkeys(INSULTS))
     n1 = int((known.toxic > 0).sum())
     n0 = len(known) - n1
-    if n1 and n0:
-        counts = rows.mapInArrow(_count_keys, "key string, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        ratio = ((F.col("toxic") + 0.1) / (n1 + 0.2)) / ((F.col("clean") + 0.1) / (n0 + 0.2))
-        strong = counts.where((F.col("toxic") >= max(3, n1 // 500)) & (ratio >= LEAST_RATIO))
-        found = strong.orderBy(F.desc(F.col("toxic") * F.log(ratio)), "key").limit(MAX_INDUCED).toPandas()
-        keys += [k for k in found.key if k not in set(keys)]
+    if min(n1, n0) < LEAST_LABELS:
+        return Voters(plain), lexicon(plain)
+    marked = spark.createDataFrame([(int(a), int(b)) for a, b in zip(known.doc_id, known.toxic)], "doc_id long, toxic int")
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(marked), "doc_id").select("doc_id", "toxic", "text")
+    counts = rows.mapInArrow(_count_keys, "key string, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    ratio = ((F.col("toxic") + 0.1) / (n1 + 0.2)) / ((F.col("clean") + 0.1) / (n0 + 0.2))
+    strong = counts.where((F.col("toxic") >= max(3, n1 // 500)) & (ratio >= LEAST_RATIO))
+    found = strong.orderBy(F.desc(F.col("toxic") * F.log(ratio)), "key").limit(MAX_INDUCED).toPandas()
+    keys = list(dict.fromkeys([*plain, *found.key]))
     voters = Voters(keys)
-    got = rows.mapInArrow(partial(_votes, voters=voters), "toxic int, fired array<long>, hits long, words long").toPandas()  # at most SAMPLE rows, repeats of a document apart
-    votes = np.zeros((len(got), voters.n))
+    voted = rows.mapInArrow(partial(_votes, voters=voters), "doc_id long, toxic int, fired array<long>, hits long, words long").distinct()
+    got = voted.orderBy(F.xxhash64("doc_id", "fired", "hits", "words"), "doc_id").limit(SAMPLE).toPandas()  # SAMPLE bounds rows, not only documents
+    votes = np.zeros((len(got), voters.n), np.float32)
     for i, f in enumerate(got.fired):
         votes[i, np.asarray(f, np.int64)] = 1
-    if not len(got):  # nothing to fit on: the written-down lexicon alone
-        weights = np.zeros(4 + voters.n)
-        weights[:2] = -3, 5
-        return voters, weights
-    lexical = votes[:, : len(keys)].any(axis=1)
-    model = fit_label_model(votes, lexical, min(0.5, max(0.01, n1 / max(1, n1 + n0))))
-    q = model.posterior(votes, lexical)
+    toxic, lexical = got.toxic.to_numpy() > 0, votes[:, : len(keys)].any(axis=1)
+    if min(toxic.sum(), (~toxic).sum()) < LEAST_LABELS:
+        return Voters(plain), lexicon(plain)
+    model = fit_label_model(votes, lexical, min(0.5, max(0.01, n1 / (n1 + n0))))
     x = features(votes, got.hits.to_numpy(float), got.words.to_numpy(float))
-    weights = fit_logistic(x, q)
-    weights[0] -= cut(x @ weights, got.toxic.to_numpy() > 0) - np.log(THRESHOLD / (1 - THRESHOLD))
+    weights = fit_logistic(x, model.posterior(votes, lexical))
+    at = cut(x @ weights, toxic, float(weights[0]))
+    if at is None:
+        return Voters(plain), lexicon(plain)
+    weights[0] -= at - np.log(THRESHOLD / (1 - THRESHOLD))
     return voters, weights
 
 
@@ -255,7 +320,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` without the documents that are predicted toxic."""
     voters, weights = fit(docs, table(spark, sf_dir, "labels"))
-    columns = docs.columns
+    columns, name = docs.columns, "score"
+    while name.lower() in (c.lower() for c in columns):
+        name += "_"
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    scores = partial(_scores, voters=voters, weights=weights, text=columns.index("text"), keep_text=True)
-    return docs.mapInArrow(scores, f"{schema}, score double").where(F.col("score") < THRESHOLD).select(*columns)
+    scores = partial(_scores, voters=voters, weights=weights, text=columns.index("text"), keep_text=True, name=name)
+    return docs.mapInArrow(scores, f"{schema}, `{name}` double").where(F.col(name) < THRESHOLD).select(*(F.col(f"`{c}`") for c in columns))

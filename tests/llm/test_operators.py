@@ -192,6 +192,35 @@ def test_toxicity_of_messy_and_empty(spark, messy, none):
     assert op4_toxicity.score(none, labels).count() == 0
 
 
+def labels_of(spark, toxic):
+    return spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+
+
+@pytest.mark.parametrize("n, toxic", [(1, lambda i: 1), (8, lambda i: int(i < 3)), (400, lambda i: 1), (400, lambda i: 0), (400, lambda i: int(i % 2))])
+def test_toxicity_survives_few_and_senseless_labels(spark, n, toxic):
+    rows = [(i, f"a calm report number {i} on the harbour and its {i % 7} boats") for i in range(600)] + [(1000, "what a pathetic idiot, you are worthless scum")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in op4_toxicity.score(docs, labels_of(spark, {i: toxic(i) for i in range(n)})).collect()}
+    assert got.pop(1000) == 1 and sum(got.values()) == 0
+
+
+def test_toxicity_bounds_the_rows_of_a_repeated_document(spark, monkeypatch):
+    monkeypatch.setattr(op4_toxicity, "SAMPLE", 100)
+    bad = "you idiot, pathetic scum, worthless moron "
+    rows = [(0, f"{bad * (i % 9 + 1)} {i}") for i in range(2000)] + [(i, f"{bad} {i}" if i % 2 else f"a calm report {i}") for i in range(1, 300)]
+    seen = []
+    fit = op4_toxicity.fit_label_model
+    monkeypatch.setattr(op4_toxicity, "fit_label_model", lambda votes, *a: seen.append(len(votes)) or fit(votes, *a))
+    got = {r.doc_id: r.predicted for r in op4_toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), labels_of(spark, {i: int(i % 2 or i == 0) for i in range(300)})).collect()}
+    assert seen and max(seen) <= 100 and got[1] == 1 and got[2] == 0
+
+
+def test_toxicity_stage_of_messy_and_empty(spark, sf, messy, none):
+    kept = op4_toxicity.stage(spark, messy, sf)
+    assert kept.columns == messy.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(m[0]) for m in MESSY if m[0] != 8)
+    assert op4_toxicity.stage(spark, none, sf).count() == 0
+
+
 def test_label_model_tells_good_voters_from_noise():
     rng = np.random.default_rng(1)
     y = rng.random(4000) < 0.2
@@ -201,7 +230,11 @@ def test_label_model_tells_good_voters_from_noise():
     model = op4_toxicity.fit_label_model(votes, votes[:, :7].any(axis=1), 0.2)
     ratio = np.log(model.toxic / model.clean)
     assert ratio[:6].min() > 1 > abs(ratio[7:]).max()
-    assert model.weight[0] < 0.7 and model.weight[1] > 0.8  # a voter and its copy share their weight
+    assert model.parent[6] == 0 or model.parent[0] == 6  # a voter's copy hangs on it and adds nothing where it fires
+    one, copy = np.zeros((2, 9)), np.array([[1.0, 0, 0, 0, 0, 0, 1, 0, 0]])
+    one[0, 0] = one[1, 1] = 1
+    alone, echoed = model.posterior(one[1:], np.array([True]))[0], model.posterior(copy, np.array([True]))[0]
+    assert np.log(echoed / (1 - echoed)) < 1.5 * np.log(alone / (1 - alone)) + 1
     q = model.posterior(votes, votes[:, :7].any(axis=1))
     assert ((q > 0.5) == y).mean() > 0.9
 
