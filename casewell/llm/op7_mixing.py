@@ -1,20 +1,22 @@
 """Operator 7, mixing sources to target weights in fixed-length blocks.
 
 Every source is one stream of its documents' words (in the order of a hash of identifier, text and
-place in the file, not of the file's path), cut into blocks of
-``BLOCK`` words. Each output shard draws how many blocks it takes of each source from a multinomial
-over what the targets still lack. The k-th slot of a
-source reads block perm(k): a keyed pseudorandom permutation of its block numbers, a fresh one for
-each pass over the source. Its last slot reads only the first words of its block, as many as are
-missing, so the totals meet the targets to the word. Slots join blocks by (source, block).
+place in the file, not of the file's path), cut into blocks of ``BLOCK`` words. Each output shard of
+about ``SHARD_SLOTS`` slots draws from a multinomial over the targets how many slots each source gets in
+it; the shards draw apart, in tasks, and what a source was drawn too often or not often enough for its
+target is taken from its last shards or dealt to shards by hash. The k-th slot of a source reads block
+perm(k): a keyed pseudorandom permutation of its block numbers, a fresh one for each pass over the
+source. Its last slot reads only the first words of its block, as many as are missing, so the totals
+meet the targets to the word. Slots join blocks by (source, block).
 
-Positions come from sums over hash buckets of about 16,384 rows, so a source that holds a third of
-all rows is many tasks, not one. The driver sees one row per source and the drawn counts, at most
-``MOST_SHARDS`` rows per source.
+Positions come from sums over hash buckets of about ``BUCKET`` rows, so a source that holds a third of
+all rows is many tasks, not one. The driver sees one row per source and nothing per slot or shard.
 
 Defined results: null text has size 0; sources go by code point, null last as a source of its own;
 a source without words has target 0; a document of size 0 takes 0; repeated rows are told apart by
 their place in the file; an empty table gives no rows; other columns are ignored. Reruns agree.
+``mixed_blocks`` gives the output shards themselves, block by block; ``stage`` gives what the mix holds of
+each document, as rows with the documents' own columns.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import carried, chars_of, crc32_text, filed, n_words, pieces_for, replaced, saved, table, text_of, with_row_id
 
-BLOCK, SHARD_SLOTS, MOST_SHARDS, BUCKET, SEED = 128, 4096, 4096, 16_384, 20_240
+BLOCK, SHARD_SLOTS, BUCKET, SEED = 128, 4096, 2048, 20_240
+#: Shards that a task draws for.
+SHARDS_A_TASK = 256
 
 
 def weight_of(k: int) -> int:
@@ -52,19 +56,41 @@ def fill_targets(sizes: list[int], most: float = 3.0) -> list[float]:
     return target
 
 
-def draw_counts(slots: list[int]) -> list[tuple[int, int, int, int]]:
-    """(shard, source, first slot of the source, slots) of every output shard that takes some of a source."""
-    left, done, rows = np.array(slots, np.int64), np.zeros(len(slots), np.int64), []
-    n_shards = min(MOST_SHARDS, max(1, math.ceil(left.sum() / SHARD_SLOTS))) if len(slots) else 0
-    for shard in range(n_shards):
-        take = math.ceil(left.sum() / (n_shards - shard))
-        if not take:
-            break
-        drawn = np.random.default_rng([SEED, shard]).multinomial(take, left / left.sum())
-        drawn = left.copy() if shard == n_shards - 1 else np.minimum(drawn, left)
-        rows += [(shard, int(s), int(done[s]), int(drawn[s])) for s in np.flatnonzero(drawn)]
-        done, left = done + drawn, left - drawn
-    return rows
+def draw(shard: int, take: int, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sources and slots of each that an output shard draws: multinomial, with chances in proportion to ``slots``."""
+    ends = np.cumsum(slots)
+    hit = np.random.default_rng([SEED, shard]).integers(0, ends[-1], take)
+    return np.unique(np.searchsorted(ends, hit, "right"), return_counts=True)
+
+
+def draw_counts(spark: SparkSession, slots: list[int]) -> DataFrame:
+    """shard, source_no, first (slot of the source), n: every source's slots, each once, in its shards."""
+    held, total = np.array(slots, np.int64), int(sum(slots))
+    n_shards = max(1, -(-total // SHARD_SLOTS))
+
+    def shards(batches):
+        for pdf in batches:
+            for shard in pdf.id.tolist():
+                which, n = draw(shard, total * (shard + 1) // n_shards - total * shard // n_shards, held) if total else (held[:0], held[:0])
+                yield pd.DataFrame({"shard": np.full(len(which), shard, np.int64), "source_no": which.astype(np.int32), "n": n})
+
+    drawn = spark.range(0, n_shards, 1, pieces_for(n_shards, SHARDS_A_TASK)).mapInPandas(shards, "shard long, source_no int, n long")
+    drawn = saved(drawn.withColumn("group", F.expr(f"shard div {SHARDS_A_TASK}")), "mix-drawn")
+    sums = drawn.groupBy("source_no", "group").agg(F.sum("n").alias("n"))
+    ahead = Window.partitionBy("source_no").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("source_no", "group", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"), "n")
+    before = Window.partitionBy("source_no", "group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    placed = drawn.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(sums.drop("n"), ["source_no", "group"])
+    placed = placed.select("shard", "source_no", (F.col("ahead") + F.col("before")).alias("first"), "n")
+    wanted = spark.createDataFrame([(k, int(n)) for k, n in enumerate(slots)], "source_no int, slots long")
+    kept = placed.join(wanted, "source_no").withColumn("n", F.least("n", F.col("slots") - F.col("first"))).where("n > 0").drop("slots")
+    got = sums.groupBy("source_no").agg(F.sum("n").alias("got"))
+    lack = wanted.join(got, "source_no", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("slots > got")
+    # what a source still lacks, in runs of up to SHARD_SLOTS slots of which each goes to a shard of its own
+    runs = lack.select("source_no", "slots", F.explode(F.sequence("got", F.col("slots") - 1, F.lit(SHARD_SLOTS))).alias("low"))
+    more = runs.select("source_no", F.explode(F.sequence("low", F.least(F.col("slots"), F.col("low") + SHARD_SLOTS) - 1)).alias("first"))
+    more = more.select(F.pmod(F.xxhash64("source_no", "first"), F.lit(n_shards)).alias("shard"), "source_no", "first", F.lit(1).cast("long").alias("n"))
+    return kept.select("shard", "source_no", "first", "n").unionByName(more)
 
 
 def permuted(k: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -127,7 +153,7 @@ def _block_of(k: pd.Series, n: pd.Series, source_no: pd.Series) -> pd.Series:
 
 def _read(parts: DataFrame) -> DataFrame:
     """Parts of documents cut to the words that their slot reads of the block."""
-    return parts.where(F.col("at") < F.col("most")).withColumn("words", F.least("words", F.col("most") - F.col("at"))).drop("at", "most")
+    return parts.where(F.col("at") < F.col("most")).withColumn("words", F.least("words", F.col("most") - F.col("at"))).drop("most")
 
 
 class Mix:
@@ -136,7 +162,7 @@ class Mix:
     def __init__(self, docs: DataFrame):
         spark = docs.sparkSession
         light = with_row_id(docs.select("doc_id", "text", "source")).select("file_no", "row_no", "doc_id", "source", n_words(text_of()).alias("size"), F.xxhash64("row_no", "doc_id", crc32_text()).alias("order"))
-        light = saved(light, "mix-rows")
+        light = saved(light, "mix-rows")  # one row per document, without its text
         found = sorted(light.groupBy("source").agg(F.sum("size"), F.count("*")).collect(), key=lambda r: (r[0] is None, r[0] or ""))
         sizes, n_rows = [r[1] for r in found], sum(r[2] for r in found)
         targets = fill_targets(sizes)
@@ -156,10 +182,10 @@ class Mix:
         within = Window.partitionBy("source_no", "bucket").orderBy("order", "row_no", "doc_id", "file_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         light = light.withColumn("running", F.sum("size").over(within)).join(offsets, ["source_no", "bucket"])
         self.rows = saved(light.select("file_no", "row_no", "doc_id", "size", "source_no", (F.col("offset") + F.col("running") - F.col("size")).alias("start")), "mix-places")
-        counts = spark.createDataFrame(draw_counts(slots), "shard int, source_no int, first long, n long")
+        counts = saved(draw_counts(spark, slots), "mix-counts")
         ended = self.sources.select("source_no", "n_blocks", "n_slots", "last")
         counts = counts.join(F.broadcast(ended) if len(known) <= 10_000 else ended, "source_no")
-        counts = counts.repartition(max(1, min(2000, sum(slots) // 20_000)), "shard", "source_no")
+        counts = counts.repartition(pieces_for(sum(slots), 100_000), "shard", "source_no")
         slot = counts.select("shard", "source_no", "n_blocks", "n_slots", "last", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("slot"))
         slot = slot.withColumn("block", F.pandas_udf(_block_of, "long")("slot", "n_blocks", "source_no"))
         self.slots = slot.select("shard", "source_no", "slot", "block", F.expr("slot div n_blocks").cast("int").alias("turn"), F.when(F.col("slot") == F.col("n_slots") - 1, F.col("last")).otherwise(BLOCK).alias("most"))
@@ -174,7 +200,7 @@ class Mix:
         return parts.select("file_no", "row_no", "source_no", "block", (low - F.col("start")).alias("from_word"), (high - low).alias("words"), (low - F.col("block") * BLOCK).alias("at"))
 
     def drawn(self) -> DataFrame:
-        """Each slot's parts of documents: shard, slot, turn, file_no, row_no, from_word, words."""
+        """Each slot's parts of documents: shard, slot, turn, file_no, row_no, from_word, words, at."""
         parts = self.slots.hint("merge").join(self.pieces(), ["source_no", "block"])  # slots are exploded: no size estimate holds
         return _read(parts)
 
@@ -192,6 +218,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(sources, "source_no").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def _pieces(batches):
+    """The words of every part of a document, with single spaces between them."""
+    import re
+
+    import pyarrow as pa
+
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    names = ["shard", "source_no", "slot", "at"]
+    for batch in batches:
+        for doc_id, text, parts in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            words = word.findall(text)
+            out = [pa.array([doc_id] * len(parts), pa.int64())] + [pa.array([p[c] for p in parts], pa.int32() if c == "source_no" else pa.int64()) for c in names]
+            text_ = pa.array([" ".join(words[p["from_word"] : p["from_word"] + p["words"]]) for p in parts])
+            yield pa.RecordBatch.from_arrays([*out, text_], ["doc_id", *names, "text"])
+
+
 def _cut(batches):
     """Texts cut to the taken ranges of words; a range is (from, to)."""
     import re
@@ -217,6 +259,17 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc", "text_"])
 
 
+def mixed_blocks(docs: DataFrame) -> DataFrame:
+    """The output shards: shard, slot and source_no of every block, doc_id, at (where in the block its words stand) and text of its
+    pieces. A shard's slots are ordered by a hash, so its sources are mixed inside it too."""
+    docs = filed(docs)
+    mix = Mix(docs)
+    parts = mix.drawn().groupBy("file_no", "row_no").agg(F.collect_list(F.struct("shard", "source_no", "slot", "at", "from_word", "words")).alias("parts"))
+    rows = with_row_id(docs.select("doc_id", "text")).join(parts, ["file_no", "row_no"]).select("doc_id", "text", "parts")
+    schema = "doc_id long, shard long, source_no int, slot long, at long, text string"
+    return rows.mapInArrow(_pieces, schema).withColumn("place", F.xxhash64("shard", "source_no", "slot"))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row per document and pass over its source, with the words that the drawn blocks take of it."""
     docs = filed(docs)

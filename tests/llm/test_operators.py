@@ -370,6 +370,41 @@ def test_mix_meets_small_targets_to_the_word(spark):
     assert {r.source_no: round(r.target) for r in mix.sources.collect() if round(r.target)} == taken.to_dict()
 
 
+def test_mix_draws_every_slot_once(spark, monkeypatch):
+    monkeypatch.setattr(op7_mixing, "SHARD_SLOTS", 16)
+    monkeypatch.setattr(op7_mixing, "SHARDS_A_TASK", 3)
+    slots = [500, 0, 1, 37, 9]
+    rows = op7_mixing.draw_counts(spark, slots).collect()
+    assert sorted((r.source_no, k) for r in rows for k in range(r["first"], r["first"] + r.n)) == [(s, k) for s, n in enumerate(slots) for k in range(n)]
+    size = Counter()
+    for r in rows:
+        size[r.shard] += r.n
+    assert set(size) <= set(range(35)) and max(size.values()) < 40
+    which, n = op7_mixing.draw(3, 1000, np.array([1, 0, 3]))
+    assert which.tolist() == [0, 2] and n.sum() == 1000 and abs(n[0] - 250) < 60
+
+
+def test_mix_of_many_sources(spark):
+    rows = [(i, f"one two three {i} five", f"s{i % 2500}") for i in range(5000)]
+    mix = op7_mixing.Mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    taken = {r.source_no: r.n for r in mix.rows.join(mix.taken(), ["file_no", "row_no"]).groupBy("source_no").agg({"taken": "sum"}).withColumnRenamed("sum(taken)", "n").collect()}
+    assert all(abs(taken.get(r.source_no, 0) - r.target) <= 0.5 for r in mix.sources.collect())
+
+
+def test_mixed_blocks_hold_what_was_drawn(spark, docs, texts):
+    rows = op7_mixing.mixed_blocks(docs).collect()
+    mix = op7_mixing.Mix(docs)
+    assert sum(len(words(r.text)) for r in rows) == mix.taken().agg({"taken": "sum"}).first()[0]
+    blocks = defaultdict(list)
+    for r in rows:
+        assert r.text in " ".join(words(texts[r.doc_id]))
+        blocks[r.source_no, r.slot].append((r.at, len(words(r.text)), r.shard))
+    for parts in blocks.values():
+        parts.sort()
+        assert [a for a, _, _ in parts] == [sum(n for _, n, _ in parts[:i]) for i in range(len(parts))] and len({s for *_, s in parts}) == 1
+        assert sum(n for _, n, _ in parts) <= op7_mixing.BLOCK
+
+
 def test_mix_of_messy_and_empty(spark, messy, none):
     mix = op7_mixing.Mix(messy)
     assert mix.rows.count() == len(MESSY)
