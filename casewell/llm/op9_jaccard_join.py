@@ -1,18 +1,26 @@
 """Operator 9, n-gram Jaccard join over a MinHash LSH forest with exact verification.
 
 A text is its set of five-word shingles (a text of one to four words is one shingle); texts with
-equal sets are one node. Every node has a MinHash signature per tree; the forest matches signature
-prefixes, and prefixes are shortened from ``DEPTH`` until a pair at the threshold is found in some
-tree with ``RECALL``. Matches hang on the least node of their bucket, so a bucket of n nodes makes
-n - 1 edges, never pairs. Inside each connected candidate group all texts are compared exactly, by
-counts of shared shingles: groups of up to ``CELL`` nodes in one task, larger ones cut in blocks with
-a task for every pair of blocks. A task returns one row per node (its links, and the node it hangs
-on), never pairs. Verified links make the classes.
-
-Links between texts that LSH put in one group are all verified, even those that no bucket matched.
+equal sets are one node. A node has a signature of ``DEPTH`` MinHash values in each of ``TREES`` trees.
+A tree is the sorted list of its signatures, that is a prefix trie in order: nodes that share a prefix
+stand next to each other, and how long a prefix two neighbours share says how deep they part. Nodes are
+dealt to tasks by tree and first values, sorted there and read once; no bucket is ever a group.
+
+Prefixes are matched as long as possible and shortened until the recall suffices. In two trees
+neighbours' sketches tell how similar the pairs of this table are; weighted by the chance of being
+seen at all, they give the recall of every prefix length over all trees. The longest prefix that reaches
+``RECALL`` is taken. It is never shorter than the one that reaches it for pairs at the threshold itself
+(``shortest``), where no estimate is needed.
+
+Nodes that share a run (a matched prefix in some tree) are candidates. Connected candidates, in the order
+of the first tree, are cut in blocks of up to ``BLOCK`` nodes. A block is verified inside itself and with
+every block that it shares a run with: exactly, by counts of shared shingles. So a chain of candidates
+costs its neighbouring blocks, not all pairs, and a run of n nodes n rows, not pairs. A task returns one
+row per node (its links, and the node it hangs on). Verified links make the classes.
 
 Defined results: class_id is the least doc_id of the class; n_links counts the different texts (by
 shingle set) at or above the threshold, copies apart; n_copies the other rows with an equal set.
+Sets of fewer than four shingles have no links (no other set can be as near as 4 / 5).
 Null texts and texts without words are classes of their own without links or copies. Null doc_ids
 get no class_id from themselves. Repeated rows are copies; an empty table gives no rows; other
 columns are ignored.
@@ -26,30 +34,52 @@ from functools import lru_cache, partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import carried, filed, pieces_for, replaced, saved, slices, table, text_of, with_row_id
 from .components import components
 
-N, TREES, DEPTH, RECALL, CELL, PACK, SEED = 5, 20, 8, 0.9995, 768, 512, 5
+N, TREES, DEPTH, RECALL, BLOCK, PACK, SEED = 5, 20, 8, 0.9995, 384, 512, 5
 #: Similarity at or above 4 / 5.
 TOP, BOTTOM = 4, 5
-ASCII_BLANKS = " \t\n\x0b\x0c\r"
+#: Trees whose neighbours are compared to estimate the recall.
+JUDGED = 2
+#: Every ASCII blank as a space.
+BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+
+
+def recall_at(similarity: float, prefix: int) -> float:
+    """Chance that a pair shares a prefix of that length in some tree."""
+    return 1 - (1 - similarity**prefix) ** TREES
+
 
+def shortest(threshold: float = TOP / BOTTOM) -> int:
+    """The longest prefix that finds a pair at the threshold with ``RECALL``; four values at least, by which nodes are dealt."""
+    return max(k for k in range(4, DEPTH + 1) if k == 4 or recall_at(threshold, k) >= RECALL)
 
-def prefix_length(threshold: float = TOP / BOTTOM, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix at which a pair at the threshold matches in some tree with the target recall."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+
+def prefix_for(pairs: dict[int, int]) -> int:
+    """The longest prefix with ``RECALL`` over the pairs seen in the judged trees: how many of them by equal values of
+    the sketch (of all but the tree where they met). A pair stands for as many as were likely to be missed."""
+    low, values = shortest(), (TREES - 1) * DEPTH
+    near = {max(m / values, TOP / BOTTOM): 0.0 for m in pairs if m / values >= TOP / BOTTOM - 0.03}
+    for m, n in pairs.items():
+        s = max(m / values, TOP / BOTTOM)
+        if m / values >= TOP / BOTTOM - 0.03:
+            near[s] += n / s**low
+    total = sum(near.values())
+    fits = [k for k in range(low, DEPTH + 1) if sum(w * recall_at(s, k) for s, w in near.items()) >= RECALL * total]
+    return max(fits, default=low)
 
 
 @lru_cache(maxsize=1)
 def _constants() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
-    odd = lambda n: rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return odd(N), odd(TREES * prefix_length()), odd(TREES * prefix_length())
+    odd = lambda n, kind, top: rng.integers(1, top, n, dtype=kind) * kind(2) + kind(1)
+    return odd(N, np.uint64, 1 << 63), odd(TREES * DEPTH, np.uint32, 1 << 31), rng.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -59,67 +89,130 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
-def _blanks():
-    return str.maketrans(dict.fromkeys(ASCII_BLANKS, " "))
-
-
-def word_hashes(texts: list[str]) -> list[np.ndarray]:
-    """64-bit hashes of the words of each text; every distinct word of the batch is hashed once."""
-    import pyarrow.compute as pc
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words in turn, and the number of each text's; a distinct word is hashed once."""
     import xxhash
 
-    flat = [t.translate(_blanks()) for t in texts]
-    lists = pc.split_pattern(pa.array(flat, pa.large_string()), " ")
+    lists = pc.split_pattern(pa.array([t.encode().translate(BLANKS) for t in texts], pa.large_binary()), b" ")
     words = lists.flatten().dictionary_encode()
-    seen = words.dictionary.to_pylist()
-    known = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in seen), np.uint64, len(seen))
-    full = np.fromiter(map(bool, seen), bool, len(seen))
-    which = words.indices.to_numpy()
-    bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    return [known[w[full[w]]] for w in (which[a:b] for a, b in zip(bounds[:-1], bounds[1:]))]
-
-
-def shingles(h: np.ndarray) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text's word hashes."""
-    if not len(h):
-        return h
-    a, n = _constants()[0], min(N, len(h))
+    seen, which = words.dictionary.to_pylist(), words.indices.to_numpy()
+    known = np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen))
+    full = np.fromiter(map(bool, seen), bool, len(seen))[which]
+    text = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    return known[which[full]], np.bincount(text[full], minlength=len(texts))
+
+
+def _hashed(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of ``n`` words."""
+    a, s = _constants()[0], np.full(max(0, len(h) - n + 1), n, np.uint64)
     with np.errstate(over="ignore"):
-        s = np.full(len(h) - n + 1, len(h) if len(h) < N else N, np.uint64)
         for j in range(n):
             s = mixed(s * a[j] + h[j : len(h) - n + 1 + j])
-    return np.unique(s)
+    return s
+
+
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text."""
+    h, counts = word_hashes(texts)
+    every, at, out = _hashed(h, N), 0, []
+    for n in counts.tolist():
+        out.append(np.unique(every[at : at + n - N + 1]) if n >= N else _hashed(h[at : at + n], n) if n else h[:0])
+        at += n
+    return out
 
 
-def forest_keys(s: np.ndarray) -> np.ndarray:
-    """One key per tree: the tree's number and the matched signature prefix."""
-    k, (_, a, b) = prefix_length(), _constants()
-    low = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
+def signature(s: np.ndarray) -> np.ndarray:
+    """Least value of the set under each of the TREES * DEPTH hash functions."""
+    _, a, b = _constants()
+    x, low = (s >> np.uint64(32)).astype(np.uint32), np.full(len(a), np.iinfo(np.uint32).max, np.uint32)
     with np.errstate(over="ignore"):
-        for i in range(0, len(s), 2048):
-            low = np.minimum(low, (s[i : i + 2048, None] * a[None, :] + b[None, :]).min(axis=0))
-        key = np.arange(TREES, dtype=np.uint64) + np.uint64(17)
-        for j in range(k):
-            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + low.reshape(TREES, k)[:, j])
-    return key.view(np.int64)
+        for i in range(0, len(x), 1024):
+            low = np.minimum(low, (x[i : i + 1024, None] * a[None, :] + b[None, :]).min(axis=0))
+        return low * np.uint32(0x9E3779B1)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, and of sets that can have links: a pair of longs per tree (four 16-bit values each) and a sketch of one byte per value."""
     for whole in batches:
         for batch in slices(whole, 3):
-            node, keys = [], []
-            for h in word_hashes(batch.column(3).to_pylist()):
-                s = shingles(h)
-                if len(s):
-                    with np.errstate(over="ignore"):
-                        node.append(int(mixed(np.array([mixed(s).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0]))
-                    keys.append(forest_keys(s))
+            node, forest, sketch = [], [], []
+            for s in shingle_sets(batch.column(3).to_pylist()):
+                with np.errstate(over="ignore"):
+                    node.append(int(mixed(np.array([mixed(s).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0]) if len(s) else None)
+                if len(s) >= TOP:
+                    low = signature(s)
+                    forest.append((low >> np.uint32(16)).astype(">u2").view(">i8").astype(np.int64))
+                    sketch.append((low >> np.uint32(8)).astype(np.uint8).tobytes())
                 else:
-                    node.append(None)
-                    keys.append(None)
-            out = [*batch.columns[:3], pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(out, ["file_no", "row_no", "doc_id", "node", "keys"])
+                    forest.append(None)
+                    sketch.append(None)
+            out = [*batch.columns[:3], pa.array(node, pa.int64()), pa.array(forest, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, ["file_no", "row_no", "doc_id", "node", "forest", "sketch"])
+
+
+def _run_heads(batches: Iterator[pa.RecordBatch], prefix: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list]]:
+    """Of a sorted part of the forest (tree, high, low, node): each batch with every row's head, the first row of its run in
+    the batch, or -1 for a run that began in an earlier one; then that one's head row."""
+    last, head = None, None
+    cut = np.uint64(16 * (DEPTH - prefix))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tree, high, low = (batch.column(k).to_numpy().astype(np.int64) for k in range(3))
+        parts = np.column_stack([tree, high, (low.view(np.uint64) >> cut).view(np.int64)])
+        new = np.ones(len(parts), bool)
+        new[1:] = (parts[1:] != parts[:-1]).any(axis=1)
+        new[0] = last is None or (parts[0] != last).any()
+        at = np.maximum.accumulate(np.where(new, np.arange(len(parts)), -1))
+        yield batch, at, new, head
+        last = parts[-1]
+        head = batch.slice(int(at[-1]), 1) if at[-1] >= 0 else head
+
+
+def _compared(batches: Iterator[pa.RecordBatch], prefix: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a run's head and its other nodes, counted by equal values of their sketches outside the tree."""
+    seen = np.zeros(TREES * DEPTH + 1, np.int64)
+    for batch, at, new, head in _run_heads(batches, prefix):
+        rows = np.flatnonzero(~new)
+        if not len(rows):
+            continue
+        sketches = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+        first = sketches[np.maximum(at[rows], 0)]
+        if head is not None:
+            first[at[rows] < 0] = np.frombuffer(head.column(4)[0].as_py(), np.uint8)
+        same = sketches[rows] == first
+        own = batch.column(0).to_numpy()[rows][:, None] == np.arange(TREES * DEPTH) // DEPTH
+        seen += np.bincount((same & ~own).sum(axis=1), minlength=len(seen))
+    m = np.flatnonzero(seen)
+    if len(m):
+        yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(seen[m])], ["same", "n"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch], prefix: int) -> Iterator[pa.RecordBatch]:
+    """tree, node and head (of its run) of every node that shares a run, the heads themselves as well."""
+    for batch, at, new, head in _run_heads(batches, prefix):
+        node, tree = batch.column(3).to_numpy(), batch.column(0).to_numpy()
+        rows = np.flatnonzero(~new)
+        heads = np.where(at[rows] >= 0, node[np.maximum(at[rows], 0)], head.column(3)[0].as_py() if head is not None else 0)
+        first = np.unique(at[rows][at[rows] >= 0])
+        own = head is not None and len(rows) and at[rows[0]] < 0  # the earlier batch's head is told again: sets of blocks are distinct
+        a = np.concatenate([node[rows], node[first], heads[:1] if own else node[:0]])
+        b = np.concatenate([heads, node[first], heads[:1] if own else node[:0]])
+        t = np.concatenate([tree[rows], tree[first], tree[rows[:1]] if own else tree[:0]])
+        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["tree", "node", "head"])
+
+
+def _blocked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """node and block of nodes sorted by root: blocks of up to ``most`` nodes in turn, of one root each."""
+    base, block, held, last = TaskContext.get().partitionId() << 40, 0, 0, None
+    for batch in batches:
+        out = np.empty(batch.num_rows, np.int64)
+        for i, root in enumerate(batch.column(0).to_pylist()):
+            if root != last or held == most:
+                block, held, last = block + 1, 0, root
+            held += 1
+            out[i] = base + block
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out)], ["node", "block"])
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -144,12 +237,12 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verified(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per node of every candidate group in the pack: links found here and the node it hangs on."""
+    """Per node of every pair of blocks in the pack: links found here and the node it hangs on."""
     node, links, on = [], [], []
-    for (_, left, right), part in pdf.groupby(["root", "left", "right"], sort=True):
+    for (left, right), part in pdf.groupby(["left", "right"], sort=True):
         part = part.sort_values("node")
         ids, block = part.node.to_numpy(), part.block.to_numpy()
-        sets = [shingles(h) for h in word_hashes(part.text.tolist())]
+        sets = shingle_sets(part.text.tolist())
         size = np.array(list(map(len, sets)))
         both = shared_counts(sets)
         near = BOTTOM * both >= TOP * (size[:, None] + size[None, :] - both)
@@ -174,28 +267,30 @@ class Join:
 
     def __init__(self, docs: DataFrame):
         rows = with_row_id(filed(docs.select("doc_id", "text")))
-        signed = rows.select("file_no", "row_no", "doc_id", text_of().alias("text")).mapInArrow(_signed, "file_no long, row_no long, doc_id long, node long, keys array<long>")
-        signed = saved(signed, "jaccard-signed")
-        self.light = signed.drop("keys")
+        schema = "file_no long, row_no long, doc_id long, node long, forest array<long>, sketch binary"
+        signed = saved(rows.select("file_no", "row_no", "doc_id", text_of().alias("text")).mapInArrow(_signed, schema), "jaccard-signed")
+        self.light = signed.select("file_no", "row_no", "doc_id", "node")
         some = signed.where("node is not null")
-        reps = some.groupBy("node").agg(F.min(F.struct("file_no", "row_no")).alias("at"), F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.any_value("keys").alias("keys"))
-        reps = saved(reps, "jaccard-nodes")
-        bands = reps.select("node", F.explode("keys").alias("key"))
-        buckets = bands.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
-        edges = bands.join(buckets, "key").select(F.col("node").alias("a"), F.col("least").alias("b"))
-        groups = saved(components(edges, "jaccard-groups"), "jaccard-groups")
-        sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
-        n_nodes = groups.count()
-        half = CELL // 2
-        cells = groups.join(sizes, "root").withColumn("blocks", F.when(F.col("n") <= CELL, 1).otherwise(F.ceil(F.col("n") / half)).cast("int"))
-        cells = cells.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-        cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cells = cells.select("root", "node", "block", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "blocks")
-        pack = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(pieces_for(n_nodes, PACK)))).otherwise(F.xxhash64("root", "left", "right"))
-        places = reps.select("node", "at.file_no", "at.row_no")
-        wanted = groups.select("node").join(places, "node")
-        texts = rows.select("file_no", "row_no", text_of().alias("text")).join(wanted, ["file_no", "row_no"]).select("node", "text")
-        cells = cells.withColumn("pack", pack).join(texts, "node").select("pack", "root", "left", "right", "block", "node", "text")
+        one = F.min_by(F.struct("forest", "sketch"), F.struct("file_no", "row_no"))
+        reps = some.groupBy("node").agg(F.min(F.struct("file_no", "row_no")).alias("at"), F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), one.alias("x"))
+        reps = saved(reps.select("node", "at", "doc_id", "rows", "x.forest", "x.sketch"), "jaccard-nodes")
+
+        runs = saved(self._forest(reps), "jaccard-runs")
+        groups = components(runs.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")), "jaccard-groups")
+        placed = groups.join(reps.select("node", F.col("forest")[0].alias("high"), F.col("forest")[1].alias("low")), "node")
+        placed = placed.repartitionByRange("root", "high", "low", "node").sortWithinPartitions("root", "high", "low", "node").select("root", "node")
+        blocks = saved(placed.mapInArrow(partial(_blocked, most=BLOCK), "node long, block long"), "jaccard-blocks")
+        # pairs of blocks that share a run; a run lists its blocks, never its nodes
+        met = runs.join(blocks, "node").select("tree", "head", "block").distinct()
+        listed = met.groupBy("tree", "head").agg(F.array_sort(F.collect_list("block")).alias("all")).where(F.size("all") > 1)
+        listed = listed.select("all", F.explode("all").alias("left")).select("left", F.explode(F.filter("all", lambda x: x > F.col("left"))).alias("right"))
+        crossed = saved(listed.distinct(), "jaccard-block-pairs")
+        own = blocks.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block", F.col("block").alias("left"), F.col("block").alias("right"))
+        units = own.unionByName(crossed.select(F.col("left").alias("block"), "left", "right")).unionByName(crossed.select(F.col("right").alias("block"), "left", "right"))
+        n_nodes = blocks.count()
+        pack = F.when(F.col("left") == F.col("right"), F.pmod(F.xxhash64("left"), F.lit(pieces_for(n_nodes, PACK)))).otherwise(F.xxhash64("left", "right"))
+        texts = rows.select("file_no", "row_no", text_of().alias("text")).join(blocks.join(reps.select("node", "at.file_no", "at.row_no"), "node"), ["file_no", "row_no"])
+        cells = texts.select("node", "block", "text").join(units, "block").withColumn("pack", pack).select("pack", "left", "right", "block", "node", "text")
         found = saved(cells.groupBy("pack").applyInPandas(_verified, "node long, links long, on long"), "jaccard-links")
         linked = components(found.where("links > 0").select(F.col("node").alias("a"), F.col("on").alias("b")), "jaccard-classes")
         links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
@@ -204,6 +299,19 @@ class Join:
         ids = nodes.groupBy("class_node").agg(F.min("doc_id").alias("class_id"))
         self.nodes = nodes.join(ids, "class_node").select("node", "class_node", "class_id", "n_links", (F.col("rows") - 1).alias("n_copies"))
 
+    def _forest(self, reps: DataFrame) -> DataFrame:
+        """tree, node, head of all runs at the prefix length that the recall asks for."""
+
+        def trees(n: int, *more: str) -> DataFrame:
+            """Sorted signatures of the first n trees; those with equal first values are in one task, in order."""
+            pairs = F.array(*(F.struct(F.lit(t).alias("tree"), F.col("forest")[2 * t].alias("high"), F.col("forest")[2 * t + 1].alias("low")) for t in range(n)))
+            rows = reps.where("forest is not null").select("node", *more, F.explode(pairs).alias("p")).select("p.tree", "p.high", "p.low", "node", *more)
+            return rows.repartition("tree", "high").sortWithinPartitions("tree", "high", "low", "node")
+
+        seen = trees(JUDGED, "sketch").mapInArrow(partial(_compared, prefix=shortest()), "same long, n long")
+        self.prefix = prefix_for({r.same: r.n for r in seen.groupBy("same").agg(F.sum("n").alias("n")).collect()})  # at most TREES * DEPTH rows
+        return trees(TREES).mapInArrow(partial(_joined, prefix=self.prefix), "tree int, node long, head long")
+
     def rows(self) -> DataFrame:
         """file_no, row_no, doc_id, class_id, n_links, n_copies, class_node."""
         found = self.light.join(self.nodes, "node", "left")

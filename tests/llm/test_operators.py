@@ -520,7 +520,7 @@ def test_jaccard_classes_same_as_brute_force(spark):
 
 
 def test_jaccard_large_groups_are_cut_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(op9_jaccard_join, "CELL", 20)
+    monkeypatch.setattr(op9_jaccard_join, "BLOCK", 20)
     base = [f"t{i}" for i in range(120)]
     rng, texts = np.random.default_rng(4), {}
     for i in range(90):
@@ -532,6 +532,44 @@ def test_jaccard_large_groups_are_cut_in_blocks(spark, monkeypatch):
     assert got == brute_classes(texts)
 
 
+def test_prefixes_are_shortened_until_the_recall_suffices():
+    forest = op9_jaccard_join
+    values, low = (forest.TREES - 1) * forest.DEPTH, forest.shortest()
+    assert forest.recall_at(0.8, low) >= forest.RECALL > forest.recall_at(0.8, low + 1)
+    assert forest.prefix_for({}) == low or forest.prefix_for({}) == forest.DEPTH
+    assert forest.prefix_for({values: 50}) == forest.DEPTH and forest.prefix_for({int(0.8 * values): 50}) == low
+    mixed = forest.prefix_for({values: 50, int(0.88 * values): 50})
+    assert low <= mixed <= forest.DEPTH and forest.recall_at(0.88, mixed) > 0.999
+
+
+def test_runs_of_a_sorted_forest():
+    import pyarrow as pa
+
+    rng, forest = np.random.default_rng(7), op9_jaccard_join
+    rows = sorted((int(t), int(h), int(lo), n) for n, (t, h, lo) in enumerate(zip(rng.integers(0, 2, 300), rng.integers(-2, 2, 300), rng.integers(0, 5, 300) << 47)))
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["tree", "high", "low", "node"])
+    for prefix in (4, 5, 8):
+        runs = defaultdict(list)
+        for t, h, lo, n in rows:
+            runs[t, h, lo >> 16 * (8 - prefix)].append(n)
+        want = {(t, n, r[0]) for (t, *_), r in runs.items() if len(r) > 1 for n in r}
+        for size in (1, 7, 300):
+            got = [x for b in forest._joined((batch.slice(i, size) for i in range(0, 300, size)), prefix) for x in zip(*(c.to_pylist() for c in b.columns))]
+            assert set(got) == want
+
+
+def test_jaccard_chains_are_not_compared_in_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(op9_jaccard_join, "BLOCK", 8)
+    texts = {i: " ".join(f"t{j}" for j in range(2 * i, 2 * i + 60)) for i in range(300)}
+    pairs = []
+    verified = op9_jaccard_join.saved
+    monkeypatch.setattr(op9_jaccard_join, "saved", lambda df, name: (lambda out: (name == "jaccard-block-pairs" and pairs.append(out.count())) and out or out)(verified(df, name)))
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in op9_jaccard_join.Join(rows).rows().collect()}
+    assert got == brute_classes(texts) and got[299][0] == 0
+    assert pairs[0] < 0.8 * 38 * 37 / 2
+
+
 def test_jaccard_of_messy_and_empty(spark, messy, none):
     rows = op9_jaccard_join.Join(messy).rows().toPandas()
     assert len(rows) == len(MESSY)
