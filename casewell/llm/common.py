@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import folder as scratch_dir
 from ..session import ship
 
 #: A word is a run of anything but ASCII blanks.
@@ -20,12 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one is taken only where that is unset, as in tests."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    return (place or f"file://{tempfile.gettempdir()}/casewell-scratch-{os.getuid()}").rstrip("/")
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/casewell/{name}-{uuid.uuid4().hex}"
 

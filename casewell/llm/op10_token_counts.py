@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import n_bytes, slices, table, text_of
+from .common import n_bytes, ship, slices, table, text_of
 from .word_encoder import Kept
 
 MARK = "▁"
@@ -84,11 +84,27 @@ def _counted(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row."""
+    ship(docs.sparkSession)
     rows = docs.select("doc_id", n_bytes(text_of()).alias("n_bytes"), text_of().alias("text"))
     counted = rows.mapInArrow(partial(_counted, vocabulary=vocabulary), "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+def _counted_rows(batches: Iterator[pa.RecordBatch], vocabulary: str, text: int) -> Iterator[pa.RecordBatch]:
+    counter = piece_counter(vocabulary)
+    for batch in batches:
+        for part in slices(batch, text):
+            n = counter.count(pc.fill_null(part.column(text), "").to_pylist())
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n)], [*part.schema.names, "n_tokens"])
+
+
+def with_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """``docs`` (none of whose columns is n_tokens) with the number of tokens of every text."""
+    ship(docs.sparkSession)
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    return docs.mapInArrow(partial(_counted_rows, vocabulary=vocabulary, text=docs.columns.index("text")), f"{schema}, n_tokens long")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

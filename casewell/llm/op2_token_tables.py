@@ -4,8 +4,8 @@ One range shuffle by identifier; each task encodes its documents with the librar
 streams them into one file of the shared folder and returns one manifest row. Positions are the
 running sum over manifest rows (one per file), so nothing passes through the driver.
 
-Defined results: null text is an empty document (only the end id); a null identifier sorts first;
-repeated identifiers are kept, ordered by their text's bytes; an empty table gives no files and no
+Defined results: null text is an empty document (only the end id); a null identifier sorts first and can be
+looked up as null; repeated identifiers are kept, ordered by a hash of their text (they may fill several files); an empty table gives no files and no
 rows; other columns are ignored. Files are complete or absent: a task writes under a name of its
 own and renames at the end, so a lost executor or a repeated task leaves one whole file.
 """
@@ -22,11 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder, saved, table, text_of
+from .common import new_folder, saved, ship, table, text_of, with_row_id
 
 MANIFEST = "shard int, file string, n_docs long, n_ids long, first_id long, last_id long"
 #: Documents in a file: about the table's rows over 256, within these bounds.
 LEAST_DOCS, MOST_DOCS = 512, 16384
+#: Most tasks that read files; each reads its files one after another.
+READERS = 65_536
 
 
 def _write_shard(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str, end_id: int) -> Iterator[pa.RecordBatch]:
@@ -50,12 +52,14 @@ def _write_shard(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: str
 
 def write_tables(docs: DataFrame, vocabulary: str, end_id: int = 1, folder: str | None = None) -> DataFrame:
     """Write the files; returns their manifest with ``start``, the ids in all files before."""
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     folder = folder or new_folder(spark, "token-tables")
     rows = docs.select("doc_id").count()
     n = max(1, -(-rows // min(MOST_DOCS, max(LEAST_DOCS, -(-rows // 256)))))
-    dealt = docs.select("doc_id", text_of().alias("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first())
-    sorted_docs = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # the rows of one identifier are told apart, so that many of them are several ranges
+    placed = with_row_id(docs.select("doc_id", text_of().alias("text"))).withColumn("h", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), "h", "row_no", "file_no"]
+    sorted_docs = placed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     manifest = saved(sorted_docs.mapInArrow(partial(_write_shard, folder=folder, vocabulary=vocabulary, end_id=end_id), MANIFEST), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
@@ -86,7 +90,7 @@ def _rows(rows: list[tuple], digest: bool) -> pa.RecordBatch:
 def read_tables(manifest: DataFrame, digest: bool = False) -> DataFrame:
     """Documents from the files: ids, or with ``digest`` their crc32 as little-endian 32-bit integers."""
     last = "ids_crc32 long" if digest else "ids array<long>"
-    files = manifest.select("file", "start").repartition(256)
+    files = manifest.select("file", "start").repartition(max(1, min(READERS, manifest.count())))
     return files.mapInArrow(partial(_read_shards, digest=digest), f"doc_id long, start long, n_tokens long, {last}")
 
 
@@ -104,9 +108,20 @@ def lookup(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(found), pa.int64()), pa.array([x.tolist() for x in found], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
+    # an equality join on spans of identifiers: a file is in every span that it reaches into, at most two per file on average
     ranges = manifest.select("file", "first_id", "last_id")
-    hits = wanted.select(F.col("doc_id").alias("wanted")).distinct().join(ranges, F.col("wanted").between(F.col("first_id"), F.col("last_id")))
-    return hits.select("wanted", "file").repartition("file").mapInArrow(find, "doc_id long, ids array<long>")
+    low, high, n_files = ranges.agg(F.min(F.coalesce("first_id", "last_id")), F.max("last_id"), F.count("*")).first()
+    low, high = (low, high) if high is not None else (0, 0)
+    width = max(1, -(-(high - low + 1) // max(1, n_files)))
+    span = lambda c: F.floor((F.col(c) - low) / width)
+    inside = ranges.where("last_id is not null").withColumn("first", F.coalesce("first_id", F.lit(low)))
+    inside = inside.withColumn("span", F.explode(F.sequence(span("first"), span("last_id"))))
+    asked = wanted.select(F.col("doc_id").cast("long").alias("wanted")).distinct()
+    hits = asked.where(F.col("wanted").between(low, high)).withColumn("span", span("wanted")).join(inside, "span").where("wanted between first and last_id").select("wanted", "file")
+    null_files = ranges.where("first_id is null").select("file")
+    if not asked.where("wanted is null").isEmpty():
+        hits = hits.unionByName(null_files.select(F.lit(None).cast("long").alias("wanted"), "file"))
+    return hits.repartition("file").mapInArrow(find, "doc_id long, ids array<long>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Operator 3, conflict-constrained best-fit packing of documents into sequences of ``CAPACITY`` tokens.
+"""Operator 3, conflict-constrained best-fit packing of documents into sequences of a fixed capacity.
 
 Bins are kept in order of residual capacity and carry two bitmaps: the sources and the duplicate
 clusters they hold. A document goes to the tightest bin that fits and holds neither its source nor its
@@ -9,6 +9,8 @@ documents are cut: whole pieces fill bins of their own, the rest is packed.
 Rows are dealt by a hash of their place in the file to packs of about ``PACK`` rows, so a source or a
 cluster with a third of all rows is spread over all packs; a pack is packed in one task.
 
+The query measures documents in words; the pipeline's stage in tokens of a vocabulary, which operator 10 counts.
+
 Defined results: size is the number of words (or a given column); null and empty texts have size 0 and
 take no room but a place; null sources and null clusters conflict with nothing; repeated rows are
 packed each (as copies they share no bin); an empty table gives no rows; other columns are ignored.
@@ -21,7 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import n_words, pieces_for, saved, table, text_of, with_row_id
+from .common import filed, n_words, pieces_for, saved, ship, table, text_of, with_row_id
+from .op10_token_counts import with_tokens
 
 CAPACITY, PACK = 2048, 8192
 
@@ -80,7 +83,7 @@ class Bins:
 
 
 def pack_rows(size: np.ndarray, source: np.ndarray, cluster: np.ndarray, capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """(row, piece, tokens, bin, offset) of every piece; source and cluster are numbers, -1 conflicts with nothing."""
+    """(row, piece, size, bin, offset) of every piece; source and cluster are numbers, -1 conflicts with nothing."""
     whole, rest = size // capacity, size % capacity
     whole -= (rest == 0) & (size > 0)
     rest = size - whole * capacity
@@ -96,13 +99,15 @@ def pack_rows(size: np.ndarray, source: np.ndarray, cluster: np.ndarray, capacit
     return out
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, size: Column | None = None, cluster: Column | None = None) -> DataFrame:
-    """doc_id, piece, n_tokens, bin, offset; without ``cluster`` equal texts are one duplicate cluster."""
+def pack(docs: DataFrame, capacity: int = CAPACITY, size: Column | None = None, cluster: Column | None = None, unit: str = "n_words") -> DataFrame:
+    """doc_id, piece, size (named ``unit``), bin, offset; without ``cluster`` equal texts are one duplicate cluster.
+    ``size`` and ``cluster`` are computed from the columns of ``docs``."""
+    ship(docs.sparkSession)
     size = n_words(text_of()) if size is None else size.cast("long")
     cluster = F.xxhash64("text") if cluster is None else cluster.cast("long")
-    rows = with_row_id(docs)
     cluster = F.when(F.col("text").isNotNull() & (F.length("text") > 0), cluster)
-    rows = saved(rows.select("file_no", "row_no", "doc_id", "source", size.alias("size"), cluster.alias("cluster")), "packing-rows")
+    held = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").alias("source"), size.alias("size"), cluster.alias("cluster")).alias("held")
+    rows = saved(with_row_id(filed(docs).select(held)).select("file_no", "row_no", "held.*"), "packing-rows")
     rows = rows.withColumn("pack", F.pmod(F.xxhash64("row_no", "file_no"), F.lit(pieces_for(rows.count(), PACK))))
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -110,13 +115,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, size: Column | None = None,
         source = pd.factorize(pdf.source)[0]  # null: -1
         cluster = np.where(pdf.cluster.notna() & pdf.cluster.duplicated(keep=False), pd.factorize(pdf.cluster)[0], -1)
         cluster = np.where(cluster >= 0, np.unique(cluster, return_inverse=True)[1], -1)  # numbers of repeated clusters only
-        got = pd.DataFrame(pack_rows(pdf["size"].to_numpy(), source, cluster, capacity), columns=["row", "piece", "n_tokens", "bin", "offset"])
+        got = pd.DataFrame(pack_rows(pdf["size"].to_numpy(), source, cluster, capacity), columns=["row", "piece", "size", "bin", "offset"])
         doc_id = pdf.doc_id.astype("Int64").to_numpy()[got.row] if pdf.doc_id.isna().any() else pdf.doc_id.astype("int64").to_numpy()[got.row]
         got.insert(0, "doc_id", pd.array(doc_id, "Int64"))
         got["bin"] += int(pdf.pack.iloc[0]) << 32
         return got.drop(columns="row")
 
-    return rows.groupBy("pack").applyInPandas(packed, "doc_id long, piece long, n_tokens long, bin long, offset long")
+    out = rows.groupBy("pack").applyInPandas(packed, "doc_id long, piece long, size long, bin long, offset long")
+    return out.withColumnRenamed("size", unit)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,5 +130,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packing of ``docs``; rows of one document (its repeats in the mix) are one duplicate cluster."""
-    return pack(docs, cluster=F.col("doc_id"))
+    """The packing of ``docs`` by their tokens; rows of one document (its repeats in the mix) are one duplicate cluster."""
+    import public_tokenizers
+
+    counted = with_tokens(docs.select("doc_id", "text", "source"), public_tokenizers.path("piece_bpe_32k.model"))
+    light = counted.select("doc_id", F.substring("text", 1, 1).alias("text"), "source", "n_tokens")  # the text is needed no more, but whether there is one
+    return pack(saved(light, "packing-tokens"), size=F.col("n_tokens"), cluster=F.col("doc_id"), unit="n_tokens")

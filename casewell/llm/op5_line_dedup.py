@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, carried, chars_of, filed, replaced, saved, table, text_of, with_row_id
 
-WORDS, CHARS, EDITS, BLOCK, SMALL = 5, 24, 2, 96, 2_000_000
+WORDS, CHARS, EDITS, BLOCK, SMALL = 5, 24, 2, 96, 250_000
 
 
 def selections(edits: int = EDITS) -> list[tuple[int, int, int]]:
@@ -47,7 +47,7 @@ def segment_keys(line: Column) -> Column:
 
 
 def joined_small(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join with a written table: by broadcast if its counted rows are few, else as Spark chooses."""
+    """Inner join with a written table of two longs or so a row: by broadcast if it has at most ``SMALL`` rows (about 10 MB), else as Spark chooses."""
     return rows.join(F.broadcast(small) if small.count() <= SMALL else small, on)
 
 

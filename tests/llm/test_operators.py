@@ -15,7 +15,7 @@ from casewell.llm import (
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"w{i}" for i in range(9000))
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, key string, shard int, node long, pack long, score double, words long, lines string, label int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, key string, shard int, node long, pack long, score double, words long, lines string, label int, file_no int, row_no string, h long"
 MESSY = [
     (0, None, "en", "a"), (1, "", "en", "a"), (2, "   \n\t ", None, None), (3, LONG, "en", "b"), (4, LONG, "en", "b"), (5, LONG + " end", "de", "b"),
     (6, "one two three", "en", "a"), (7, "one  two\tthree", "en", "c"), (8, "You are an idiot and a moron, worthless scum", "en", "c"),
@@ -27,7 +27,7 @@ MESSY = [
 
 @pytest.fixture(scope="module")
 def messy(spark):
-    return spark.createDataFrame([(i, t, la, s, 1, 2, "k", 3, 4, 5, 0.5, 6, "z", 1) for i, t, la, s in MESSY], SCHEMA)
+    return spark.createDataFrame([(i, t, la, s, 1, 2, "k", 3, 4, 5, 0.5, 6, "z", 1, 7, "r", 8) for i, t, la, s in MESSY], SCHEMA)
 
 
 @pytest.fixture(scope="module")
@@ -72,6 +72,18 @@ def test_shards_split_only_what_no_shard_can_hold(spark):
     assert got[got.doc_id % 3 != 0].groupby("text_crc32").shard.nunique().max() == 1
 
 
+def test_shards_of_a_real_table_have_near_equal_bytes(spark):
+    rows = op1_sharding.query(spark, "/root/testdata/sf0.1").groupBy("shard").agg({"size": "sum", "doc_id": "count"}).toPandas()
+    assert len(rows) == 40 and rows["sum(size)"].max() / rows["sum(size)"].min() < 1.05
+
+
+def test_shards_split_a_repeated_row(spark):
+    got = op1_sharding.shard(spark.createDataFrame([(7, "one and the same row")] * 2000 + [(8, "another")], "doc_id long, text string")).toPandas()
+    by = got.groupby("shard")["size"].sum()
+    assert len(got) == 2001 and len(by) == 40 and by.max() / by.mean() < 1.6
+    assert all(sorted(p.slot) == list(range(len(p))) for _, p in got.groupby("shard"))
+
+
 def test_shards_of_messy_and_empty(messy, none):
     rows = op1_sharding.shard(messy).toPandas()
     assert len(rows) == len(MESSY) and set(rows.law) == {"bytes"} and rows[rows.doc_id == 0]["size"].item() == 16
@@ -109,6 +121,17 @@ def test_token_tables_lookup(spark, docs, word_vocabulary):
     assert got == whole
 
 
+def test_token_tables_lookup_of_null_and_repeated_ids(spark, word_vocabulary, monkeypatch):
+    monkeypatch.setattr(op2_token_tables, "LEAST_DOCS", 8)
+    monkeypatch.setattr(op2_token_tables, "MOST_DOCS", 8)
+    ids = [None] * 20 + [5] * 40 + [-3, 0, 7, 8, 10**12]
+    manifest = op2_token_tables.write_tables(spark.createDataFrame([(i, f"text {n}") for n, i in enumerate(ids)], "doc_id long, text string"), word_vocabulary)
+    assert manifest.count() > 4
+    wanted = spark.createDataFrame([(None,), (5,), (7,), (10**12,), (6,), (-(10**9),)], "doc_id long")
+    got = Counter(r.doc_id for r in op2_token_tables.lookup(manifest, wanted).collect())
+    assert got == {None: 20, 5: 40, 7: 1, 10**12: 1}
+
+
 def test_token_tables_of_nothing(none, word_vocabulary):
     assert op2_token_tables.read_tables(op2_token_tables.write_tables(none, word_vocabulary)).count() == 0
 
@@ -126,9 +149,9 @@ def test_word_encoder_equals_the_library(word_vocabulary):
 # ---- 3
 def check_packing(rows, sources, clusters, capacity):
     for _, part in rows.groupby("bin"):
-        part = part.sort_values(["offset", "n_tokens"])
-        assert part.n_tokens.sum() <= capacity
-        assert (part.n_tokens.cumsum() - part.n_tokens == part.offset).all()
+        part = part.sort_values(["offset", "n_words"])
+        assert part.n_words.sum() <= capacity
+        assert (part.n_words.cumsum() - part.n_words == part.offset).all()
         for kind in (sources, clusters):
             held = [kind[i] for i in part.doc_id if kind.get(i) is not None]
             assert len(held) == len(set(held))
@@ -138,7 +161,7 @@ def test_packing_keeps_conflicts_apart(docs, texts):
     rows = op3_packing.pack(docs).toPandas()
     source = {r.doc_id: r.source for r in docs.collect()}
     check_packing(rows, source, {i: t for i, t in texts.items() if t}, op3_packing.CAPACITY)
-    n = rows.groupby("doc_id").n_tokens.sum()
+    n = rows.groupby("doc_id").n_words.sum()
     assert all(n[i] == len(words(t)) for i, t in texts.items())
 
 
@@ -164,10 +187,22 @@ def test_packing_takes_the_tightest_compatible_bin():
 
 def test_packing_of_messy_and_empty(messy, none):
     rows = op3_packing.pack(messy).toPandas()
-    assert rows.n_tokens.sum() == sum(len(words(t or "")) for _, t, *_ in MESSY) and (rows.piece == 0).sum() == len(MESSY)
+    assert rows.n_words.sum() == sum(len(words(t or "")) for _, t, *_ in MESSY) and (rows.piece == 0).sum() == len(MESSY)
     assert op3_packing.pack(none).count() == 0
 
 
+def test_packing_stage_of_messy_and_empty(spark, messy, none):
+    import public_tokenizers
+    from sentencepiece import SentencePieceProcessor
+
+    library = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rows = op3_packing.stage(spark, messy, "").toPandas()
+    assert rows.n_tokens.sum() == sum(len(library.encode(t or "")) for _, t, *_ in MESSY) and rows.groupby("bin").n_tokens.sum().max() <= op3_packing.CAPACITY
+    nine = rows[rows.doc_id == 9]
+    assert len(nine) == 2 and nine.bin.nunique() == 2  # rows of one document share no bin
+    assert op3_packing.stage(spark, none, "").count() == 0
+
+
 # ---- 4
 def test_toxicity_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.1"
