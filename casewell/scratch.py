@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/casewell-scratch-{os.getuid()}").rstrip("/")
+    """The folder of spark.checkpoint.dir. A machine's own folder is taken only where that is unset and the session is
+    local, as in tests: executors of a cluster could not read it."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return (place or f"file://{tempfile.gettempdir()}/casewell-scratch-{os.getuid()}").rstrip("/")
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
