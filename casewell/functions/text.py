@@ -52,6 +52,8 @@ DEFECTS = [
 RAGE = r"(!{3,}|\bwtf\b|\bffs\b|\bdisgrace\b|\bnever again\b|\bworst\b)"
 MULTI_INTENT = r"\b(and also|as well as|plus,|second(?:ly)?,)\b"
 SARCASM = r"(thanks a lot|great job|well done|brilliant|fantastic)\W*$"
+GREETED = r"(?iU)^(?:hi|hey|hello|dear|sorry(?:,| to hear that,)?|thanks(?:,)?)[, ]+([a-z][a-z]{2,})\b"
+NAMED_LATER = r"(?U)\b(?:sorry|apologies|thanks)[^.?!]{0,30}, ([A-Z][a-z]{2,})[!.,]"
 NOT_NAMES = ["there", "all", "guys", "team", "again", "about", "for", "to"]
 
 
@@ -98,26 +100,34 @@ def latin_ratio(text: Column) -> Column:
     return F.when(letters > 0, F.length(F.regexp_replace(filled(text), "[^A-Za-z]", "")) / letters).otherwise(F.lit(0.0))
 
 
-def _share(text: Column, words: list[str]) -> Column:
-    tokens = F.regexp_extract_all(F.lower(filled(text)), F.lit("([a-z']+)"), F.lit(1))
+def function_words(text: Column) -> Column:
+    """The tokens that function words are counted among."""
+    return F.regexp_extract_all(F.lower(filled(text)), F.lit("([a-z']+)"), F.lit(1))
+
+
+def share_of(tokens: Column, words: list[str]) -> Column:
     hits = F.size(F.filter(tokens, lambda w: w.isin(sorted(set(words)))))
     return F.when(F.size(tokens) > 0, hits / F.size(tokens)).otherwise(F.lit(0.0))
 
 
 def english_score(text: Column) -> Column:
-    return _share(text, ENGLISH)
+    return share_of(function_words(text), ENGLISH)
 
 
 def foreign_score(text: Column) -> Column:
-    return _share(text, FOREIGN)
+    return share_of(function_words(text), FOREIGN)
 
 
-def is_probably_english(text: Column) -> Column:
-    english, foreign = english_score(text), foreign_score(text)
+def judged_english(text: Column, english: Column, foreign: Column) -> Column:
+    """The verdict from both shares: callers that need it on many rows project the shares once."""
     elsewhere = (foreign > english) & (foreign >= 0.12)
     return ~(elsewhere | (filled(text).rlike(DIACRITICS) & (english < 0.08) & (foreign > 0)))
 
 
+def is_probably_english(text: Column) -> Column:
+    return judged_english(text, english_score(text), foreign_score(text))
+
+
 def is_usable(text: Column, least: int = 15, latin: float = 0.6) -> Column:
     return (F.length(filled(text)) >= least) & (latin_ratio(text) >= latin)
 
@@ -168,9 +178,9 @@ def adversarial_tags(text: Column) -> Column:
 
 
 def carried_over_name(reply: Column, exemplars: Column) -> Column:
-    """A capitalised name in the greeting that occurs as a word in an exemplar's reply; ``exemplars`` holds brand_reply."""
-    greeting = r"(?U)^(?i:hi|hey|hello|dear|sorry(?:,| to hear that,)?|thanks(?:,)?)[, ]+([A-Z][a-z]{2,})\b"
-    later = r"(?U)\b(?:sorry|apologies|thanks)[^.?!]{0,30}, ([A-Z][a-z]{2,})[!.,]"
+    """A name in the greeting that occurs as a word, in that case, in an exemplar's reply; ``exemplars`` holds brand_reply.
+    A reply that opens with a greeting is judged by it alone, whatever its case; other replies by a capitalised name after an apology."""
+    greeting, later = GREETED, NAMED_LATER
     name = F.coalesce(*(F.nullif(F.regexp_extract(F.trim(filled(reply)), p, 1), F.lit("")) for p in (greeting, later)))
     seen = F.exists(exemplars, lambda e: F.coalesce(F.regexp_like(e["brand_reply"], F.concat(F.lit(r"(?U)\b"), name, F.lit(r"\b"))), F.lit(False)))
     return F.when(~F.lower(name).isin(NOT_NAMES) & F.coalesce(seen, F.lit(False)), name)

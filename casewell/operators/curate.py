@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.hashing import stable_bucket
+from ..scratch import saved
 
 
-def first_reason(message: Column, reply: Column | None = None) -> Column:
-    """The first reason to drop a row, before copies are looked at; null keeps it."""
-    reason = F.when(~T.is_usable(message), "unusable_customer_message").when(~T.is_probably_english(message), "not_english")
-    return reason if reply is None else reason.when(F.trim(T.filled(reply)) == "", "empty_brand_reply")
+def with_reason(rows: DataFrame, message: str, reply: str | None = None) -> DataFrame:
+    """``rows`` with drop_reason: the first reason to drop a row, before copies are looked at; null keeps it. Tokens and
+    shares are projections of their own, so a text is scanned once for them."""
+    text = F.col(message)
+    judged = rows.withColumn("tokens_", T.function_words(text)).withColumns({"english_": T.share_of(F.col("tokens_"), T.ENGLISH), "foreign_": T.share_of(F.col("tokens_"), T.FOREIGN)})
+    reason = F.when(~T.is_usable(text), "unusable_customer_message").when(~T.judged_english(text, F.col("english_"), F.col("foreign_")), "not_english")
+    reason = reason if reply is None else reason.when(F.trim(T.filled(F.col(reply))) == "", "empty_brand_reply")
+    return judged.withColumn("drop_reason", reason).drop("tokens_", "english_", "foreign_")
 
 
 def near_dup_first(rows: DataFrame, message: str, order: list[Column]) -> DataFrame:
@@ -22,12 +27,14 @@ def near_dup_first(rows: DataFrame, message: str, order: list[Column]) -> DataFr
 
 
 def curation_cascade(rows: DataFrame, message: str, order: list[Column], reply: str | None = None) -> DataFrame:
-    """Every row with drop_reason; copies are judged only among rows that nothing else drops."""
-    judged = rows.withColumn("drop_reason", first_reason(F.col(message), F.col(reply) if reply else None))
-    key = F.when(F.col("drop_reason").isNull(), T.dedupe_key(F.col(message)))
-    place = F.row_number().over(Window.partitionBy("key_", "drop_reason").orderBy(*order))
-    judged = judged.withColumn("key_", key).withColumn("place_", F.when(F.col("drop_reason").isNull(), place))
-    return judged.withColumn("drop_reason", F.when(F.col("place_") > 1, "near_duplicate").otherwise(F.col("drop_reason"))).drop("key_", "place_")
+    """Every row with drop_reason; copies are judged only among rows that nothing else drops. ``order`` tells rows apart.
+    The first row of a key is a minimum, aggregated before the shuffle: no key's rows are sorted in one task."""
+    judged = with_reason(rows, message, reply).withColumn("order_", F.struct(*order))
+    judged = saved(judged.withColumn("key_", F.when(F.col("drop_reason").isNull(), T.dedupe_key(F.col(message)))), "curation")
+    firsts = judged.where("key_ is not null").groupBy("key_").agg(F.min("order_").alias("first_"), F.count("*").alias("n_")).where("n_ > 1")
+    marked = judged.join(firsts.drop("n_"), "key_", "left")  # null keys meet nothing
+    again = F.col("first_").isNotNull() & (F.col("order_") != F.col("first_"))
+    return marked.withColumn("drop_reason", F.when(again, "near_duplicate").otherwise(F.col("drop_reason"))).select(*rows.columns, "drop_reason")
 
 
 def hash_split(rows: DataFrame, id_column: str, pool: int = 6) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import saved
+from .features import sketch, term_counts, vocabulary, weighted
 from .metrics import majority_class
 from .sample import position_folds
 
@@ -20,42 +22,53 @@ def featured(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("features", array_to_vector(F.transform("vector", lambda x: x.cast("double"))))
 
 
-def kmeans(vectors: DataFrame, k: int, seed: int = 42, restarts: int = 4):
-    """The model of the lowest cost among the restarts."""
-    rows = featured(vectors).select("features").cache()
-    try:
-        models = [KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(rows) for i in range(restarts)]
-    finally:
-        rows.unpersist()
+def kmeans(rows: DataFrame, k: int, seed: int = 42, restarts: int = 4):
+    """The model of the lowest cost among the restarts; rows: features."""
+    models = [KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(rows) for i in range(restarts)]
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
 def kmeans_assign(vectors: DataFrame, k: int, seed: int = 42, restarts: int = 4) -> DataFrame:
-    return kmeans(vectors, k, seed, restarts).transform(featured(vectors)).select("id", F.col("cluster").cast("int").alias("cluster"))
+    rows = featured(vectors).select("features").persist()
+    try:
+        model = kmeans(rows, k, seed, restarts)
+    finally:
+        rows.unpersist()
+    return model.transform(featured(vectors)).select("id", F.col("cluster").cast("int").alias("cluster"))
 
 
-def choose_k(vectors: DataFrame, ks=range(8, 24, 2), seed: int = 42, restarts: int = 1) -> DataFrame:
-    """k, silhouette (cosine, four digits), chosen: the best score, the lowest k on ties."""
+def choose_k(vectors: DataFrame, ks=range(8, 24, 2), seed: int = 42, restarts: int = 4) -> DataFrame:
+    """k, silhouette (cosine, four digits, over all rows), chosen: the best score, the lowest k on ties."""
     judge, found = ClusteringEvaluator(predictionCol="cluster", featuresCol="features", distanceMeasure="cosine"), []
-    rows = featured(vectors)
-    for k in ks:
-        found.append((int(k), round(float(judge.evaluate(kmeans(vectors, k, seed, restarts).transform(rows))), 4)))
+    rows = featured(vectors).select("features").persist()
+    try:
+        for k in ks:
+            found.append((int(k), round(float(judge.evaluate(kmeans(rows, k, seed, restarts).transform(rows))), 4)))
+    finally:
+        rows.unpersist()
     best = min(found, key=lambda x: (-x[1], x[0]))[0]
     return vectors.sparkSession.createDataFrame([(k, s, k == best) for k, s in found], "k int, silhouette double, chosen boolean")
 
 
-def logreg_oof(rows: DataFrame, folds: int = 5) -> DataFrame:
-    """id, label, pred, confidence, fold: balanced multinomial regression, every row predicted by a model that has not seen it.
-    rows: id, label (double), vector."""
-    rows = featured(position_folds(rows, "id", folds)).cache()
+def logreg_oof(messages: DataFrame, folds: int = 5, dims: int = 1024, iterations: int = 100) -> DataFrame:
+    """id, label, pred, confidence, fold: a balanced multinomial regression on character TF-IDF, every row predicted by
+    a model whose vocabulary, weights and coefficients come from the other folds. messages: id, label (text), message."""
+    rows = saved(position_folds(messages.select("id", "label", "message"), "id", folds), "oof-rows")
+    counts = saved(term_counts(rows, "message").join(rows.select("id", "fold"), "id"), "oof-terms")
+    labels = sorted(r.label for r in rows.select("label").distinct().collect())  # one row per class
+    number = F.element_at(F.create_map(*(F.lit(x) for i, name in enumerate(labels) for x in (name, float(i)))), F.col("label"))
     out = None
     for k in range(folds):
-        train, held = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
-        counts = train.groupBy("label").agg(F.count("*").alias("c"))
-        n, classes = counts.agg(F.sum("c"), F.count("*")).first()
-        weighted = train.join(F.broadcast(counts), "label").withColumn("weight", F.lit(n / classes) / F.col("c"))
-        model = LogisticRegression(standardization=False, regParam=1.0 / n, weightCol="weight", maxIter=50).fit(weighted)
-        one = model.transform(held).select("id", "label", F.col("prediction").alias("pred"), F.array_max(vector_to_array("probability")).alias("confidence"), "fold")
+        n = rows.where(F.col("fold") != k).count()
+        known = saved(vocabulary(counts.where(F.col("fold") != k), n, 1, 100_000), "oof-vocabulary")
+        vectors = saved(sketch(weighted(counts.drop("fold"), known), dims), "oof-vectors")
+        full = featured(rows.join(vectors, "id", "left").withColumn("vector", F.coalesce("vector", F.array_repeat(F.lit(0.0), dims)))).withColumn("number", number)
+        train, held = full.where(F.col("fold") != k), full.where(F.col("fold") == k)
+        sizes = train.groupBy("label").agg(F.count("*").alias("c"))
+        weighed = train.join(F.broadcast(sizes.withColumn("weight", F.lit(float(n)) / (F.count("*").over(Window.partitionBy(F.lit(1))) * F.col("c"))).drop("c")), "label")
+        model = LogisticRegression(standardization=False, regParam=1.0 / max(1, n), weightCol="weight", labelCol="number", maxIter=iterations).fit(weighed)
+        pred = F.element_at(F.array(*map(F.lit, labels)), (F.col("prediction") + 1).cast("int"))
+        one = model.transform(held).select("id", "label", pred.alias("pred"), F.array_max(vector_to_array("probability")).alias("confidence"), "fold")
         out = one if out is None else out.unionByName(one)
     return out
 

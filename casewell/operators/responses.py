@@ -39,10 +39,11 @@ def unfenced(response: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(response), r"^```[A-Za-z]*\s*|\s*```$", ""))
 
 
-def parse_response(response: Column, schema: str, marker: str) -> Column:
-    """The response as a struct of ``schema``; null where it is not such JSON. ``marker`` is a field that must be there."""
-    parsed = F.from_json(unfenced(response), schema, {"mode": "PERMISSIVE"})
-    return F.when(parsed[marker].isNotNull(), parsed)
+def parse_response(response: Column, schema: str, marker: str | None = None) -> Column:
+    """The response as a struct of ``schema``; null where it is no JSON object. ``marker`` is a field that must be there."""
+    parsed = F.from_json(unfenced(response), f"{schema}, broken_ string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken_"})
+    there = parsed["broken_"].isNull() if marker is None else parsed[marker].isNotNull()
+    return F.when(parsed.isNotNull() & there, parsed)
 
 
 def clamp(value: Column, low, high) -> Column:
@@ -51,18 +52,19 @@ def clamp(value: Column, low, high) -> Column:
 
 
 def validate_classification(rows: DataFrame, names: list[str], response: str = "response") -> DataFrame:
-    """intent, confidence, rationale, secondary_intent, ok, error. Unknown labels become ``other`` with confidence 0."""
-    p = parse_response(F.col(response), schemas.CLASSIFICATION, "intent")
-    known = p["intent"].isin(names)
+    """intent, confidence, rationale, secondary_intent, ok, error. Labels are trimmed; unknown and missing ones become ``other`` with confidence 0."""
+    p = parse_response(F.col(response), schemas.CLASSIFICATION)
+    intent, second = (F.regexp_replace(F.coalesce(p[c], F.lit("")), r"(?U)^\s+|\s+$", "") for c in ("intent", "secondary_intent"))
+    known = p.isNotNull() & intent.isin(names)
     confidence = F.coalesce(clamp(p["confidence"].try_cast("double"), 0.0, 1.0), F.lit(0.0))
     return rows.select(
         *[c for c in rows.columns if c != response],
-        F.when(known, p["intent"]).otherwise("other").alias("intent"),
+        F.when(known, intent).otherwise("other").alias("intent"),
         F.when(known, confidence).otherwise(0.0).alias("confidence"),
         F.substring(F.coalesce(p["rationale"], F.lit("")), 1, 300).alias("rationale"),
-        F.when(p["secondary_intent"].isin(names), p["secondary_intent"]).otherwise("").alias("secondary_intent"),
+        F.when(second.isin(names), second).otherwise("").alias("secondary_intent"),
         F.coalesce(known, F.lit(False)).alias("ok"),
-        F.when(p.isNull(), "unparseable").when(~known, F.concat(F.lit("invalid_label:"), p["intent"])).alias("error"),
+        F.when(p.isNull(), "unparseable").when(~known, F.concat(F.lit("invalid_label:"), intent)).alias("error"),
     )
 
 
@@ -119,5 +121,3 @@ def ranked_exemplars(hits: DataFrame, k: int = 5) -> DataFrame:
     arr = F.array_sort(F.collect_list(F.struct("rank", "thread_id", "customer_msg", "brand_reply", "similarity", "is_deflection")))
     return kept.groupBy("query_id").agg(F.transform(arr, lambda e: F.struct(e["thread_id"].alias("thread_id"), e["customer_msg"].alias("customer_msg"), e["brand_reply"].alias("brand_reply"), e["similarity"].alias("similarity"), e["is_deflection"].alias("is_deflection"))).alias("exemplars"))
 
-
-__all__ = [n for n in dir() if not n.startswith("_") and n != "Window"]

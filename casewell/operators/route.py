@@ -19,9 +19,9 @@ def _words(name: Column) -> Column:
 
 
 def rules(never_auto: Column, note: Column, tau_confidence: float, tau_similarity: float) -> list[tuple[Column, Column, Column]]:
-    """(fires, rule, reason) in order, over customer_msg, intent, confidence, ok, draft_ok, reply, truncated, grounded_in,
+    """(fires, rule, reason) in order, over hard_ and pii_ (names of the message's patterns), intent, confidence, ok, draft_ok, reply, truncated, grounded_in,
     uncertain, uncertainty_reason and max_similarity."""
-    hard, pii = T.match_hard_escalation(F.col("customer_msg")), T.match_pii(F.col("customer_msg"))
+    hard, pii = F.col("hard_"), F.col("pii_")
     lit, number = F.lit, lambda c: F.format_string("%.2f", c)
     # Rule names and the wording of reasons, which are output.
     return [
@@ -44,14 +44,19 @@ def with_policy(rows: DataFrame, taxonomy: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(policy), "intent", "left").withColumn("never_auto", F.coalesce("never_auto", F.lit(False)))
 
 
+def with_patterns(rows: DataFrame, message: str = "customer_msg") -> DataFrame:
+    """hard_ and pii_ of the message in a projection of their own: each pattern runs once a row."""
+    return rows.withColumns({"hard_": T.match_hard_escalation(F.col(message)), "pii_": T.match_pii(F.col(message))})
+
+
 def route(rows: DataFrame, taxonomy: DataFrame, tau_confidence: float = TAU_CONFIDENCE, tau_similarity: float = TAU_SIMILARITY) -> DataFrame:
     """``rows`` with action, reason, triggered_rule, decided_by."""
-    rows = with_policy(rows, taxonomy)
+    rows = with_policy(with_patterns(rows), taxonomy)
     listed = rules(F.col("never_auto"), F.col("escalation_note"), tau_confidence, tau_similarity)
     rule = F.coalesce(*(F.when(fires, name) for fires, name, _ in listed), F.lit("rules_only"))
     reason = F.coalesce(*(F.when(fires, why) for fires, _, why in listed), F.lit("passed all deterministic rules"))
     rows = rows.withColumn("triggered_rule", rule).withColumn("reason", reason)
-    return rows.withColumn("action", F.when(F.col("triggered_rule") == "rules_only", "auto").otherwise("escalate")).withColumn("decided_by", F.lit("rule")).drop("never_auto", "escalation_note")
+    return rows.withColumn("action", F.when(F.col("triggered_rule") == "rules_only", "auto").otherwise("escalate")).withColumn("decided_by", F.lit("rule")).drop("never_auto", "escalation_note", "hard_", "pii_")
 
 
 def forced_escalation(rows: DataFrame, taxonomy: DataFrame) -> DataFrame:

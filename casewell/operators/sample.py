@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_bucket
+from ..scratch import saved
 
 
 def quotas(target: int, adversarial: float = 0.15, rare: float = 0.25) -> tuple[int, int, int]:
@@ -15,28 +16,37 @@ def quotas(target: int, adversarial: float = 0.15, rare: float = 0.25) -> tuple[
 
 
 def stratified_sample(pool: DataFrame, target: int = 150, seed: int = 42) -> DataFrame:
-    """thread_id, cluster, stratum, rank. pool: thread_id (text), cluster, tags (array)."""
+    """thread_id, cluster, stratum, rank. pool: thread_id (text), cluster, tags (array).
+    Tags are computed once and written. Of a cluster no more than its first 2 * ``target`` rows in rank order can be
+    drawn, besides adversarial rows; the strata are places among those candidates."""
     n_adv, n_rare, n_prop = quotas(target)
     rank = stable_bucket(F.concat(F.lit(f"golden:{seed}:"), F.col("thread_id")), 1_000_000_000)
-    sizes = pool.groupBy("cluster").agg(F.count("*").alias("size"))
-    total = pool.agg(F.count("*").alias("total"))
-    rows = pool.select("thread_id", "cluster", F.size("tags").alias("n_tags"), rank.alias("rank")).join(sizes, "cluster").join(F.broadcast(total), F.lit(True))
-    adv = rows.where("n_tags > 0").orderBy(F.desc("n_tags"), "rank", "thread_id").limit(n_adv).withColumn("stratum", F.lit("adversarial"))
-    rest = rows.join(adv.select("thread_id"), "thread_id", "left_anti")
-    in_cluster = F.row_number().over(Window.partitionBy("cluster").orderBy("rank", "thread_id"))
-    rare = rest.withColumn("rn", in_cluster).withColumn("later", (F.col("rn") > 1).cast("int"))
-    rare = rare.orderBy("later", "size", "cluster", "rank", "thread_id").limit(n_rare).drop("rn", "later").withColumn("stratum", F.lit("rare"))
-    rest = rest.join(rare.select("thread_id"), "thread_id", "left_anti")
+    rows = saved(pool.select("thread_id", "cluster", F.size("tags").alias("n_tags"), rank.alias("rank")), "sample-pool")
+    sizes = rows.groupBy("cluster").agg(F.count("*").alias("size"))
+    sizes = sizes.withColumn("total", F.sum("size").over(Window.partitionBy(F.lit(1))))  # one row per cluster
+    adv = rows.where("n_tags > 0").orderBy(F.desc("n_tags"), "rank", "thread_id").limit(n_adv).withColumn("adv", F.lit(True))
+    in_cluster = Window.partitionBy("cluster").orderBy("rank", "thread_id")
+    near = rows.withColumn("near", F.row_number().over(in_cluster)).where(F.col("near") <= 2 * target).drop("near").withColumn("adv", F.lit(False))
+    near = near.unionByName(adv).groupBy("thread_id", "cluster", "n_tags", "rank").agg(F.max("adv").alias("adv")).join(F.broadcast(sizes), "cluster")
+    near = near.withColumn("stratum", F.when(F.col("adv"), "adversarial"))
+
+    def drawn(near: DataFrame, stratum: str, n, order: list, among=F.lit(True)) -> DataFrame:
+        """The first n rows, in the given order, that are in no stratum yet."""
+        free = F.col("stratum").isNull() & among
+        place = F.row_number().over(Window.partitionBy(free).orderBy(*order))
+        return near.withColumn("stratum", F.when(free & (place <= n), stratum).otherwise(F.col("stratum")))
+
+    def placed(near: DataFrame) -> DataFrame:
+        """place: in the cluster, among rows that are in no stratum yet."""
+        return near.withColumn("place", F.row_number().over(Window.partitionBy("cluster", F.col("stratum").isNull()).orderBy("rank", "thread_id")))
+
+    near = drawn(placed(near), "rare", n_rare, [(F.col("place") > 1).cast("int"), "size", "cluster", "rank", "thread_id"])
     quota = F.greatest(F.lit(1), F.bround(n_prop * F.col("size") / F.col("total")).cast("int"))
-    prop = rest.withColumn("rn", in_cluster).where(F.col("rn") <= quota).drop("rn")
-    prop = prop.orderBy(F.desc("size"), "cluster", "rank", "thread_id").limit(n_prop).withColumn("stratum", F.lit("proportional"))
-    chosen = adv.unionByName(rare).unionByName(prop)
-    have = chosen.agg(F.count("*").alias("have"))
-    spare = rest.join(prop.select("thread_id"), "thread_id", "left_anti")
-    spare = spare.orderBy(F.desc("size"), "cluster", "rank", "thread_id").limit(target)
-    place = F.row_number().over(Window.orderBy(F.desc("size"), "cluster", "rank", "thread_id"))
-    more = spare.withColumn("place", place).join(F.broadcast(have), F.lit(True)).where(F.col("place") <= target - F.col("have")).drop("place", "have").withColumn("stratum", F.lit("proportional"))
-    return chosen.unionByName(more).select("thread_id", "cluster", "stratum", "rank")
+    large = [F.desc("size"), "cluster", "rank", "thread_id"]
+    near = drawn(placed(near), "proportional", n_prop, large, F.col("place") <= quota)
+    near = near.withColumn("have", F.count("stratum").over(Window.partitionBy(F.lit(1))))
+    near = drawn(near, "proportional", target - F.col("have"), large)
+    return near.where("stratum is not null").select("thread_id", "cluster", "stratum", "rank")
 
 
 def position_folds(rows: DataFrame, id_column: str, k: int = 5) -> DataFrame:

@@ -13,8 +13,8 @@ from ..functions import text as T
 from ..functions.hashing import text_key
 from ..session import ship
 
-#: Queries held by a task at once.
-QUERY_BLOCK = 20_000
+#: Queries and corpus rows of a block.
+QUERY_BLOCK, CORPUS_BLOCK = 8192, 16_384
 
 
 def distinct_messages(rows: DataFrame, message: str) -> DataFrame:
@@ -36,38 +36,41 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(norm == 0, 1, norm)
 
 
-def _block_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    held = queries.toPandas()
-    ids, q = held.query_id.to_numpy(), _unit(_matrix(held.vector)) if len(held) else None
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            c, names = _unit(_matrix(pdf.vector)), pdf.id.to_numpy()
-            for i in range(0, len(ids), 1024):
-                s = q[i : i + 1024] @ c.T
-                n = min(k, len(names))
-                # ties at the cut go to smaller ids: whatever equals the k-th best is kept for the final ranking
-                kth = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
-                r, j = np.nonzero(s >= kth)
-                yield pd.DataFrame({"query_id": ids[i : i + 1024][r], "id": names[j], "similarity": s[r, j]})
-
-    return corpus.mapInPandas(scan, "query_id long, id long, similarity double")
+def _block_topk(k: int):
+    def best(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "similarity": np.zeros(0)})
+        if not len(queries) or not len(corpus):
+            return none
+        asked, names, q, c, parts = queries.query_id.to_numpy(), corpus.id.to_numpy(), _unit(_matrix(queries.asked)), _unit(_matrix(corpus.held)), [none]
+        for i in range(0, len(q), 1024):
+            s = q[i : i + 1024] @ c.T
+            n = min(k, len(names))
+            # ties at the cut go to smaller ids: of what equals the k-th best within rounding, the k smallest ids stay
+            kth = -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
+            r, j = np.nonzero(s > kth + 1e-12)
+            tr, tj = np.nonzero(np.abs(s - kth) <= 1e-12)
+            order = np.lexsort((names[tj], tr))
+            tr, tj = tr[order], tj[order]
+            kept = np.arange(len(tr)) - np.searchsorted(tr, tr) < k
+            r, j = np.concatenate([r, tr[kept]]), np.concatenate([j, tj[kept]])
+            parts.append(pd.DataFrame({"query_id": asked[i : i + 1024][r], "id": names[j], "similarity": s[r, j]}))
+        return pd.concat(parts)
+
+    return best
 
 
 def knn_topk(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
     """query_id, id, similarity, rank: the k most similar corpus rows by cosine, exactly; ties to smaller ids.
-    queries (query_id, vector) are scored in blocks of bounded size against the whole corpus (id, vector);
-    every batch keeps its best, so the final ranking sees k rows per query and batch, not all pairs."""
+    Queries (query_id, vector) and corpus (id, vector) are dealt to hashed blocks and every pair of blocks is scored in
+    one task, which returns at most 2 k rows per query: nothing passes through the driver, no pair is a row."""
     ship(queries.sparkSession)
-    n, parts = queries.count(), None
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    for b in range(blocks):
-        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        one = _block_topk(block.select("query_id", "vector"), corpus.select("id", "vector"), k)
-        parts = one if parts is None else parts.unionByName(one)
-    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "id")))
+    n_q, n_c = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-corpus.count() // CORPUS_BLOCK))
+    spread = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    q = queries.select("query_id", F.col("vector").alias("asked"), F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("qb"), spread("cb", n_c))
+    c = corpus.select("id", F.col("vector").alias("held"), F.pmod(F.xxhash64("id"), F.lit(n_c)).cast("int").alias("cb"), spread("qb", n_q))
+    # names differ by side: both may come from one table, and a cogroup would take their columns for the same
+    scored = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(_block_topk(k), "query_id long, id long, similarity double")
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "id")))
     return ranked.where(F.col("rank") <= k)
 
 
@@ -113,15 +116,35 @@ def cluster_profile(vectors: DataFrame, shown: int = 8, cluster: str = "cluster"
     return sizes.join(shown_ids, cluster)
 
 
-def svd_project(fit_on: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """id, vector: rows projected on the first k right singular vectors of ``fit_on`` (not centred), at unit length."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
+def right_singular(vectors: DataFrame, k: int) -> np.ndarray:
+    """The first k right singular vectors (columns) of the rows, not centred. Every task adds up its part of the square
+    of products, which is as large as a vector is long, squared; the rows themselves stay where they are."""
 
-    wide = fit_on.select(vector_to_array(array_to_vector(F.transform("vector", lambda x: x.cast("double")))).alias("v"))
-    svd = RowMatrix(wide.rdd.map(lambda r: Vectors.dense(r.v))).computeSVD(k)
-    basis = np.asarray(svd.V.toArray())  # columns of the vector space by k
+    def squares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = 0
+        for pdf in batches:
+            if len(pdf):
+                m = _matrix(pdf.vector)
+                total = total + m.T @ m
+        if isinstance(total, np.ndarray):
+            yield pd.DataFrame({"i": np.arange(len(total), dtype=np.int32), "row": list(total)})
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": pdf.i[:1], "row": [_matrix(pdf.row).sum(axis=0)]})
+
+    parts = vectors.select("vector").mapInPandas(squares, "i int, row array<double>")
+    rows = parts.groupBy("i").applyInPandas(added, "i int, row array<double>").orderBy("i").toPandas()
+    if not len(rows):
+        return np.zeros((0, 0))
+    values, basis = np.linalg.eigh(_matrix(rows.row))
+    order = np.argsort(-values)[:k]
+    return basis[:, order[values[order] > 1e-12 * max(values.max(), 1e-300)]]
+
+
+def svd_project(fit_on: DataFrame, rows: DataFrame, k: int = 256) -> DataFrame:
+    """id, vector: rows projected on the first k right singular vectors of ``fit_on``, at unit length."""
+    ship(rows.sparkSession)
+    basis = right_singular(fit_on, k)
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

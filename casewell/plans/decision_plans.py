@@ -8,6 +8,8 @@ from ..functions import text as T
 from ..functions.hashing import request_key, stable_bucket
 from ..operators import agreement, responses
 from ..operators import route as R
+from ..scratch import saved
+from ..sources import io
 from . import inputs as I
 from .registry import bucket_sql as b
 from .registry import first_sql, query, with_
@@ -59,7 +61,7 @@ def recorded(spark, d):
     docs = I.table(spark, d, "documents").select("doc_id")
     h = lambda p, n: stable_bucket(F.concat(F.lit(p + ":"), F.col("doc_id")), n)
     body = F.to_json(F.struct(
-        F.concat(F.lit("c"), h("i", 13)).alias("intent"), (h("conf", 150) / 100).cast("string").alias("confidence"), F.lit("because").alias("rationale"), F.concat(F.lit("c"), h("s", 13)).alias("secondary_intent"),
+        F.concat(F.lit(" c"), h("i", 13), F.lit(" ")).alias("intent"), (h("conf", 150) / 100).cast("string").alias("confidence"), F.lit("because").alias("rationale"), F.concat(F.lit("c"), h("s", 13), F.lit("\n")).alias("secondary_intent"),
         F.repeat(F.lit("ab "), (h("len", 120) + 0).cast("int")).alias("reply"), F.array(F.lit("E1"), F.lit(" ")).alias("grounded_in"), (h("un", 4) == 0).alias("uncertain"), F.lit("").alias("uncertainty_reason"),
         h("g", 8).cast("string").alias("groundedness"), h("re", 8).cast("string").alias("resolution"), F.lit("x").alias("tone_fit"), h("sa", 8).cast("string").alias("safety"), (h("ws", 2) == 0).alias("would_send"),
         F.lit("fine").alias("justification"), F.array(F.lit("claim")).alias("unsupported_claims"),
@@ -73,9 +75,21 @@ def hb(p, n):
 
 
 BROKEN = f"{hb('kind', 20)} = 1"
-query("a6_response_table_scan", "SELECT doc_id FROM documents")(lambda spark, d: recorded(spark, d).where("response is not null").select("doc_id"))
+
+
+@query("a6_response_table_scan", f"""SELECT sha256(concat('r:', doc_id)) AS key, 'm' AS model, CAST(doc_id AS VARCHAR) AS prompt, {BROKEN} AS broken, CAST({hb('i', 13)} AS DOUBLE) AS created_at FROM documents""")
+def a6(spark, d):
+    """Recorded responses written as JSON lines and scanned by their declared schema."""
+    from .thread_plans import place
+
+    key, at = F.sha2(F.concat(F.lit("r:"), F.col("doc_id")), 256), place(spark, "responses")
+    rows = recorded(spark, d).select(key.alias("key"), F.lit("m").alias("model"), F.col("doc_id").cast("string").alias("prompt"), "response", stable_bucket(F.concat(F.lit("i:"), F.col("doc_id")), 13).cast("double").alias("created_at"))
+    io.write_json_lines(rows, at)
+    return io.read_responses(spark, at).select("key", "model", "prompt", (F.col("response") == "not json").alias("broken"), "created_at")
+
+
 query("r4_parse_response", f"SELECT doc_id, CASE WHEN NOT ({BROKEN}) THEN concat('c', {hb('i', 13)}) END AS intent FROM documents")(
-    lambda spark, d: recorded(spark, d).select("doc_id", responses.parse_response(F.col("response"), "intent string", "intent")["intent"].alias("intent"))
+    lambda spark, d: recorded(spark, d).select("doc_id", F.trim(responses.parse_response(F.col("response"), "intent string", "intent")["intent"]).alias("intent"))
 )
 query("r5_validate_classification", f"""SELECT doc_id, CASE WHEN NOT ({BROKEN}) AND {hb('i', 13)} < 10 THEN concat('c', {hb('i', 13)}) ELSE 'other' END AS intent,
   CASE WHEN NOT ({BROKEN}) AND {hb('i', 13)} < 10 THEN least(1.0, {hb('conf', 150)} / CAST(100 AS DOUBLE)) ELSE 0.0 END AS confidence,
@@ -121,16 +135,22 @@ def j12(spark, d):
     return responses.resolve_responses(requests, known).select("request_id", "provider")
 
 
-@query("r10_agent_pipeline", HIT.rstrip() + f""", doc AS (SELECT id AS doc_id, max(similarity) AS s FROM (SELECT query_id AS id, similarity FROM hits) WHERE id IN (SELECT doc_id FROM documents) GROUP BY id),
-g AS (SELECT doc_id, s, CASE WHEN NOT ({BROKEN}) AND {hb('i', 13)} < 10 THEN concat('c', {hb('i', 13)}) ELSE 'other' END AS intent, NOT ({BROKEN}) AND {hb('i', 13)} < 10 AS ok, least(1.0, {hb('conf', 150)} / 100.0) AS confidence, {LEN} AS n, {BROKEN} AS broken, {hb('un', 4)} = 0 AS un FROM doc)
-SELECT doc_id AS thread_id, s.system, CASE WHEN intent IN ('c0', 'c3') THEN 'never_auto_intent' WHEN NOT ok THEN 'classifier_failure' WHEN n = 0 THEN 'draft_failure' WHEN n > 280 THEN 'draft_over_length' WHEN broken THEN 'draft_ungrounded' WHEN un THEN 'draft_uncertain'
+@query("r10_agent_pipeline", HIT.rstrip() + f""", doc AS (SELECT doc_id, coalesce(text, '') AS customer_msg, s FROM documents JOIN (SELECT query_id AS doc_id, max(similarity) AS s FROM hits GROUP BY 1) USING (doc_id)),
+g AS (SELECT doc_id, s, {HARD} AS hard, {PII} AS pii, CASE WHEN NOT ({BROKEN}) AND {hb('i', 13)} < 10 THEN concat('c', {hb('i', 13)}) ELSE 'other' END AS intent, NOT ({BROKEN}) AND {hb('i', 13)} < 10 AS ok, least(1.0, {hb('conf', 150)} / 100.0) AS confidence, {LEN} AS n, {BROKEN} AS broken, {hb('un', 4)} = 0 AS un FROM doc)
+SELECT doc_id AS thread_id, s.system, CASE WHEN hard IS NOT NULL THEN hard WHEN pii IS NOT NULL THEN concat('pii_', pii) WHEN intent IN ('c0', 'c3') THEN 'never_auto_intent' WHEN NOT ok THEN 'classifier_failure' WHEN n = 0 THEN 'draft_failure' WHEN n > 280 THEN 'draft_over_length' WHEN broken THEN 'draft_ungrounded' WHEN un THEN 'draft_uncertain'
   WHEN (CASE WHEN s.system = 'agent' THEN round(g.s, 6) ELSE 0.0 END) < 0.3 THEN 'low_retrieval_similarity' WHEN confidence < 0.4 THEN 'low_confidence' ELSE 'rules_only' END AS triggered_rule FROM g CROSS JOIN (VALUES ('agent'), ('no_retrieval')) s(system)""")
 def r10(spark, d):
-    """Retrieve, resolve, validate and route; the ablation is the same plan with an empty exemplar array."""
+    """Retrieve, resolve along two providers, validate and route whole documents; the ablation is the same plan with an empty exemplar array."""
     found = exemplars(spark, d).select(F.col("query_id").alias("doc_id"), "exemplars")
-    answered = recorded(spark, d).join(found, "doc_id")
+    asked = I.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("customer_msg")).join(found, "doc_id")
+    key = lambda p: request_key({"provider": F.lit(p), "prompt": F.col("doc_id").cast("string"), "model": F.lit("m")})
+    answers = recorded(spark, d).join(asked.select("doc_id"), "doc_id", "left_semi")
+    known = answers.select(request_key({"provider": F.when(stable_bucket(F.concat(F.lit("a:"), F.col("doc_id")), 3) == 0, "first").otherwise("second"), "prompt": F.col("doc_id").cast("string"), "model": F.lit("m")}).alias("key"), "response")
+    requests = asked.select(F.col("doc_id").alias("request_id"), F.array(*(F.struct(F.lit(p).alias("provider"), key(p).alias("key")) for p in ("first", "second"))).alias("chain"))
+    resolved = responses.require_all(responses.resolve_responses(requests, known)).select(F.col("request_id").alias("doc_id"), "response")
+    answered = saved(asked.join(resolved, "doc_id"), "answered")
     both = answered.withColumn("system", F.lit("agent")).unionByName(answered.withColumn("exemplars", F.slice("exemplars", 1, 0)).withColumn("system", F.lit("no_retrieval")))
     rows = both.withColumn("draft", F.col("response"))
     rows = responses.validate_draft(responses.validate_classification(rows, I.NAMES), "draft")
-    rows = rows.withColumn("max_similarity", R.max_similarity(F.col("exemplars"))).withColumn("customer_msg", F.concat(F.lit("message "), F.lit("of a thread")))
+    rows = rows.withColumn("max_similarity", R.max_similarity(F.col("exemplars")))
     return R.route(rows, I.taxonomy(spark), 0.4, 0.3).select(F.col("doc_id").alias("thread_id"), "system", "triggered_rule")

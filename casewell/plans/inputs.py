@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.hashing import stable_bucket
+from ..operators.route import with_patterns
+from ..scratch import saved
 from ..session import ship
 from .registry import bucket_sql as b
+from .registry import first_sql
 
 BRANDS = ["brand0", "brand1", "brand2", "brand3"]
 NEVER_AUTO = ["c0", "c3"]
@@ -43,55 +47,92 @@ def _key(prefix: str, *parts: str) -> Column:
     return F.concat_ws(":", F.lit(prefix), *(F.col(p).cast("string") for p in parts))
 
 
+_made: dict[tuple[str, str], DataFrame] = {}
+
+
+def neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """query_id, rank, label, similarity: the five nearest history vectors of every vector, itself left out."""
+    from ..operators.vectors import knn_topk
+
+    history = split_vectors(spark, d)[1]
+    every = vectors(spark, d).select(F.col("id").alias("query_id"), "vector")
+    found = knn_topk(every, history.select("id", "vector"), 6).where("id <> query_id").drop("rank")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "id"))
+    return found.withColumn("rank", rank).where("rank <= 5").join(history.select("id", F.col("cluster").alias("label")), "id")
+
+
 def outputs(spark: SparkSession, d: str) -> DataFrame:
-    """Outputs of two systems with their gold rows: one per vector, every value from a stable hash."""
+    """Outputs of two systems with their gold rows, one per vector and system; written once per session. The agent takes
+    the class most of the five nearest vectors have (confidence: their share), the baseline that of the nearest
+    (confidence: its similarity). Messages are the documents of the same number: their patterns force an escalation, and
+    gold rows escalate if the document is labelled toxic or the class is never automatic."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _made:
+        _made[key] = saved(_outputs(spark, d), "outputs")
+    return _made[key]
+
+
+def _outputs(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbours(spark, d)
+    votes = near.groupBy("query_id", "label").agg(F.count("*").alias("n")).groupBy("query_id").agg(F.max(F.struct("n", (-F.col("label")).alias("l"))).alias("x"))
+    votes = votes.select(F.col("query_id").alias("thread_id"), (-F.col("x.l")).alias("voted"), (F.col("x.n") / 5).alias("share"))
+    top = near.where("rank = 1").select(F.col("query_id").alias("thread_id"), F.col("label").alias("nearest"), F.round("similarity", 6).alias("max_similarity"))
+    docs = with_patterns(table(spark, d, "documents").select(F.col("doc_id").alias("thread_id"), F.coalesce("text", F.lit("")).alias("customer_msg")))
+    docs = docs.select("thread_id", F.coalesce("hard_", F.concat(F.lit("pii_"), "pii_")).alias("pattern"))
+    toxic = table(spark, d, "labels").select(F.col("doc_id").alias("thread_id"), (F.col("toxic") == 1).alias("toxic"))
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("thread_id"), "label")
-    rows = rows.withColumn("system", F.explode(F.array(F.lit("agent"), F.lit("baseline"))))
-    slip = F.when(stable_bucket(_key("p", "system", "thread_id"), 10) < 3, 1).otherwise(0)
-    rows = rows.select(
-        "thread_id", "system", F.concat(F.lit("c"), F.col("label")).alias("gold"), F.concat(F.lit("c"), (F.col("label") + slip) % 10).alias("pred"),
-        (stable_bucket(_key("conf", "system", "thread_id"), 1000) / 1000).alias("confidence"), (stable_bucket(_key("sim", "system", "thread_id"), 1000) / 1000).alias("max_similarity"),
-        (stable_bucket(_key("f", "system", "thread_id"), 10) == 0).alias("forced"),
-        F.when(F.col("label").isin(0, 3) | (stable_bucket(_key("g", "thread_id"), 10) < 2), "escalate").otherwise("auto").alias("gold_action"),
-        F.element_at(F.array(*map(F.lit, STRATA)), (stable_bucket(_key("st", "thread_id"), 3) + 1).cast("int")).alias("stratum"),
+    for other in (votes, top, docs, toxic):
+        rows = rows.join(other, "thread_id", "left")
+    agent = F.col("system") == "agent"
+    rows = rows.withColumn("system", F.explode(F.array(F.lit("agent"), F.lit("baseline")))).select(
+        "thread_id", "system", F.concat(F.lit("c"), F.col("label")).alias("gold"), F.concat(F.lit("c"), F.when(agent, F.col("voted")).otherwise(F.col("nearest"))).alias("pred"),
+        F.when(agent, F.col("share")).otherwise(F.col("max_similarity")).alias("confidence"), "max_similarity", F.col("pattern").isNotNull().alias("forced"),
+        F.when(F.coalesce("toxic", F.lit(False)) | F.col("label").isin(0, 3), "escalate").otherwise("auto").alias("gold_action"),
+        F.element_at(F.array(*map(F.lit, STRATA)), (F.col("label") % 3 + 1).cast("int")).alias("stratum"), "pattern", "label",
     )
-    rule = F.when(F.col("forced"), "draft_uncertain").when(F.col("max_similarity") < 0.3, "low_retrieval_similarity").when(F.col("confidence") < 0.4, "low_confidence").otherwise("rules_only")
+    rule = F.when(F.col("pattern").isNotNull(), F.col("pattern")).when(F.col("max_similarity") < LEAST_SIMILARITY, "low_retrieval_similarity").when(F.col("confidence") < LEAST_CONFIDENCE, "low_confidence").otherwise("rules_only")
     rows = rows.withColumn("triggered_rule", rule).withColumn("action", F.when(F.col("triggered_rule") == "rules_only", "auto").otherwise("escalate"))
-    return rows.withColumn("reason", F.when(F.col("gold_action") == "escalate", F.concat(F.lit("r"), stable_bucket(_key("r", "thread_id"), 3))).otherwise("none"))
-
-
-OUTPUTS = f"""o1 AS (SELECT vec_id AS thread_id, s.system, concat('c', label) AS gold,
-  concat('c', (label + CASE WHEN {b("concat('p:', s.system, ':', vec_id)", 10)} < 3 THEN 1 ELSE 0 END) % 10) AS pred,
-  {b("concat('conf:', s.system, ':', vec_id)", 1000)} / CAST(1000 AS DOUBLE) AS confidence, {b("concat('sim:', s.system, ':', vec_id)", 1000)} / CAST(1000 AS DOUBLE) AS max_similarity,
-  {b("concat('f:', s.system, ':', vec_id)", 10)} = 0 AS forced,
-  CASE WHEN label IN (0, 3) OR {b("concat('g:', vec_id)", 10)} < 2 THEN 'escalate' ELSE 'auto' END AS gold_action,
-  CASE {b("concat('st:', vec_id)", 3)} WHEN 0 THEN 'proportional' WHEN 1 THEN 'rare' ELSE 'adversarial' END AS stratum,
-  concat('r', {b("concat('r:', vec_id)", 3)}) AS r0
-  FROM embeddings CROSS JOIN (VALUES ('agent'), ('baseline')) s(system)),
-o2 AS (SELECT *, CASE WHEN forced THEN 'draft_uncertain' WHEN max_similarity < 0.3 THEN 'low_retrieval_similarity' WHEN confidence < 0.4 THEN 'low_confidence' ELSE 'rules_only' END AS triggered_rule FROM o1),
+    return rows.withColumn("reason", F.when(F.col("gold_action") == "escalate", F.concat(F.lit("r"), F.col("label") % 3)).otherwise("none")).drop("pattern", "label")
+
+
+LEAST_SIMILARITY, LEAST_CONFIDENCE = 0.42, 0.43
+_COS = "list_dot_product({0}, {1}) / (sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1})))"
+_TEXT = "coalesce(d.text, '')"
+OUTPUTS = f"""ov AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vector, label, {b("concat('split:', vec_id)", 100)} < 6 AS pool FROM embeddings),
+os AS (SELECT q.id AS query_id, c.id, c.label, {_COS.format('q.vector', 'c.vector')} AS similarity FROM ov q JOIN ov c ON NOT c.pool AND c.id <> q.id),
+oh AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 12) DESC, id) AS rank FROM os QUALIFY rank <= 5),
+oc AS (SELECT query_id, label, count(*) AS n FROM oh GROUP BY 1, 2),
+ow AS (SELECT query_id, arg_max(label, n * 1000 - label) AS voted, max(n) / CAST(5 AS DOUBLE) AS share FROM oc GROUP BY 1),
+ot AS (SELECT query_id, label AS nearest, round(similarity, 6) AS max_similarity FROM oh WHERE rank = 1),
+op AS (SELECT d.doc_id, coalesce({first_sql(_TEXT, T.HARD)}, concat('pii_', {first_sql(_TEXT, T.PII)})) AS pattern FROM documents d WHERE {first_sql(_TEXT, T.HARD)} IS NOT NULL OR {first_sql(_TEXT, T.PII)} IS NOT NULL),
+o1 AS (SELECT ov.id AS thread_id, y.system, concat('c', ov.label) AS gold, concat('c', CASE y.system WHEN 'agent' THEN voted ELSE nearest END) AS pred,
+  CASE y.system WHEN 'agent' THEN share ELSE max_similarity END AS confidence, max_similarity, pattern IS NOT NULL AS forced, pattern,
+  CASE WHEN coalesce(w.toxic = 1, false) OR ov.label IN (0, 3) THEN 'escalate' ELSE 'auto' END AS gold_action,
+  CASE ov.label % 3 WHEN 0 THEN 'proportional' WHEN 1 THEN 'rare' ELSE 'adversarial' END AS stratum, concat('r', ov.label % 3) AS r0
+  FROM ov LEFT JOIN ow ON ow.query_id = ov.id LEFT JOIN ot ON ot.query_id = ov.id LEFT JOIN op ON op.doc_id = ov.id LEFT JOIN labels w ON w.doc_id = ov.id CROSS JOIN (VALUES ('agent'), ('baseline')) y(system)),
+o2 AS (SELECT *, CASE WHEN pattern IS NOT NULL THEN pattern WHEN max_similarity < {LEAST_SIMILARITY} THEN 'low_retrieval_similarity' WHEN confidence < {LEAST_CONFIDENCE} THEN 'low_confidence' ELSE 'rules_only' END AS triggered_rule FROM o1),
 o AS (SELECT *, CASE WHEN triggered_rule = 'rules_only' THEN 'auto' ELSE 'escalate' END AS action, CASE WHEN gold_action = 'escalate' THEN r0 ELSE 'none' END AS reason FROM o2)"""
 
 SCORED = ["groundedness", "resolution", "tone_fit", "safety"]
+#: The class that a rater's scores follow: the human's the gold one, the judge's the predicted one.
+RATED = {"h": "gold", "j": "pred"}
 
 
 def scores(spark: SparkSession, d: str, who: str) -> DataFrame:
-    """Ordinal scores of one rater: thread_id, system, four dimensions, mean_score, would_send, split, judge_model."""
-    o = outputs(spark, d)
-    base = {x: (stable_bucket(_key("q" + x, "system", "thread_id"), 5)) for x in SCORED}
-    shift = {x: stable_bucket(_key(who + x, "system", "thread_id"), 3) - 1 for x in SCORED}
-    rows = o.select("thread_id", "system", *(F.greatest(F.lit(1), F.least(F.lit(5), base[x] + 1 + shift[x])).cast("int").alias(x) for x in SCORED))
+    """Ordinal scores of one rater, from the class that it goes by: thread_id, system, four dimensions, mean_score, would_send, split, judge_model."""
+    label = F.substring(RATED[who], 2, 9).cast("int")
+    rows = outputs(spark, d).select("thread_id", "system", *(((label * (i + 1) + i) % 5 + 1).cast("int").alias(x) for i, x in enumerate(SCORED)), label.alias("label_"))
     rows = rows.withColumn("mean_score", sum((F.col(x) for x in SCORED), F.lit(0)) / 4).withColumn("would_send", F.col("mean_score") >= 3)
     rows = rows.withColumn("split", F.when(stable_bucket(_key("devtest", "thread_id"), 100) < 40, "dev").otherwise("test"))
-    m = stable_bucket(_key("m" + who, "system", "thread_id"), 20)
-    return rows.withColumn("judge_model", F.when((m == 0) & (F.col("system") == "agent"), "second").when(m > 1, "first"))
+    model = F.when((F.col("label_") == 0) & (F.col("system") == "agent"), "second").when(F.col("label_") > 0, "first")
+    return rows.withColumn("judge_model", model).drop("label_")
 
 
 def scores_sql(who: str, name: str) -> str:
-    cell = lambda x: f"greatest(1, least(5, {b(f'''concat('q{x}:', system, ':', thread_id)''', 5)} + {b(f'''concat('{who}{x}:', system, ':', thread_id)''', 3)}))"
-    m = b(f"concat('m{who}:', system, ':', thread_id)", 20)
-    return f"""{name}0 AS (SELECT thread_id, system, {', '.join(f'CAST({cell(x)} AS INTEGER) AS {x}' for x in SCORED)},
+    label = f"CAST(substr({RATED[who]}, 2) AS INTEGER)"
+    return f"""{name}0 AS (SELECT thread_id, system, {', '.join(f'CAST(({label} * {i + 1} + {i}) % 5 + 1 AS INTEGER) AS {x}' for i, x in enumerate(SCORED))},
   CASE WHEN {b("concat('devtest:', thread_id)", 100)} < 40 THEN 'dev' ELSE 'test' END AS split,
-  CASE WHEN {m} = 0 AND system = 'agent' THEN 'second' WHEN {m} > 1 THEN 'first' END AS judge_model FROM o),
+  CASE WHEN {label} = 0 AND system = 'agent' THEN 'second' WHEN {label} > 0 THEN 'first' END AS judge_model FROM o),
 {name} AS (SELECT *, ({' + '.join(SCORED)}) / CAST(4 AS DOUBLE) AS mean_score, ({' + '.join(SCORED)}) >= 12 AS would_send FROM {name}0)"""
 
 

@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..operators import curate, sample
 from . import inputs as I
 from .registry import bucket_sql as b
-from .registry import first_sql, matches_sql, query
+from .registry import first_sql, matches_sql, query, re2
 
 DOCS = "d AS (SELECT doc_id, coalesce(text, '') AS text, source, lang FROM documents)"
 
@@ -67,18 +67,27 @@ TAGS = f"""list_filter([CASE WHEN length(text) < 40 THEN 'very_short' END, CASE
   CASE WHEN {matches_sql('text', T.RAGE)} THEN 'rage_markers' END, CASE WHEN {matches_sql('text', T.MULTI_INTENT)} THEN 'multi_intent' END,
   CASE WHEN {matches_sql('text', T.SARCASM)} THEN 'sarcasm_marker' END], lambda x: x IS NOT NULL)"""
 per_doc("t16_adversarial_tags", lambda: F.array_join(T.adversarial_tags(F.col("text")), ","), f"array_to_string({TAGS}, ',')")
-DRAFTED = "CASE doc_id % 5 WHEN 0 THEN concat('Hi [Customer Name], ', text) WHEN 1 THEN concat(substr(text, 1, 50), ' please share your order id') WHEN 2 THEN concat('We will update you within 24 hours. ', text) WHEN 3 THEN '[URL] TODO handled by a human agent' ELSE text END"
+DRAFTED = "CASE doc_id % 5 WHEN 0 THEN concat('Hi [Customer Name], ', text) WHEN 1 THEN concat(text, ' please share your order id') WHEN 2 THEN concat('We will update you within 24 hours. ', text) WHEN 3 THEN '[URL] TODO handled by a human agent' ELSE text END"
 DEFECT_CASES = ", ".join(f"CASE WHEN {matches_sql(DRAFTED, p)} THEN '{n}' END" for n, p in T.DEFECTS)
 query("t17_draft_defects", f"WITH {DOCS}, e AS (SELECT doc_id, list_filter([{DEFECT_CASES}], lambda x: x IS NOT NULL) AS found FROM d) SELECT doc_id, unnest(found) AS defect FROM e")(
     lambda spark, d: docs(spark, d).select("doc_id", F.explode(T.draft_defects(F.expr(DRAFTED.replace("text", "coalesce(text, '')")))).alias("defect"))
 )
 
 
-@query("t18_carried_over_name", f"WITH {DOCS} SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Anna' WHEN 2 THEN 'Mark' END AS value FROM d")
+GREETINGS = ["Hi Anna, ", "hello THERE, so sorry, Anna! ", "We are so sorry about that, Mark! ", "Hey Petra, ", "DEAR mark: ", "Good day. "]
+REPLIED = "concat([" + ", ".join(f"'{g}'" for g in GREETINGS) + "][doc_id % 6 + 1], text)"
+PRECEDENTS = ["Hi Anna and Mark, we are on it", "Petrarch wrote", "see you there, mark the date"]
+KNOWN = ", ".join(f"'{w}'" for w in sorted(set(" ".join(PRECEDENTS).replace(",", "").split())))
+
+
+@query("t18_carried_over_name", f"""WITH {DOCS}, e AS (SELECT doc_id, trim({REPLIED}) AS r, {REPLIED} AS r0 FROM d),
+n AS (SELECT doc_id, CASE WHEN regexp_matches(r, '{re2(T.GREETED.replace('(?iU)', '(?i)'))}') THEN regexp_extract(r, '{re2(T.GREETED.replace('(?iU)', '(?i)'))}', 1)
+  ELSE nullif(regexp_extract(r0, '{re2(T.NAMED_LATER.replace('(?U)', ''))}', 1), '') END AS name FROM e)
+SELECT doc_id, CASE WHEN lower(name) NOT IN ({", ".join(f"'{w}'" for w in T.NOT_NAMES)}) AND name IN ({KNOWN}) THEN name END AS value FROM n""")
 def t18(spark, d):
-    greeting = F.element_at(F.array(F.lit("Hi Anna, "), F.lit("Hello there, "), F.lit("So sorry about that, Mark! "), F.lit("Hey Petra, ")), (F.col("doc_id") % 4 + 1).cast("int"))
-    precedents = F.array(F.struct(F.lit("Hi Anna and Mark, we are on it").alias("brand_reply")), F.struct(F.lit("Petrarch wrote").alias("brand_reply")))
-    return docs(spark, d).select("doc_id", T.carried_over_name(F.concat(greeting, F.substring(T.filled(F.col("text")), 1, 40)), precedents).alias("value"))
+    greeting = F.element_at(F.array(*map(F.lit, GREETINGS)), (F.col("doc_id") % 6 + 1).cast("int"))
+    precedents = F.array(*(F.struct(F.lit(p).alias("brand_reply")) for p in PRECEDENTS))
+    return docs(spark, d).select("doc_id", T.carried_over_name(F.concat(greeting, T.filled(F.col("text"))), precedents).alias("value"))
 
 
 per_doc("t19_ws_tokens", lambda: F.array_join(T.ws_tokens(F.col("text")), "|"), r"array_to_string(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> ''), '|')")
@@ -131,10 +140,13 @@ UNION ALL SELECT 'split', CASE WHEN bucket < 6 THEN 'golden_pool' ELSE 'history'
 )
 
 
-@query("j13_leakage_check", "SELECT * FROM (VALUES ('shared_ids', CAST(0 AS BIGINT)), ('golden_outside_pool', 0), ('split_not_reproduced', 0)) t(\"check\", n)")
+@query("j13_leakage_check", f"""WITH {SPLIT} SELECT 'shared_ids' AS "check", count(DISTINCT doc_id) FILTER (bucket = 3) AS n FROM s
+UNION ALL SELECT 'golden_outside_pool', count(DISTINCT doc_id) FILTER (bucket = 6) FROM s UNION ALL SELECT 'split_not_reproduced', count(*) FILTER (bucket = 3) FROM s""")
 def j13(spark, d):
+    """Planted leaks: one pool bucket stands in the history as well, and the golden rows take in one history bucket."""
     rows = curate.hash_split(docs(spark, d).select("doc_id"), "doc_id")
-    return curate.leakage_check(rows, rows.where("bucket < 6 and doc_id % 2 = 0"), "doc_id")
+    leaked = rows.unionByName(rows.where("bucket = 3").withColumn("split", F.lit("history")))
+    return curate.leakage_check(leaked, rows.where("bucket <= 6"), "doc_id")
 
 
 TODO = b("concat('todo:', doc_id)", 1_000_000_000)

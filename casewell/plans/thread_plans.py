@@ -18,9 +18,10 @@ from .registry import first_sql, matches_sql, query
 
 REC = f"WITH RECURSIVE {I.LOG}, {I.ROOTS}"
 WS = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
-#: Threads with plainly normalised text.
+#: Normalised text; the other engine composes by NFC, which differs from NFKC where a text has compatibility characters (see the tests).
+CLEAN = r"trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(coalesce(l.text, '')), '(?i)https?://\S+|www\.\S+', '<URL>', 'g'), '@\pN+', '', 'g'), '@[\pL\pN_]{1,15}', '', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '\s+', ' ', 'g'))"
 THREADS = rf"""{I.OWNED},
-m AS (SELECT o.root, o.brand, l.id, l.inbound, lower(l.author) AS author, l.created_at, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(l.text, ''), '@\pN+', '', 'g'), '@[\pL\pN_]{{1,15}}', '', 'g'), '\s+', ' ', 'g')) AS clean
+m AS (SELECT o.root, o.brand, l.id, l.inbound, lower(l.author) AS author, l.created_at, {CLEAN} AS clean
   FROM owned o JOIN roots r USING (root) JOIN log l ON l.id = r.id),
 th AS (SELECT CAST(root AS VARCHAR) AS thread_id, brand, max(CASE WHEN id = root THEN clean END) AS customer_msg,
   list(clean ORDER BY id) FILTER (NOT inbound AND author = brand) AS replies, CAST(count(*) FILTER (inbound AND id <> root) + 1 AS INTEGER) AS customer_turns,
@@ -28,13 +29,19 @@ th AS (SELECT CAST(root AS VARCHAR) AS thread_id, brand, max(CASE WHEN id = root
 
 
 def built(spark, d):
-    return TH.build_threads(I.message_log(spark, d), I.BRANDS, compose=False)
+    return TH.build_threads(I.message_log(spark, d), I.BRANDS)
 
 
 query("a1_scan_structure", f"WITH {I.LOG} SELECT id, author, inbound, parent FROM log")(lambda spark, d: io.scan_structure(I.message_log(spark, d)))
-query("a2_scan_text_for_ids", f"WITH {I.LOG} SELECT id, created_at, text FROM log WHERE id % 7 = 3")(
-    lambda spark, d: io.scan_text_for_ids(I.message_log(spark, d), I.message_log(spark, d).where("id % 7 = 3"))
-)
+
+
+@query("a2_scan_text_for_ids", f"{REC}, {I.OWNED} SELECT l.id, l.created_at, l.text FROM owned JOIN roots USING (root) JOIN log l USING (id)")
+def a2(spark, d):
+    """The second scan: text only of messages in threads that a brand owns."""
+    log = I.message_log(spark, d)
+    roots = TH.thread_roots(log)
+    owned = TH.root_opener_filter(TH.brand_of_root(log, roots, I.BRANDS), log).select("root")
+    return io.scan_text_for_ids(log, TH.thread_members(log, roots).join(owned, "root", "left_semi"))
 
 
 def place(spark, name):
@@ -158,12 +165,19 @@ def triage(spark, d):
     return routed.groupBy("split", "triggered_rule").agg(F.count("*").alias("n"))
 
 
-@query("x1_stream_triage", f"WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS customer_msg FROM conversations WHERE role = 'user') SELECT conv_id, turn, {RULE} AS triggered_rule FROM c")
+@query("x1_stream_triage", f"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS customer_msg FROM conversations WHERE role = 'user'), {I.VECTORS},
+n AS (SELECT q.id, max({I.COS.format('q.vector', 'h.vector')}) AS s FROM v q JOIN v h ON NOT h.pool AND h.id <> q.id WHERE q.id IN (SELECT conv_id FROM c) GROUP BY q.id)
+SELECT conv_id, turn, CASE WHEN {RULE} <> 'rules_only' THEN {RULE} WHEN v.cluster IN (0, 3) THEN 'never_auto_intent' WHEN coalesce(n.s, 0) < 0.3 THEN 'low_retrieval_similarity' ELSE 'rules_only' END AS triggered_rule
+FROM c LEFT JOIN v ON v.id = conv_id LEFT JOIN n ON n.id = conv_id""")
 def x1(spark, d):
-    files = I.table(spark, d, "conversations")
+    """User turns as a stream: joined with static classes and their policy, retrieval in every micro-batch."""
+    files, sink = I.table(spark, d, "conversations"), place(spark, "stream-out")
     source = spark.readStream.schema(files.schema).parquet(f"{d}/conversations.parquet/" if _is_folder(files) else f"{d}/conversations.parquet*")
-    routed = stream.stream_triage(source.where("role = 'user'")).select("conv_id", "turn", "triggered_rule")
-    return stream.run_to_end(routed, f"triage-{uuid.uuid4().hex}", place(spark, "stream-state"), place(spark, "stream-out"))
+    vectors, history = I.vectors(spark, d).withColumnRenamed("id", "conv_id"), I.split_vectors(spark, d)[1].select("id", "vector")
+    classes = vectors.select("conv_id", F.concat(F.lit("c"), F.col("cluster")).alias("intent"))
+    judged = stream.with_policy_of(source.where("role = 'user'"), classes, I.taxonomy(spark), "conv_id")
+    stream.run_batches(judged, lambda rows: stream.route_batch(rows, vectors, history, "conv_id").select("conv_id", "turn", "triggered_rule"), f"triage-{uuid.uuid4().hex}", place(spark, "stream-state"), sink)
+    return spark.read.schema("conv_id long, turn long, triggered_rule string").parquet(f"{sink}/*")
 
 
 @query("x2_stream_dedupe")

@@ -8,6 +8,8 @@ from ..functions import text as T
 from ..functions.hashing import text_key
 from ..operators import agreement, features, models
 from ..operators import vectors as V
+from ..operators.curate import hash_split
+from ..scratch import saved
 from . import inputs as I
 from .registry import query, with_
 
@@ -72,15 +74,15 @@ def s5(spark, d):
     return per.select("query_id", F.size(F.array_intersect("l", "r")).cast("long").alias("shared"))
 
 
-MESSAGES = "doc AS (SELECT doc_id AS id, substr(coalesce(text, ''), 1, 80) AS t FROM documents)"
+MESSAGES = "doc AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents)"
 GRAMS = r"""w AS (SELECT id, concat(' ', unnest(list_filter(regexp_split_to_array(lower(t), '\s+'), lambda x: x <> '')), ' ') AS w FROM doc),
 g AS (SELECT id, unnest(list_concat(list_concat([substr(w, i, 3) for i in range(1, greatest(length(w) - 3 + 1, 1) + 1)], CASE WHEN length(w) >= 4 THEN [substr(w, i, 4) for i in range(1, length(w) - 4 + 2)] ELSE [] END), CASE WHEN length(w) >= 5 THEN [substr(w, i, 5) for i in range(1, length(w) - 5 + 2)] ELSE [] END)) AS term FROM w),
 tf AS (SELECT id, term, count(*) AS tf FROM g GROUP BY 1, 2)"""
 
 
 def messages(spark, d):
-    """The subject lines of documents: their first 80 characters stand for short messages."""
-    return I.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring(F.coalesce("text", F.lit("")), 1, 80).alias("message"))
+    """Whole texts of documents."""
+    return I.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("message"), "lang")
 
 
 query("m1_char_wb_ngrams", with_(MESSAGES, GRAMS) + "SELECT id, term, tf FROM tf")(lambda spark, d: features.term_counts(messages(spark, d), "message"))
@@ -92,17 +94,19 @@ query("m2_tfidf", TFIDF + "SELECT id, term, round(w / sqrt(sum(w * w) OVER (PART
 
 @query("m3_svd_project")
 def m3(spark, d):
-    """Cosine of every vector with its projection's neighbour table: dot products of projected rows with vector 0."""
-    rows = I.vectors(spark, d)
-    projected = V.svd_project(rows, rows, 16)
-    first = projected.where("id = 0").select(F.col("vector").alias("zero"))
-    return projected.join(F.broadcast(first), F.lit(True)).select("id", F.round(T.dot(F.col("vector"), F.col("zero")), 6).alias("dot_with_first"))
+    """Retrieval by text alone: TF-IDF of whole texts, projected on 256 singular vectors of the history, then the exact top 5."""
+    vectors = hash_split(saved(features.sketch(features.tfidf(messages(spark, d), "message")), "tfidf-vectors"), "id")
+    history = vectors.where("split = 'history'").select("id", "vector")
+    projected = saved(V.svd_project(history, vectors, 256).join(vectors.select("id", "split"), "id"), "tfidf-projected")
+    pool = projected.where("split = 'golden_pool'").select(F.col("id").alias("query_id"), "vector")
+    found = V.knn_topk(pool, projected.where("split = 'history'").select("id", "vector"))
+    return found.select("query_id", "id", "rank", F.round("similarity", 4).alias("similarity"))
 
 
 query("m4_kmeans")(lambda spark, d: models.kmeans_assign(I.vectors(spark, d).drop("cluster"), 10))
 query("m5_choose_k")(lambda spark, d: models.choose_k(I.vectors(spark, d).drop("cluster")))
 query("m6_logreg_oof")(
-    lambda spark, d: models.logreg_oof(I.vectors(spark, d).select("id", F.col("cluster").cast("double").alias("label"), "vector"), 3).select("id", "label", "pred", "fold")
+    lambda spark, d: models.logreg_oof(messages(spark, d).where("lang is not null").select("id", F.col("lang").alias("label"), "message")).select("id", "label", "pred", "fold")
 )
 REPLIES = "CASE id % 3 WHEN 0 THEN 'please dm us' ELSE 'we fixed it' END"
 query("m7_nn_reply", with_(I.VECTORS, I.HITS) + f"SELECT query_id, {REPLIES} AS reply, round(similarity, 6) AS max_similarity FROM hits WHERE rank = 1")(

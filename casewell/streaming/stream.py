@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.route import pattern_route
+from ..operators.route import pattern_route, with_policy
+from ..operators.vectors import knn_topk
 
 
 def stream_triage(messages: DataFrame, message: str = "text") -> DataFrame:
@@ -15,6 +16,32 @@ def stream_triage(messages: DataFrame, message: str = "text") -> DataFrame:
     return messages.withColumn("triggered_rule", rule).withColumn("action", F.when(F.col("triggered_rule") == "rules_only", "auto").otherwise("escalate"))
 
 
+def with_policy_of(messages: DataFrame, classes: DataFrame, taxonomy: DataFrame, key: str) -> DataFrame:
+    """A stream's messages joined with two static tables: the class of each (key, intent) and the class's policy."""
+    return with_policy(messages.join(classes.select(key, "intent"), key, "left"), taxonomy)
+
+
+def route_batch(messages: DataFrame, vectors: DataFrame, history: DataFrame, key: str, message: str = "text", least: float = 0.3) -> DataFrame:
+    """A micro-batch of messages with similarity and triggered_rule: patterns first, then the class's policy, then whether
+    the history holds anything similar. Vectors (key, vector) and history (id, vector) are static."""
+    asked = vectors.join(messages.select(key).distinct(), key, "left_semi").select(F.col(key).alias("query_id"), "vector")
+    near = knn_topk(asked, history, 2).where("id <> query_id").groupBy(F.col("query_id").alias(key)).agg(F.max("similarity").alias("similarity"))
+    rows = messages.join(near, key, "left").withColumn("pattern_", pattern_route(F.col(message)))
+    rule = F.when(F.col("pattern_") != "rules_only", F.col("pattern_")).when(F.col("never_auto"), "never_auto_intent")
+    return rows.withColumn("triggered_rule", rule.when(F.coalesce("similarity", F.lit(0.0)) < least, "low_retrieval_similarity").otherwise("rules_only")).drop("pattern_")
+
+
+def run_batches(stream: DataFrame, handle, name: str, checkpoint: str, sink: str) -> None:
+    """Drive a bounded stream to completion, each micro-batch through ``handle`` (rows in, rows out); a batch that is
+    repeated after a failure writes its own folder again."""
+
+    def one(rows: DataFrame, number: int) -> None:
+        handle(rows).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).queryName(name).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def stream_dedupe(messages: DataFrame, message: str, time: str, horizon: str = "10 minutes") -> DataFrame:
     """The first message of every dedupe key within the horizon; state older than that is dropped."""
     keyed = messages.withColumn("dedupe_key", T.dedupe_key(F.col(message)))

@@ -77,6 +77,19 @@ def test_replay_misses_raise(spark):
         RS.require_all(empty).collect()
 
 
+def test_labels_are_trimmed_and_missing_ones_named(spark):
+    rows = spark.createDataFrame([(i, r) for i, r in enumerate([
+        '{"intent": " c1 ", "confidence": 3, "secondary_intent": "c2\\n"}', '{"confidence": 0.5}', '{"intent": "zz", "confidence": 0.5}', "no json", '```json\n{"intent": "c2", "confidence": "x"}\n```', None,
+    ])], "id int, response string")
+    got = [(r.intent, r.confidence, r.secondary_intent, r.ok, r.error) for r in RS.validate_classification(rows, ["c1", "c2", "other"]).orderBy("id").collect()]
+    assert got == [("c1", 1.0, "c2", True, None), ("other", 0.0, "", False, "invalid_label:"), ("other", 0.0, "", False, "invalid_label:zz"), ("other", 0.0, "", False, "unparseable"), ("c2", 0.0, "", True, None), ("other", 0.0, "", False, "unparseable")]
+
+
+def test_patterns_run_once_a_row(spark):
+    plan = R.route(spark.createDataFrame([tuple(GOOD.values())], SCHEMA), inputs.taxonomy(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") + plan.count("rlike") <= 9
+
+
 def test_taxonomy_checks(spark):
     with pytest.raises(ValueError):
         io.taxonomy_dim(spark.createDataFrame([("a",), ("a",), ("other",)], "name string"))

@@ -24,22 +24,74 @@ def test_bootstrap_brackets_the_estimate(spark, sf):
     assert found["accuracy"].low < (rows.gold == rows.pred).mean() < found["accuracy"].high
 
 
-def test_svd_keeps_dot_products(spark, sf):
+def test_svd_equals_numpy(spark):
     import numpy as np
 
     from casewell.operators import vectors
-    from casewell.plans import inputs
 
-    rows = inputs.vectors(spark, sf)
-    whole = vectors.svd_project(rows, rows, 64).orderBy("id").toPandas()
-    first = rows.orderBy("id").toPandas()
-    a, b = np.array(whole.vector.tolist()), np.array(first.vector.tolist(), float)
-    assert np.allclose(a[:50] @ a[:50].T, b[:50] @ b[:50].T, atol=1e-4)
+    rng = np.random.default_rng(0)
+    m = rng.standard_normal((300, 6)) @ rng.standard_normal((6, 20)) + 0.01 * rng.standard_normal((300, 20))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, vector array<double>")
+    basis = np.linalg.svd(m, full_matrices=False)[2][:6].T
+    want = m @ basis
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    got = np.array(vectors.svd_project(rows, rows, 6).orderBy("id").toPandas().vector.tolist())
+    assert got.shape == (300, 6) and np.allclose(got @ got.T, want @ want.T, atol=1e-8)
+    assert vectors.svd_project(rows.where("false"), rows.where("false"), 6).count() == 0
+
+
+def test_sketches_keep_dot_products(spark):
+    import numpy as np
+
+    from casewell.operators import features
 
+    rows = spark.createDataFrame([(i, " ".join(f"word{(i * j) % 37} item{j}" for j in range(1, 9 + i))) for i in range(12)], "id long, message string")
+    weights = features.tfidf(rows, "message", 1)
+    wide = weights.toPandas().pivot(index="id", columns="term", values="weight").fillna(0).to_numpy()
+    got = np.array(features.sketch(weights, 4096).orderBy("id").toPandas().vector.tolist())
+    assert np.abs(got @ got.T - wide @ wide.T).max() < 0.1
 
-def test_out_of_fold_predicts_each_row_once(spark, sf):
+
+def test_text_retrieval_finds_copies(spark, sf):
+    rows = catalogue.QUERIES["m3_svd_project"](spark, sf).toPandas()
+    assert (rows.groupby("query_id").size() == 5).all() and rows.similarity.between(-1.001, 1.001).all()
+    assert all(part.sort_values("rank").similarity.is_monotonic_decreasing for _, part in rows.groupby("query_id"))
+
+
+def test_out_of_fold_predicts_each_row_once_and_well(spark, sf):
     rows = catalogue.QUERIES["m6_logreg_oof"](spark, sf).toPandas()
-    assert rows.id.is_unique and len(rows) == 500 and set(rows.fold) == {0, 1, 2}
+    n = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null").count()
+    assert rows.id.is_unique and len(rows) == n and set(rows.fold) == {0, 1, 2, 3, 4}
+    assert (rows.label == rows.pred).mean() > 0.8
+
+
+def test_neighbours_equal_brute_force_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from casewell.operators import vectors
+
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(vectors, "CORPUS_BLOCK", 40)
+    rng = np.random.default_rng(3)
+    m = np.round(rng.standard_normal((200, 3)), 0) + [0, 0, 0.5]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, vector array<double>")
+    got = {}
+    for r in vectors.knn_topk(rows.where("id < 20").withColumnRenamed("id", "query_id"), rows, 4).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.id
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for q in range(20):
+        s = (u @ u[q]).round(12)
+        assert [got[q][k] for k in (1, 2, 3, 4)] == sorted(range(200), key=lambda i: (-s[i], i))[:4]
+
+
+def test_curation_does_not_sort_dropped_rows_together(spark, sf):
+    plan = catalogue.QUERIES["f1_curation_cascade"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
+def test_sample_reads_its_pool_a_few_times(spark, sf):
+    plan = catalogue.QUERIES["w6_stratified_sample"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 3
 
 
 def test_kmeans_and_sweep(spark, sf):

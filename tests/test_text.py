@@ -14,6 +14,27 @@ def test_normalise(spark):
     assert one(spark, T.normalise, None) == ""
 
 
+def test_threads_compose_compatibility_forms(spark):
+    """NFKC, which the other engine lacks: ligatures, circled digits and full-width letters become plain ones."""
+    from casewell.operators import threads
+
+    log = [(1, "u1", True, None, "t0", "ﬁve ① ＡＢＣ lamps are here"), (2, "Brand0", False, 1, "t1", "ｔｈａｎｋｓ ﬂora")]
+    rows = threads.build_threads(spark.createDataFrame(log, "id long, author string, inbound boolean, parent long, created_at string, text string"), ["brand0"]).collect()
+    assert [(r.customer_msg, [x.text for x in r.brand_replies]) for r in rows] == [("five 1 ABC lamps are here", ["thanks flora"])]
+
+
+def test_names_carried_over(spark):
+    def found(reply, *precedents):
+        rows = spark.createDataFrame([(reply, [(p,) for p in precedents])], "reply string, e array<struct<brand_reply:string>>")
+        return rows.select(T.carried_over_name(F.col("reply"), F.col("e")).alias("x")).first().x
+
+    assert found("Dear Selma, it ships today", "Dear Selma, thanks") == "Selma"
+    assert found("dear selma, it ships today", "ask selma about it") == "selma" and found("dear selma, it ships", "Selma, thanks") is None
+    assert found("Hello there, we apologise, sorry, Selma! ", "Selma is here") is None  # the greeting decides: no name
+    assert found("Your lamp is late, sorry about it, Selma!", "Selma is here") == "Selma"
+    assert found("Dear Selma, hi", "Selmas lamp") is None and found("Good day", "Good day") is None and found(None) is None
+
+
 def test_bucket_is_pinned(spark):
     assert one(spark, lambda c: hashing.stable_bucket(c, 100), "thread-123") == 43
 
