@@ -325,6 +325,16 @@ def test_lines_of_messy_and_empty(spark, messy, none):
     assert _removed(none).count() == 0
 
 
+@pytest.mark.parametrize("stage", [op5_line_dedup.stage, op7_mixing.stage, op9_jaccard_join.stage])
+def test_stages_of_nothing_and_of_one_long_text(spark, none, stage):
+    out = stage(spark, none, "")
+    assert out.columns == none.columns and out.count() == 0
+    long = " ".join(f"w{i % 70_001}x{i}" for i in range(200_000))
+    one = spark.createDataFrame([(1, long, "a", len(long))], "doc_id long, text string, source string, n_chars long")
+    got = stage(spark, one, "").collect()
+    assert sorted(w for r in got for w in words(r.text)) == sorted(words(long))
+
+
 def test_line_stage_keeps_short_lines(spark):
     passage = "a passage of words that other documents hold as well"
     rows = [(0, passage), (1, f"{passage}\nown short line\n他说的话没有空格"), (2, f"{passage}\n \t\n{passage}"), (3, f"{passage}\nown short line\n他说的话没有空格"), (4, f"short\n{passage}\n\nend")]
