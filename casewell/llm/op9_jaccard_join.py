@@ -13,10 +13,11 @@ seen at all, they give the recall of every prefix length over all trees. The lon
 (``shortest``), where no estimate is needed.
 
 Nodes that share a run (a matched prefix in some tree) are candidates. Connected candidates, in the order
-of the first tree, are cut in blocks of up to ``BLOCK`` nodes. A block is verified inside itself and with
-every block that it shares a run with: exactly, by counts of shared shingles. So a chain of candidates
-costs its neighbouring blocks, not all pairs, and a run of n nodes n rows, not pairs. A task returns one
-row per node (its links, and the node it hangs on). Verified links make the classes.
+of the first tree, are cut in blocks of up to ``BLOCK`` nodes and ``ROOM`` shingles (a longer text is
+alone). A block is verified inside itself and with every block that it shares a run with: exactly, by
+counts of shared shingles. So a chain of candidates costs its neighbouring blocks, not all pairs, and a
+run of n nodes n rows, not pairs. A task returns one row per node (its links, and the node it hangs on).
+Verified links make the classes.
 
 Defined results: class_id is the least doc_id of the class; n_links counts the different texts (by
 shingle set) at or above the threshold, copies apart; n_copies the other rows with an equal set.
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import carried, filed, pieces_for, replaced, saved, slices, table, text_of, with_row_id
 from .components import components
 
-N, TREES, DEPTH, RECALL, BLOCK, PACK, SEED = 5, 20, 8, 0.9995, 384, 512, 5
+N, TREES, DEPTH, RECALL, BLOCK, ROOM, PACK, SEED = 5, 20, 8, 0.9995, 384, 1 << 20, 512, 5
 #: Similarity at or above 4 / 5.
 TOP, BOTTOM = 4, 5
 #: Trees whose neighbours are compared to estimate the recall.
@@ -132,13 +133,14 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, and of sets that can have links: a pair of longs per tree (four 16-bit values each) and a sketch of one byte per value."""
+    """node and size, and of sets that can have links: a pair of longs per tree (four 16-bit values each) and a sketch of one byte per value."""
     for whole in batches:
         for batch in slices(whole, 3):
-            node, forest, sketch = [], [], []
+            node, size, forest, sketch = [], [], [], []
             for s in shingle_sets(batch.column(3).to_pylist()):
                 with np.errstate(over="ignore"):
                     node.append(int(mixed(np.array([mixed(s).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0]) if len(s) else None)
+                size.append(len(s))
                 if len(s) >= TOP:
                     low = signature(s)
                     forest.append((low >> np.uint32(16)).astype(">u2").view(">i8").astype(np.int64))
@@ -146,8 +148,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     forest.append(None)
                     sketch.append(None)
-            out = [*batch.columns[:3], pa.array(node, pa.int64()), pa.array(forest, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, ["file_no", "row_no", "doc_id", "node", "forest", "sketch"])
+            out = [*batch.columns[:3], pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(forest, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, ["file_no", "row_no", "doc_id", "node", "size", "forest", "sketch"])
 
 
 def _run_heads(batches: Iterator[pa.RecordBatch], prefix: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list]]:
@@ -202,17 +204,17 @@ def _joined(batches: Iterator[pa.RecordBatch], prefix: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["tree", "node", "head"])
 
 
-def _blocked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """node and block of nodes sorted by root: blocks of up to ``most`` nodes in turn, of one root each."""
-    base, block, held, last = TaskContext.get().partitionId() << 40, 0, 0, None
+def _blocked(batches: Iterator[pa.RecordBatch], most: int, room: int) -> Iterator[pa.RecordBatch]:
+    """node and block of nodes sorted by root: blocks of up to ``most`` nodes and ``room`` shingles in turn, of one root each."""
+    base, block, held, full, last = TaskContext.get().partitionId() << 40, 0, 0, 0, None
     for batch in batches:
         out = np.empty(batch.num_rows, np.int64)
-        for i, root in enumerate(batch.column(0).to_pylist()):
-            if root != last or held == most:
-                block, held, last = block + 1, 0, root
-            held += 1
+        for i, (root, size) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+            if root != last or held == most or full + size > room:
+                block, held, full, last = block + 1, 0, 0, root
+            held, full = held + 1, full + size
             out[i] = base + block
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out)], ["node", "block"])
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out)], ["node", "size", "block"])
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -267,19 +269,19 @@ class Join:
 
     def __init__(self, docs: DataFrame):
         rows = with_row_id(filed(docs.select("doc_id", "text")))
-        schema = "file_no long, row_no long, doc_id long, node long, forest array<long>, sketch binary"
+        schema = "file_no long, row_no long, doc_id long, node long, size long, forest array<long>, sketch binary"
         signed = saved(rows.select("file_no", "row_no", "doc_id", text_of().alias("text")).mapInArrow(_signed, schema), "jaccard-signed")
         self.light = signed.select("file_no", "row_no", "doc_id", "node")
         some = signed.where("node is not null")
-        one = F.min_by(F.struct("forest", "sketch"), F.struct("file_no", "row_no"))
+        one = F.min_by(F.struct("size", "forest", "sketch"), F.struct("file_no", "row_no"))
         reps = some.groupBy("node").agg(F.min(F.struct("file_no", "row_no")).alias("at"), F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), one.alias("x"))
-        reps = saved(reps.select("node", "at", "doc_id", "rows", "x.forest", "x.sketch"), "jaccard-nodes")
+        reps = saved(reps.select("node", "at", "doc_id", "rows", "x.size", "x.forest", "x.sketch"), "jaccard-nodes")
 
         runs = saved(self._forest(reps), "jaccard-runs")
         groups = components(runs.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")), "jaccard-groups")
-        placed = groups.join(reps.select("node", F.col("forest")[0].alias("high"), F.col("forest")[1].alias("low")), "node")
-        placed = placed.repartitionByRange("root", "high", "low", "node").sortWithinPartitions("root", "high", "low", "node").select("root", "node")
-        blocks = saved(placed.mapInArrow(partial(_blocked, most=BLOCK), "node long, block long"), "jaccard-blocks")
+        placed = groups.join(reps.select("node", "size", F.col("forest")[0].alias("high"), F.col("forest")[1].alias("low")), "node")
+        placed = placed.repartitionByRange("root", "high", "low", "node").sortWithinPartitions("root", "high", "low", "node").select("root", "node", "size")
+        blocks = saved(placed.mapInArrow(partial(_blocked, most=BLOCK, room=ROOM), "node long, size long, block long"), "jaccard-blocks")
         # pairs of blocks that share a run; a run lists its blocks, never its nodes
         met = runs.join(blocks, "node").select("tree", "head", "block").distinct()
         listed = met.groupBy("tree", "head").agg(F.array_sort(F.collect_list("block")).alias("all")).where(F.size("all") > 1)
@@ -287,9 +289,10 @@ class Join:
         crossed = saved(listed.distinct(), "jaccard-block-pairs")
         own = blocks.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block", F.col("block").alias("left"), F.col("block").alias("right"))
         units = own.unionByName(crossed.select(F.col("left").alias("block"), "left", "right")).unionByName(crossed.select(F.col("right").alias("block"), "left", "right"))
-        n_nodes = blocks.count()
-        pack = F.when(F.col("left") == F.col("right"), F.pmod(F.xxhash64("left"), F.lit(pieces_for(n_nodes, PACK)))).otherwise(F.xxhash64("left", "right"))
-        texts = rows.select("file_no", "row_no", text_of().alias("text")).join(blocks.join(reps.select("node", "at.file_no", "at.row_no"), "node"), ["file_no", "row_no"])
+        n_nodes, shingles = blocks.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        packs = max(pieces_for(n_nodes, PACK), pieces_for(shingles, ROOM))
+        pack = F.when(F.col("left") == F.col("right"), F.pmod(F.xxhash64("left"), F.lit(packs))).otherwise(F.xxhash64("left", "right"))
+        texts = rows.select("file_no", "row_no", text_of().alias("text")).join(blocks.select("node", "block").join(reps.select("node", "at.file_no", "at.row_no"), "node"), ["file_no", "row_no"])
         cells = texts.select("node", "block", "text").join(units, "block").withColumn("pack", pack).select("pack", "left", "right", "block", "node", "text")
         found = saved(cells.groupBy("pack").applyInPandas(_verified, "node long, links long, on long"), "jaccard-links")
         linked = components(found.where("links > 0").select(F.col("node").alias("a"), F.col("on").alias("b")), "jaccard-classes")

@@ -10,7 +10,7 @@ import pytest
 from compare import engine, same
 
 from casewell.llm import (
-    op1_sharding, op2_token_tables, op3_packing, op4_toxicity, op5_line_dedup, op6_quality_rules, op7_mixing, op8_multiprobe, op9_jaccard_join, op10_token_counts,
+    components, op1_sharding, op2_token_tables, op3_packing, op4_toxicity, op5_line_dedup, op6_quality_rules, op7_mixing, op8_multiprobe, op9_jaccard_join, op10_token_counts,
 )
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -564,8 +564,10 @@ def test_jaccard_classes_same_as_brute_force(spark):
     assert got == brute_classes(texts)
 
 
-def test_jaccard_large_groups_are_cut_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(op9_jaccard_join, "BLOCK", 20)
+@pytest.mark.parametrize("nodes, shingles", [(20, 1 << 20), (384, 1000)])
+def test_jaccard_large_groups_are_cut_in_blocks(spark, monkeypatch, nodes, shingles):
+    monkeypatch.setattr(op9_jaccard_join, "BLOCK", nodes)
+    monkeypatch.setattr(op9_jaccard_join, "ROOM", shingles)
     base = [f"t{i}" for i in range(120)]
     rng, texts = np.random.default_rng(4), {}
     for i in range(90):
@@ -577,6 +579,18 @@ def test_jaccard_large_groups_are_cut_in_blocks(spark, monkeypatch):
     assert got == brute_classes(texts)
 
 
+@pytest.mark.parametrize("hubs", [2, 4096])
+def test_components_of_hubs_chains_and_circles(spark, monkeypatch, hubs):
+    monkeypatch.setattr(components, "HUBS", hubs)
+    star = [(1000, k) for k in range(1001, 1080)] + [(1040, 900)]
+    chain = [(k + 1, k) for k in range(1, 12)] + [(12, 11), (7, 7)]
+    circle = [(2000 + k, 2000 + (k + 1) % 9) for k in range(9)]
+    edges = spark.createDataFrame(star + chain + circle + star[:20], "a long, b long")
+    got = {r.node: r.root for r in components.components(edges, "test-edges").collect()}
+    assert got == {900: 900} | {k: 900 for k in range(1000, 1080)} | {k: 1 for k in range(1, 13)} | {2000 + k: 2000 for k in range(9)}
+    assert components.components(edges.limit(0), "test-edges").count() == 0
+
+
 def test_prefixes_are_shortened_until_the_recall_suffices():
     forest = op9_jaccard_join
     values, low = (forest.TREES - 1) * forest.DEPTH, forest.shortest()
