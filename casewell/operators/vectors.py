@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from ..session import ship
 
 #: Queries and corpus rows of a block.
 QUERY_BLOCK, CORPUS_BLOCK = 8192, 16_384
+#: Tasks whose parts of a square are added up together.
+TASKS_ADDED = 256
 
 
 def distinct_messages(rows: DataFrame, message: str) -> DataFrame:
@@ -118,7 +121,8 @@ def cluster_profile(vectors: DataFrame, shown: int = 8, cluster: str = "cluster"
 
 def right_singular(vectors: DataFrame, k: int) -> np.ndarray:
     """The first k right singular vectors (columns) of the rows, not centred. Every task adds up its part of the square
-    of products, which is as large as a vector is long, squared; the rows themselves stay where they are."""
+    of products, which is as large as a vector is long, squared; the rows themselves stay where they are. Parts are added
+    up by ``TASKS_ADDED`` tasks first, then their sums: a million tasks are groups of some thousand rows."""
 
     def squares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = 0
@@ -127,13 +131,14 @@ def right_singular(vectors: DataFrame, k: int) -> np.ndarray:
                 m = _matrix(pdf.vector)
                 total = total + m.T @ m
         if isinstance(total, np.ndarray):
-            yield pd.DataFrame({"i": np.arange(len(total), dtype=np.int32), "row": list(total)})
+            yield pd.DataFrame({"task": TaskContext.get().partitionId(), "i": np.arange(len(total), dtype=np.int32), "row": list(total)})
 
     def added(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"i": pdf.i[:1], "row": [_matrix(pdf.row).sum(axis=0)]})
 
-    parts = vectors.select("vector").mapInPandas(squares, "i int, row array<double>")
-    rows = parts.groupBy("i").applyInPandas(added, "i int, row array<double>").orderBy("i").toPandas()
+    parts = vectors.select("vector").mapInPandas(squares, "task int, i int, row array<double>")
+    sums = parts.groupBy("i", F.expr(f"task div {TASKS_ADDED}")).applyInPandas(added, "i int, row array<double>")
+    rows = sums.groupBy("i").applyInPandas(added, "i int, row array<double>").orderBy("i").toPandas()
     if not len(rows):
         return np.zeros((0, 0))
     values, basis = np.linalg.eigh(_matrix(rows.row))
