@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating large and small stars; nothing is collected.
 
 The least neighbour of a node is a minimum, aggregated before the shuffle. It comes back to the node's edges by a join on
-the node, but for hubs (more than ``HUBS`` edges and more than one in ``HUBS`` of all): those are at most ``HUBS`` rows,
-which are broadcast, so no task gets all edges of one node."""
+the node, but for hubs (more than ``LEAST`` edges and more than one in ``HUBS`` of all edge ends): those are at most
+``HUBS`` rows, which are broadcast, so no task gets all edges of one node."""
 
 from __future__ import annotations
 
@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-HUBS = 4096
+HUBS, LEAST = 4096, 256
 
 
 def _star(edges: DataFrame, small: bool, n_edges: int) -> DataFrame:
     """Hang every node's larger (large star) or smaller (small star) neighbours on the least one; ``edges`` has at most ``n_edges`` rows."""
     both = edges if small else edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
-    hub = F.col("n") > max(HUBS, 2 * n_edges // HUBS)
+    hub = F.col("n") > max(LEAST, 2 * n_edges // HUBS)
     known = both.join(F.broadcast(least.where(hub).select("a", F.col("m").alias("hub"))), "a", "left")
     joined = known.where("hub is null").select("a", "b").join(least.where(~hub).select("a", "m"), "a")
     joined = joined.unionByName(known.where("hub is not null").select("a", "b", F.col("hub").alias("m")))

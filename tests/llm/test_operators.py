@@ -579,9 +579,9 @@ def test_jaccard_large_groups_are_cut_in_blocks(spark, monkeypatch, nodes, shing
     assert got == brute_classes(texts)
 
 
-@pytest.mark.parametrize("hubs", [2, 4096])
-def test_components_of_hubs_chains_and_circles(spark, monkeypatch, hubs):
-    monkeypatch.setattr(components, "HUBS", hubs)
+@pytest.mark.parametrize("least", [2, 256])
+def test_components_of_hubs_chains_and_circles(spark, monkeypatch, least):
+    monkeypatch.setattr(components, "LEAST", least)
     star = [(1000, k) for k in range(1001, 1080)] + [(1040, 900)]
     chain = [(k + 1, k) for k in range(1, 12)] + [(12, 11), (7, 7)]
     circle = [(2000 + k, 2000 + (k + 1) % 9) for k in range(9)]
