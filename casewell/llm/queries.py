@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_sharding, op2_token_tables, op3_packing, op4_toxicity, op5_line_dedup, op6_quality_rules, op7_mixing, op8_multiprobe, op9_jaccard_join, op10_token_counts, op11_token_alignment
+from . import op1_sharding, op2_token_tables, op3_packing, op4_toxicity, op5_line_dedup, op6_quality_rules, op7_mixing, op8_multiprobe, op9_jaccard_join, op10_token_counts, op11_token_alignment, op12_compression_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_bin_sharding": op1_sharding.query,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_forest": op9_jaccard_join.query,
     "op10_token_counts": op10_token_counts.query,
     "op11_token_alignment": op11_token_alignment.query,
+    "op12_compression_quality": op12_compression_quality.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
