@@ -1,11 +1,13 @@
 """Operator 4, toxicity by weak supervision.
 
 Voters are lexicon entries (written-down insults of four languages, and words or word beginnings that
-training rows show far more often when they are labelled toxic, either at all or densely) and surface
-patterns. A voter fires or abstains. A generative label model (two latent classes, fitted by expectation
+training rows show far more often when they are labelled toxic, either at all or densely: by a ratio that
+is ``LEAST_RATIO`` or more even ``ERRORS`` standard errors below its estimate) and surface patterns. A voter fires or abstains. A generative label model (two latent classes, fitted by expectation
 maximisation on the votes) estimates how accurate each voter is and how voters go together: inside a class
 a voter depends on at most one other, the one it is most correlated with, so a voter that only echoes
 another adds little. A logistic regression is trained on the model's posteriors and scores every text.
+Words are chosen on one half of the labelled documents; the other half sets the cut and must show that the
+model finds more than the written-down lexicon alone by over one standard error, else the lexicon decides.
 
 ``SAMPLE`` bounds the labelled documents and the rows used for fitting (by order of hashes); scoring covers
 every row. Rows with crc32(doc_id as text) % 4 == 2 are held out: their labels are never read.
@@ -14,7 +16,7 @@ Labels, lang, source and doc_id are no inputs of a score.
 Defined results: null and empty texts fire nothing and get the score of silence, which is below the
 threshold; a document labelled more than once counts as toxic if any label says so; null labels are ignored;
 with fewer than ``LEAST_LABELS`` labelled documents of either class, or none of them told apart by a voter,
-only the written-down lexicon votes; repeated rows repeat (for fitting, rows with equal votes of a document
+or no gain over it, only the written-down lexicon votes; repeated rows repeat (for fitting, rows with equal votes of a document
 count once); an empty table gives no rows; other columns are ignored.
 No text is shuffled: the sample of labels is joined by broadcast (its size is bounded by ``SAMPLE``).
 """
@@ -35,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import ship, slices, table, text_of
 
 SAMPLE, MAX_INDUCED, LEAST_RATIO, STEMS, THRESHOLD = 20_000, 400, 8.0, (4, 5, 6, 7, 8), 0.3
+#: Standard errors that a word's log ratio is lowered by.
+ERRORS = 1.645
 #: Labelled documents that either class must have for a fit.
 LEAST_LABELS = 20
 #: A dense voter fires if its key makes up this share of a text's words.
@@ -74,7 +78,7 @@ def words_by_text(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 def _count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts of either label that hold a key, one partial count per task."""
     toxic, clean = Counter(), Counter()
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 2)):
         words, which, ends = words_by_text(batch.column(2))
         at = 0
         for label, end in zip(batch.column(1).to_pylist(), ends):
@@ -126,7 +130,7 @@ class Voters:
 
 
 def _votes(batches: Iterator[pa.RecordBatch], voters: Voters) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, 2)):
         fired, hits, words = voters.fired(batch.column(2))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f.tolist() for f in fired], pa.list_(pa.int64())), pa.array(hits.astype(np.int64)), pa.array(words.astype(np.int64))], ["doc_id", "toxic", "fired", "hits", "words"])
 
@@ -268,23 +272,38 @@ def lexicon(keys: list[str]) -> np.ndarray:
     return weights
 
 
+def strong_keys(counts: DataFrame, n1: int, n0: int) -> DataFrame:
+    """Keys whose share in ``n1`` toxic texts surely exceeds that in ``n0`` clean ones, by the lowered log ratio."""
+    t, c = F.col("toxic") + 0.5, F.col("clean") + 0.5
+    lowered = F.log(t / (n1 + 1)) - F.log(c / (n0 + 1)) - ERRORS * F.sqrt(1 / t + 1 / c)
+    return counts.withColumn("lowered", lowered).where((F.col("toxic") >= max(3, n1 // 500)) & (F.col("lowered") >= float(np.log(LEAST_RATIO))))
+
+
+def f1(flagged: np.ndarray, toxic: np.ndarray) -> float:
+    return 2 * float((flagged & toxic).sum()) / max(1, flagged.sum() + toxic.sum())
+
+
+def gains(found: float, plain: float, n_toxic: int) -> bool:
+    """Whether an F1 exceeds the lexicon's by over one standard error of a share among so many toxic texts."""
+    return found > plain + float(np.sqrt(max(found * (1 - found), 0.25 / (n_toxic + 1)) / (n_toxic + 1)))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[Voters, np.ndarray]:
     """Voters and classifier weights, from training rows only."""
     spark = ship(docs.sparkSession)
     usable = labels.where(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     sample = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    known = sample.toPandas()
+    known = sample.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))).toPandas()
     plain = list(dict.fromkeys(INSULTS))
-    n1 = int((known.toxic > 0).sum())
-    n0 = len(known) - n1
-    if min(n1, n0) < LEAST_LABELS:
-        return Voters(plain), lexicon(plain)
-    marked = spark.createDataFrame([(int(a), int(b)) for a, b in zip(known.doc_id, known.toxic)], "doc_id long, toxic int")
+    alone = Voters(plain), lexicon(plain)
+    own = known[known.half == 0].toxic > 0
+    if min((known.toxic > 0).sum(), (known.toxic <= 0).sum()) < LEAST_LABELS or own.all() or not own.any():
+        return alone
+    # the label of a row carries its half: 0 and 1 choose words, 2 and 3 set the cut
+    marked = spark.createDataFrame([(int(i), int(t > 0) + 2 * int(h)) for i, t, h in zip(known.doc_id, known.toxic, known.half)], "doc_id long, toxic int")
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(marked), "doc_id").select("doc_id", "toxic", "text")
-    counts = rows.mapInArrow(_count_keys, "key string, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    ratio = ((F.col("toxic") + 0.1) / (n1 + 0.2)) / ((F.col("clean") + 0.1) / (n0 + 0.2))
-    strong = counts.where((F.col("toxic") >= max(3, n1 // 500)) & (ratio >= LEAST_RATIO))
-    found = strong.orderBy(F.desc(F.col("toxic") * F.log(ratio)), "key").limit(MAX_INDUCED).toPandas()
+    counts = rows.where("toxic < 2").mapInArrow(_count_keys, "key string, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    found = strong_keys(counts, int(own.sum()), int((~own).sum())).orderBy(F.desc(F.col("toxic") * F.col("lowered")), "key").limit(MAX_INDUCED).toPandas()
     keys = list(dict.fromkeys([*plain, *found.key]))
     voters = Voters(keys)
     voted = rows.mapInArrow(partial(_votes, voters=voters), "doc_id long, toxic int, fired array<long>, hits long, words long").distinct()
@@ -292,15 +311,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Voters, np.ndarray]:
     votes = np.zeros((len(got), voters.n), np.float32)
     for i, f in enumerate(got.fired):
         votes[i, np.asarray(f, np.int64)] = 1
-    toxic, lexical = got.toxic.to_numpy() > 0, votes[:, : len(keys)].any(axis=1)
-    if min(toxic.sum(), (~toxic).sum()) < LEAST_LABELS:
-        return Voters(plain), lexicon(plain)
-    model = fit_label_model(votes, lexical, min(0.5, max(0.01, n1 / (n1 + n0))))
+    code, lexical = got.toxic.to_numpy(), votes[:, : len(keys)].any(axis=1)
+    toxic, judges = code % 2 > 0, code >= 2
+    if min(toxic.sum(), (~toxic).sum()) < LEAST_LABELS or not toxic[judges].any() or toxic[judges].all():
+        return alone
+    model = fit_label_model(votes, lexical, min(0.5, max(0.01, float(toxic.mean()))))
     x = features(votes, got.hits.to_numpy(float), got.words.to_numpy(float))
     weights = fit_logistic(x, model.posterior(votes, lexical))
-    at = cut(x @ weights, toxic, float(weights[0]))
-    if at is None:
-        return Voters(plain), lexicon(plain)
+    z = x @ weights
+    at = cut(z[judges], toxic[judges], float(weights[0]))
+    by_lexicon = votes[:, : len(plain)].any(axis=1)
+    if at is None or not gains(f1(z[judges] >= at, toxic[judges]), f1(by_lexicon[judges], toxic[judges]), int(toxic[judges].sum())):
+        return alone
     weights[0] -= at - np.log(THRESHOLD / (1 - THRESHOLD))
     return voters, weights
 

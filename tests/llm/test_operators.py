@@ -664,3 +664,38 @@ def test_piece_counts_on_odd_strings():
     bits = ["a", "the", "The", " ", " ", "  ", "\n", "\n\n", ".", ", ", "é", "▁", "<s>", "\t", "\xa0", "日", "😀", "ing", "1", "\r\n", "<0x0A>", "\x00"]
     many = ["".join(rng.choice(bits, rng.integers(0, 9))) for _ in range(5000)]
     assert counter.count(many).tolist() == [len(x) for x in counter.library.encode(many)]
+
+
+# ---- 4, few labels
+@pytest.mark.parametrize("n", [22, 50, 200])
+def test_few_labels_flag_no_clean_documents(spark, n):
+    from pyspark.sql import functions as F
+
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    some = [labels.where((F.col("toxic") == t) & ~op4_toxicity.held_out()).orderBy(F.xxhash64("doc_id", F.lit(0))).limit(n) for t in (0, 1)]
+    got = op4_toxicity.score(docs, some[0].unionByName(some[1])).join(labels, "doc_id").toPandas()
+    assert got[got.toxic == 0].predicted.mean() < 0.02 and got[got.toxic == 1].predicted.mean() > 0.5
+
+
+def test_words_must_surely_exceed_their_share(spark):
+    counts = spark.createDataFrame([("few", 3, 0), ("many", 60, 0), ("both", 60, 60), ("rare", 12, 1)], "key string, toxic long, clean long")
+    assert {r.key for r in op4_toxicity.strong_keys(counts.where("key <> 'many'"), 22, 22).collect()} == set()
+    assert {r.key for r in op4_toxicity.strong_keys(counts, 200, 4000).collect()} == {"many", "rare"}
+
+
+def test_posterior_equals_a_plain_product_of_odds():
+    draw = np.random.default_rng(4)
+    toxic = draw.random(800) < 0.2
+    votes = (draw.random((800, 6)) < np.where(toxic[:, None], 0.6, 0.01)).astype(np.float32)
+    votes[:, 5] = votes[:, 4]  # an echo
+    lexical = votes.any(axis=1)
+    model = op4_toxicity.fit_label_model(votes, lexical, 0.2)
+    for row, lex, got in zip(votes[:50], lexical, model.posterior(votes, lexical)):
+        z = model.prior + (0 if lex else model.silence)
+        for j, fires in enumerate(row):
+            if fires:
+                z += model.odds[j][int(row[model.parent[j]]) if model.parent[j] != j else 1]
+        assert got == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-5)
+    assert ((model.posterior(votes, lexical) > 0.5) == toxic).mean() > 0.93
