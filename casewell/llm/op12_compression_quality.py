@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, slices, table, text_of
+from .common import saved, ship, slices, table, text_of
 
 SAMPLE, PIECES, PIECE, DICTIONARY, LEVEL, SHRINK, THRESHOLD = 20_000, 3_500, 2_048, 112_640, 3, 64, 0.3
 #: A dictionary of fewer pieces than this is their plain text; training needs more.
@@ -107,10 +107,14 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces and their places in the order of hashes."""
+    from xxhash import xxh64_intdigest
+
     for whole in batches:
         for batch in slices(whole, 1):
             rows = [(g, p) for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for p in pieces_of(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], ["good", "piece"])
+            places = [xxh64_intdigest(p) >> 1 for _, p in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows], pa.int32()), pa.array(places, pa.int64()), pa.array([p for _, p in rows], pa.binary())], ["good", "place", "piece"])
 
 
 def _advantages(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -132,12 +136,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     marked = spark.createDataFrame([(int(a), int(b)) for a, b in zip(known.doc_id, good)], "doc_id long, good int")
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(marked), "doc_id").select("doc_id", "good", "text")
     trains = F.pmod(F.xxhash64("doc_id", F.lit("dictionary")), F.lit(2)) == 0
-    cut = rows.where(trains).select("good", "text").mapInArrow(_cut, "good int, piece binary").distinct()
+    cut = saved(rows.where(trains).select("good", "text").mapInArrow(_cut, "good int, place long, piece binary"), "pieces")
     made = []
     for label in (1, 0):
-        found = cut.where(F.col("good") == label).orderBy(F.xxhash64("piece"), "piece").limit(PIECES).toPandas()
-        if not len(found):
+        own = cut.where(F.col("good") == label)
+        last = own.select("place").distinct().orderBy("place").limit(PIECES).agg(F.max("place")).first()[0]
+        if last is None:
             return nothing
+        found = own.where(F.col("place") <= last).groupBy("place").agg(F.first("piece").alias("piece")).toPandas().sort_values("place")
         made.append(dictionary([bytes(p) for p in found.piece]))
     model = Model(*made, 0.0, prior)
     seen = rows.where(~trains).mapInArrow(partial(_advantages, model=model), "doc_id long, good int, x double").distinct()
