@@ -680,7 +680,7 @@ def test_few_labels_flag_no_clean_documents(spark, n):
 
 
 def test_words_must_surely_exceed_their_share(spark):
-    counts = spark.createDataFrame([("few", 3, 0), ("many", 60, 0), ("both", 60, 60), ("rare", 12, 1)], "key string, toxic long, clean long")
+    counts = spark.createDataFrame([("few", 3, 0), ("many", 60, 0), ("both", 20, 400), ("rare", 12, 1)], "key string, toxic long, clean long")
     assert {r.key for r in op4_toxicity.strong_keys(counts.where("key <> 'many'"), 22, 22).collect()} == set()
     assert {r.key for r in op4_toxicity.strong_keys(counts, 200, 4000).collect()} == {"many", "rare"}
 
