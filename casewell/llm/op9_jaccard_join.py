@@ -6,11 +6,9 @@ A tree is the sorted list of its signatures, that is a prefix trie in order: nod
 stand next to each other, and how long a prefix two neighbours share says how deep they part. Nodes are
 dealt to tasks by tree and first values, sorted there and read once; no bucket is ever a group.
 
-Prefixes are matched as long as possible and shortened until the recall suffices. In two trees
-neighbours' sketches tell how similar the pairs of this table are; weighted by the chance of being
-seen at all, they give the recall of every prefix length over all trees. The longest prefix that reaches
-``RECALL`` is taken. It is never shorter than the one that reaches it for pairs at the threshold itself
-(``shortest``), where no estimate is needed.
+Matched prefixes are shortened from the full depth until pairs at the threshold itself share one in some tree with
+chance ``RECALL`` (``shortest``: 5 of 8 values). Nearer pairs do so with a higher chance, so the recall holds for every
+mix of similarities, and nothing is estimated from the table. The further values only order a run.
 
 Nodes that share a run (a matched prefix in some tree) are candidates. Connected candidates, in the order
 of the first tree, are cut in blocks of up to ``BLOCK`` nodes and ``ROOM`` shingles (a longer text is
@@ -46,8 +44,6 @@ from .components import components
 N, TREES, DEPTH, RECALL, BLOCK, ROOM, PACK, SEED = 5, 20, 8, 0.9995, 384, 1 << 20, 512, 5
 #: Similarity at or above 4 / 5.
 TOP, BOTTOM = 4, 5
-#: Trees whose neighbours are compared to estimate the recall.
-JUDGED = 2
 #: Every ASCII blank as a space.
 BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
@@ -62,20 +58,6 @@ def shortest(threshold: float = TOP / BOTTOM) -> int:
     return max(k for k in range(4, DEPTH + 1) if k == 4 or recall_at(threshold, k) >= RECALL)
 
 
-def prefix_for(pairs: dict[int, int]) -> int:
-    """The longest prefix with ``RECALL`` over the pairs seen in the judged trees: how many of them by equal values of
-    the sketch (of all but the tree where they met). A pair stands for as many as were likely to be missed."""
-    low, values = shortest(), (TREES - 1) * DEPTH
-    near = {max(m / values, TOP / BOTTOM): 0.0 for m in pairs if m / values >= TOP / BOTTOM - 0.03}
-    for m, n in pairs.items():
-        s = max(m / values, TOP / BOTTOM)
-        if m / values >= TOP / BOTTOM - 0.03:
-            near[s] += n / s**low
-    total = sum(near.values())
-    fits = [k for k in range(low, DEPTH + 1) if sum(w * recall_at(s, k) for s, w in near.items()) >= RECALL * total]
-    return max(fits, default=low)
-
-
 @lru_cache(maxsize=1)
 def _constants() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
@@ -133,23 +115,20 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node and size, and of sets that can have links: a pair of longs per tree (four 16-bit values each) and a sketch of one byte per value."""
+    """node and size, and of sets that can have links a pair of longs per tree (four 16-bit values each)."""
     for whole in batches:
         for batch in slices(whole, 3):
-            node, size, forest, sketch = [], [], [], []
+            node, size, forest = [], [], []
             for s in shingle_sets(batch.column(3).to_pylist()):
                 with np.errstate(over="ignore"):
                     node.append(int(mixed(np.array([mixed(s).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0]) if len(s) else None)
                 size.append(len(s))
                 if len(s) >= TOP:
-                    low = signature(s)
-                    forest.append((low >> np.uint32(16)).astype(">u2").view(">i8").astype(np.int64))
-                    sketch.append((low >> np.uint32(8)).astype(np.uint8).tobytes())
+                    forest.append((signature(s) >> np.uint32(16)).astype(">u2").view(">i8").astype(np.int64))
                 else:
                     forest.append(None)
-                    sketch.append(None)
-            out = [*batch.columns[:3], pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(forest, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, ["file_no", "row_no", "doc_id", "node", "size", "forest", "sketch"])
+            out = [*batch.columns[:3], pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(forest, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out, ["file_no", "row_no", "doc_id", "node", "size", "forest"])
 
 
 def _run_heads(batches: Iterator[pa.RecordBatch], prefix: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list]]:
@@ -171,27 +150,21 @@ def _run_heads(batches: Iterator[pa.RecordBatch], prefix: int) -> Iterator[tuple
         head = batch.slice(int(at[-1]), 1) if at[-1] >= 0 else head
 
 
-def _compared(batches: Iterator[pa.RecordBatch], prefix: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a run's head and its other nodes, counted by equal values of their sketches outside the tree."""
-    seen = np.zeros(TREES * DEPTH + 1, np.int64)
-    for batch, at, new, head in _run_heads(batches, prefix):
-        rows = np.flatnonzero(~new)
-        if not len(rows):
-            continue
-        sketches = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-        first = sketches[np.maximum(at[rows], 0)]
-        if head is not None:
-            first[at[rows] < 0] = np.frombuffer(head.column(4)[0].as_py(), np.uint8)
-        same = sketches[rows] == first
-        own = batch.column(0).to_numpy()[rows][:, None] == np.arange(TREES * DEPTH) // DEPTH
-        seen += np.bincount((same & ~own).sum(axis=1), minlength=len(seen))
-    m = np.flatnonzero(seen)
-    if len(m):
-        yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(seen[m])], ["same", "n"])
+JOINED = "tree int, node long, head long, part int, edge int, high long, low long"
 
 
 def _joined(batches: Iterator[pa.RecordBatch], prefix: int) -> Iterator[pa.RecordBatch]:
-    """tree, node and head (of its run) of every node that shares a run, the heads themselves as well."""
+    """tree, node and head (of its run) of every node that shares a run in this part, the heads themselves as well; and of
+    the part's first and last runs (edge 0 and 1) their prefix and head, for a run may go on in the next part."""
+    task = TaskContext.get()
+    part, names, last = task.partitionId() if task else 0, [c.split()[0] for c in JOINED.split(", ")], None
+
+    def edge(k: int, batch: pa.RecordBatch, row: int, head: int) -> pa.RecordBatch:
+        tree, high, low = (int(batch.column(c)[row].as_py()) for c in range(3))
+        cut = int((np.array([low], np.int64).view(np.uint64) >> np.uint64(16 * (DEPTH - prefix))).view(np.int64)[0])
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((tree, None, head, part, k, high, cut), kinds)], names)
+
     for batch, at, new, head in _run_heads(batches, prefix):
         node, tree = batch.column(3).to_numpy(), batch.column(0).to_numpy()
         rows = np.flatnonzero(~new)
@@ -201,7 +174,13 @@ def _joined(batches: Iterator[pa.RecordBatch], prefix: int) -> Iterator[pa.Recor
         a = np.concatenate([node[rows], node[first], heads[:1] if own else node[:0]])
         b = np.concatenate([heads, node[first], heads[:1] if own else node[:0]])
         t = np.concatenate([tree[rows], tree[first], tree[rows[:1]] if own else tree[:0]])
-        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["tree", "node", "head"])
+        none = [pa.nulls(len(a), k) for k in (pa.int32(), pa.int32(), pa.int64(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *none], names)
+        if last is None:
+            yield edge(0, batch, 0, int(node[0]))
+        last = batch, int(node[at[-1]]) if at[-1] >= 0 else head.column(3)[0].as_py()
+    if last is not None:
+        yield edge(1, last[0], last[0].num_rows - 1, last[1])
 
 
 def _blocked(batches: Iterator[pa.RecordBatch], most: int, room: int) -> Iterator[pa.RecordBatch]:
@@ -269,15 +248,15 @@ class Join:
 
     def __init__(self, docs: DataFrame):
         rows = with_row_id(filed(docs.select("doc_id", "text")))
-        schema = "file_no long, row_no long, doc_id long, node long, size long, forest array<long>, sketch binary"
+        schema = "file_no long, row_no long, doc_id long, node long, size long, forest array<long>"
         signed = saved(rows.select("file_no", "row_no", "doc_id", text_of().alias("text")).mapInArrow(_signed, schema), "jaccard-signed")
         self.light = signed.select("file_no", "row_no", "doc_id", "node")
         some = signed.where("node is not null")
-        one = F.min_by(F.struct("size", "forest", "sketch"), F.struct("file_no", "row_no"))
+        one = F.min_by(F.struct("size", "forest"), F.struct("file_no", "row_no"))
         reps = some.groupBy("node").agg(F.min(F.struct("file_no", "row_no")).alias("at"), F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), one.alias("x"))
-        reps = saved(reps.select("node", "at", "doc_id", "rows", "x.size", "x.forest", "x.sketch"), "jaccard-nodes")
+        reps = saved(reps.select("node", "at", "doc_id", "rows", "x.size", "x.forest"), "jaccard-nodes")
 
-        runs = saved(self._forest(reps), "jaccard-runs")
+        runs = self._forest(reps)
         groups = components(runs.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")), "jaccard-groups")
         placed = groups.join(reps.select("node", "size", F.col("forest")[0].alias("high"), F.col("forest")[1].alias("low")), "node")
         placed = placed.repartitionByRange("root", "high", "low", "node").sortWithinPartitions("root", "high", "low", "node").select("root", "node", "size")
@@ -303,17 +282,29 @@ class Join:
         self.nodes = nodes.join(ids, "class_node").select("node", "class_node", "class_id", "n_links", (F.col("rows") - 1).alias("n_copies"))
 
     def _forest(self, reps: DataFrame) -> DataFrame:
-        """tree, node, head of all runs at the prefix length that the recall asks for."""
-
-        def trees(n: int, *more: str) -> DataFrame:
-            """Sorted signatures of the first n trees; those with equal first values are in one task, in order."""
-            pairs = F.array(*(F.struct(F.lit(t).alias("tree"), F.col("forest")[2 * t].alias("high"), F.col("forest")[2 * t + 1].alias("low")) for t in range(n)))
-            rows = reps.where("forest is not null").select("node", *more, F.explode(pairs).alias("p")).select("p.tree", "p.high", "p.low", "node", *more)
-            return rows.repartition("tree", "high").sortWithinPartitions("tree", "high", "low", "node")
-
-        seen = trees(JUDGED, "sketch").mapInArrow(partial(_compared, prefix=shortest()), "same long, n long")
-        self.prefix = prefix_for({r.same: r.n for r in seen.groupBy("same").agg(F.sum("n").alias("n")).collect()})  # at most TREES * DEPTH rows
-        return trees(TREES).mapInArrow(partial(_joined, prefix=self.prefix), "tree int, node long, head long")
+        """tree, node, head of all runs. Signatures of a tree lie sorted over as many tasks as their number asks for, not by
+        first values, which many near copies share; a run that goes on in the next task gets one head afterwards."""
+        values = F.array(*(F.struct(F.lit(t).alias("tree"), F.col("forest")[2 * t].alias("high"), F.col("forest")[2 * t + 1].alias("low")) for t in range(TREES)))
+        rows = reps.where("forest is not null").select("node", F.explode(values).alias("p")).select("p.tree", "p.high", "p.low", "node")
+        order = ["tree", "high", "low", "node"]
+        spread = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+        found = saved(spread.mapInArrow(partial(_joined, prefix=shortest()), JOINED), "jaccard-pieces")
+        # the first and last runs of every task, in order: one row each, so as many as tasks, not nodes
+        ends = found.where("edge is not null").orderBy("part", "edge").collect()
+        heads, last = {}, None
+        for r in ends:
+            key = (r.tree, r.high, r.low)
+            if last and last[0] == key and last[1] != r.head:
+                heads[r.tree, r.head] = last[1]
+            last = key, heads.get((r.tree, r.head), r.head)
+        runs = found.where("edge is null").select("tree", "node", "head")
+        if not heads:
+            return runs
+        spark = reps.sparkSession
+        to = spark.createDataFrame([(t, a, b) for (t, a), b in heads.items()], "tree int, head long, first long")
+        runs = runs.join(F.broadcast(to), ["tree", "head"], "left").select("tree", "node", F.coalesce("first", "head").alias("head"))
+        both = to.select("tree", F.col("head").alias("node"), F.col("first").alias("head")).unionByName(to.select("tree", F.col("first").alias("node"), F.col("first").alias("head")))
+        return runs.unionByName(both)
 
     def rows(self) -> DataFrame:
         """file_no, row_no, doc_id, class_id, n_links, n_copies, class_node."""
