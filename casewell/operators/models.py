@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import saved
-from .features import sketch, term_counts, vocabulary, weighted
+from .features import sparse_features, term_counts, vocabulary, weighted
 from .metrics import majority_class
 from .sample import position_folds
+from .sparse_svd import sparse_rows, term_places
 
 #: Fixed value: the canned reply.
 CANNED_REPLY = "Sorry for the trouble! We'd like to help. Please share more details so we can look into this for you."
@@ -50,25 +51,28 @@ def choose_k(vectors: DataFrame, ks=range(8, 24, 2), seed: int = 42, restarts: i
     return vectors.sparkSession.createDataFrame([(k, s, k == best) for k, s in found], "k int, silhouette double, chosen boolean")
 
 
-def logreg_oof(messages: DataFrame, folds: int = 5, dims: int = 1024, iterations: int = 100) -> DataFrame:
-    """id, label, pred, confidence, fold: a balanced multinomial regression on character TF-IDF, every row predicted by
-    a model whose vocabulary, weights and coefficients come from the other folds. messages: id, label (text), message."""
+def logreg_oof(messages: DataFrame, folds: int = 5, most: int = 100_000, iterations: int = 100) -> DataFrame:
+    """id, label, pred, confidence, fold: a balanced multinomial regression on the character TF-IDF of the ``most`` most
+    frequent terms, every row predicted by a model whose vocabulary, weights and coefficients come from the other folds.
+    messages: id, label (text), message. Messages without a known term are predicted from the intercepts."""
     rows = saved(position_folds(messages.select("id", "label", "message"), "id", folds), "oof-rows")
     counts = saved(term_counts(rows, "message").join(rows.select("id", "fold"), "id"), "oof-terms")
-    labels = sorted(r.label for r in rows.select("label").distinct().collect())  # one row per class
+    sizes = rows.groupBy("label", "fold").agg(F.count("*").alias("n")).toPandas()  # one row per class and fold
+    labels = sorted(sizes.label.unique())
     number = F.element_at(F.create_map(*(F.lit(x) for i, name in enumerate(labels) for x in (name, float(i)))), F.col("label"))
     out = None
     for k in range(folds):
-        n = rows.where(F.col("fold") != k).count()
-        known = saved(vocabulary(counts.where(F.col("fold") != k), n, 1, 100_000), "oof-vocabulary")
-        vectors = saved(sketch(weighted(counts.drop("fold"), known), dims), "oof-vectors")
-        full = featured(rows.join(vectors, "id", "left").withColumn("vector", F.coalesce("vector", F.array_repeat(F.lit(0.0), dims)))).withColumn("number", number)
-        train, held = full.where(F.col("fold") != k), full.where(F.col("fold") == k)
-        sizes = train.groupBy("label").agg(F.count("*").alias("c"))
-        weighed = train.join(F.broadcast(sizes.withColumn("weight", F.lit(float(n)) / (F.count("*").over(Window.partitionBy(F.lit(1))) * F.col("c"))).drop("c")), "label")
-        model = LogisticRegression(standardization=False, regParam=1.0 / max(1, n), weightCol="weight", labelCol="number", maxIter=iterations).fit(weighed)
+        own = sizes[sizes.fold != k].groupby("label").n.sum()
+        n = int(own.sum())
+        weight = F.element_at(F.create_map(*(F.lit(x) for name, c in own.items() for x in (name, n / (len(own) * float(c))))), F.col("label"))
+        terms = term_places(vocabulary(counts.where(F.col("fold") != k), n, 1, most))
+        packed = sparse_rows(weighted(counts.drop("fold"), terms.select("term", "idf")), terms)
+        none = [F.coalesce("places", F.array().cast("array<int>")).alias("places"), F.coalesce("values", F.array().cast("array<double>")).alias("values")]
+        every = rows.select("id", "label", "fold", number.alias("number"), weight.alias("weight")).join(packed, "id", "left").select("id", "label", "fold", "number", "weight", *none)
+        full = sparse_features(every, max(1, terms.count()))
+        model = LogisticRegression(standardization=False, regParam=1.0 / max(1, n), weightCol="weight", labelCol="number", maxIter=iterations).fit(full.where(F.col("fold") != k))
         pred = F.element_at(F.array(*map(F.lit, labels)), (F.col("prediction") + 1).cast("int"))
-        one = model.transform(held).select("id", "label", pred.alias("pred"), F.array_max(vector_to_array("probability")).alias("confidence"), "fold")
+        one = model.transform(full.where(F.col("fold") == k)).select("id", "label", pred.alias("pred"), F.array_max(vector_to_array("probability")).alias("confidence"), "fold")
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.hashing import text_key
 from ..session import ship
+from .pivots import PivotIndex, ranked
 
 #: Queries and corpus rows of a block.
 QUERY_BLOCK, CORPUS_BLOCK = 8192, 16_384
@@ -63,23 +64,25 @@ def _block_topk(k: int):
 
 
 def knn_topk(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, id, similarity, rank: the k most similar corpus rows by cosine, exactly; ties to smaller ids.
-    Queries (query_id, vector) and corpus (id, vector) are dealt to hashed blocks and every pair of blocks is scored in
-    one task, which returns at most 2 k rows per query: nothing passes through the driver, no pair is a row."""
+    """query_id, id, similarity, rank: the k most similar corpus rows by cosine, exactly; ties to smaller ids. A corpus of
+    more than one block gets a pivot index, which is shuffled once and of which queries visit only the shells that can
+    hold a neighbour; a smaller one is scored as it is, by blocks of queries. No pair of rows passes the driver."""
     ship(queries.sparkSession)
-    n_q, n_c = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-corpus.count() // CORPUS_BLOCK))
+    n_c = max(1, -(-corpus.count() // CORPUS_BLOCK))
+    if n_c > 1:
+        return ranked(PivotIndex(corpus).search(queries, k), k)
+    n_q = max(1, -(-queries.count() // QUERY_BLOCK))
     spread = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     q = queries.select("query_id", F.col("vector").alias("asked"), F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("qb"), spread("cb", n_c))
     c = corpus.select("id", F.col("vector").alias("held"), F.pmod(F.xxhash64("id"), F.lit(n_c)).cast("int").alias("cb"), spread("qb", n_q))
     # names differ by side: both may come from one table, and a cogroup would take their columns for the same
     scored = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(_block_topk(k), "query_id long, id long, similarity double")
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 12)), "id")))
-    return ranked.where(F.col("rank") <= k)
+    return ranked(scored, k)
 
 
 def topk_per_query(scored: DataFrame, k: int) -> DataFrame:
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")))
-    return ranked.where(F.col("rank") <= k)
+    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")))
+    return best.where(F.col("rank") <= k)
 
 
 def exemplar_hits(hits: DataFrame, threads: DataFrame) -> DataFrame:

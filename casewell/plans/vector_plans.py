@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.hashing import text_key
-from ..operators import agreement, features, models
+from ..operators import agreement, features, models, sparse_svd
 from ..operators import vectors as V
 from ..operators.curate import hash_split
 from ..scratch import saved
@@ -92,17 +92,35 @@ query("m2_tfidf", TFIDF + "SELECT id, term, round(w / sqrt(sum(w * w) OVER (PART
 )
 
 
+def text_vectors(spark, d):
+    """id, vector, split: TF-IDF of whole texts on the first 256 right singular vectors of the history's rows."""
+    terms, rows = features.sparse_tfidf(messages(spark, d), "message")
+    rows = saved(hash_split(rows, "id"), "tfidf-rows")
+    _, basis = sparse_svd.truncated_svd(rows.where("split = 'history'"), terms.count())
+    return saved(sparse_svd.project(rows, basis).join(rows.select("id", "split"), "id"), "tfidf-projected")
+
+
+def _pool_and_history(vectors):
+    return vectors.where("split = 'golden_pool'").select(F.col("id").alias("query_id"), "vector"), vectors.where("split = 'history'").select("id", "vector")
+
+
 @query("m3_svd_project")
 def m3(spark, d):
-    """Retrieval by text alone: TF-IDF of whole texts, projected on 256 singular vectors of the history, then the exact top 5."""
-    vectors = hash_split(saved(features.sketch(features.tfidf(messages(spark, d), "message")), "tfidf-vectors"), "id")
-    history = vectors.where("split = 'history'").select("id", "vector")
-    projected = saved(V.svd_project(history, vectors, 256).join(vectors.select("id", "split"), "id"), "tfidf-projected")
-    pool = projected.where("split = 'golden_pool'").select(F.col("id").alias("query_id"), "vector")
-    found = V.knn_topk(pool, projected.where("split = 'history'").select("id", "vector"))
+    """Retrieval by text alone: the exact top 5 among projected TF-IDF rows."""
+    found = V.knn_topk(*_pool_and_history(text_vectors(spark, d)))
     return found.select("query_id", "id", "rank", F.round("similarity", 4).alias("similarity"))
 
 
+@query("g28_backend_comparison")
+def g28_backends(spark, d):
+    """Both rankers over the same queries and the same corpus, the messages that have a vector: dense vectors against TF-IDF."""
+    dense = hash_split(I.vectors(spark, d).select("id", "vector"), "id")
+    sparse = text_vectors(spark, d)
+    both = [x.join(y.select("id"), "id", "left_semi") for x, y in ((dense, sparse), (sparse, dense))]
+    found = agreement.retrieval_agreement(*(V.knn_topk(*_pool_and_history(x)) for x in both))
+    return found.select("n", *(F.round(c, 6).alias(c) for c in found.columns if c != "n"))
+
+
 query("m4_kmeans")(lambda spark, d: models.kmeans_assign(I.vectors(spark, d).drop("cluster"), 10))
 query("m5_choose_k")(lambda spark, d: models.choose_k(I.vectors(spark, d).drop("cluster")))
 query("m6_logreg_oof")(

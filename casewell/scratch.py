@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def folder(spark: SparkSession) -> str:
@@ -19,6 +20,20 @@ def folder(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
+    return written_as(df, name, df.schema)
+
+
+def written_as(df: DataFrame, name: str, schema: StructType) -> DataFrame:
+    """The same rows, written and read back under a schema that stores the same fields."""
     place = f"{folder(df.sparkSession)}/casewell/{name}-{uuid.uuid4().hex}"
     df.write.parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
+    return df.sparkSession.read.schema(schema).parquet(place)
+
+
+def bucketed(df: DataFrame, column: str, buckets: int, name: str) -> DataFrame:
+    """The same rows in a table that is dealt to buckets by a column and sorted in them: joins on that column that use as
+    many partitions do not move it again."""
+    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
+    place = f"{folder(df.sparkSession)}/casewell/{table}"
+    df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column).option("path", place).saveAsTable(table)
+    return df.sparkSession.table(table)

@@ -40,18 +40,6 @@ def test_svd_equals_numpy(spark):
     assert vectors.svd_project(rows.where("false"), rows.where("false"), 6).count() == 0
 
 
-def test_sketches_keep_dot_products(spark):
-    import numpy as np
-
-    from casewell.operators import features
-
-    rows = spark.createDataFrame([(i, " ".join(f"word{(i * j) % 37} item{j}" for j in range(1, 9 + i))) for i in range(12)], "id long, message string")
-    weights = features.tfidf(rows, "message", 1)
-    wide = weights.toPandas().pivot(index="id", columns="term", values="weight").fillna(0).to_numpy()
-    got = np.array(features.sketch(weights, 4096).orderBy("id").toPandas().vector.tolist())
-    assert np.abs(got @ got.T - wide @ wide.T).max() < 0.1
-
-
 def test_text_retrieval_finds_copies(spark, sf):
     rows = catalogue.QUERIES["m3_svd_project"](spark, sf).toPandas()
     assert (rows.groupby("query_id").size() == 5).all() and rows.similarity.between(-1.001, 1.001).all()
