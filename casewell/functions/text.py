@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .prefilter import fold, may_match
+
 # Patterns and word lists that results depend on.
 URL = r"(?i)https?://\S+|www\.\S+"
 DEFLECTION = [
@@ -140,21 +142,30 @@ def dedupe_key(text: Column) -> Column:
     return F.sha1(dedupe_text(text))
 
 
-def first_match(text: Column, patterns: list[tuple[str, str]]) -> Column:
-    """Name of the first pattern found, in order; null if none. Lists may be a user's own."""
-    return F.coalesce(*(F.when(filled(text).rlike(any_case(p)), F.lit(n)) for n, p in patterns))
+def matches(text: Column, pattern: str, folded: Column) -> Column:
+    """Whether a pattern is found in any case; it runs only where the folded text holds what every match must hold."""
+    test, may = filled(text).rlike(any_case(pattern)), may_match(folded, pattern)
+    return test if may is None else may & test
+
+
+def first_match(text: Column, patterns: list[tuple[str, str]], folded: Column | None = None) -> Column:
+    """Name of the first pattern found, in order; null if none. Lists may be a user's own. ``folded`` is the text's fold
+    where it is a column of its own, so that it is made once."""
+    folded = fold(filled(text)) if folded is None else folded
+    return F.coalesce(*(F.when(matches(text, p, folded), F.lit(n)) for n, p in patterns))
 
 
-def match_pii(text: Column) -> Column:
-    return first_match(text, PII)
+def match_pii(text: Column, folded: Column | None = None) -> Column:
+    return first_match(text, PII, folded)
 
 
-def match_hard_escalation(text: Column) -> Column:
-    return first_match(text, HARD)
+def match_hard_escalation(text: Column, folded: Column | None = None) -> Column:
+    return first_match(text, HARD, folded)
 
 
-def all_matches(text: Column, patterns: list[tuple[str, str]]) -> Column:
-    return F.array_compact(F.array(*(F.when(filled(text).rlike(any_case(p)), F.lit(n)) for n, p in patterns)))
+def all_matches(text: Column, patterns: list[tuple[str, str]], folded: Column | None = None) -> Column:
+    folded = fold(filled(text)) if folded is None else folded
+    return F.array_compact(F.array(*(F.when(matches(text, p, folded), F.lit(n)) for n, p in patterns)))
 
 
 def draft_defects(reply: Column) -> Column:
@@ -170,8 +181,8 @@ def adversarial_tags(text: Column) -> Column:
         ("all_caps", (F.length(text) > 20) & (upper / F.greatest(letters, F.lit(1)) > 0.7)),
         ("emoji_heavy", F.length(F.regexp_replace(text, r"[^\x{2101}-\x{10FFFF}]", "")) >= 3),
         ("multi_question", F.length(text) - F.length(F.replace(text, F.lit("?"), F.lit(""))) >= 2),
-        ("rage_markers", text.rlike(any_case(RAGE))),
-        ("multi_intent", text.rlike(any_case(MULTI_INTENT))),
+        ("rage_markers", matches(text, RAGE, fold(text))),
+        ("multi_intent", matches(text, MULTI_INTENT, fold(text))),
         ("sarcasm_marker", text.rlike(any_case(SARCASM))),
     ]
     return F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in tests)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.hashing import stable_bucket
 from ..scratch import saved
+from .position import numbered
 
 
 def with_reason(rows: DataFrame, message: str, reply: str | None = None) -> DataFrame:
@@ -98,7 +99,9 @@ def todo_anti(rows: DataFrame, done: DataFrame, keys: list[str], prefix: str, ca
 
 
 def stable_order(rows: DataFrame, prefix: str, keys: list[str], n: int | None = None) -> DataFrame:
-    """Rows with ``place`` in hash order (a stable shuffle); with ``n`` the first n."""
-    order = stable_bucket(F.concat_ws(":", F.lit(prefix), *(F.col(k).cast("string") for k in keys)), 1_000_000_000)
-    rows = rows.withColumn("order_", order)
-    return rows.drop("order_").withColumn("order_", order).orderBy("order_", *keys).limit(n) if n else rows
+    """Rows with order_, the hash that they are shuffled by; with ``n`` the first n in that order, without it every row with
+    its ``place`` from 1."""
+    rows = rows.withColumn("order_", stable_bucket(F.concat_ws(":", F.lit(prefix), *(F.col(k).cast("string") for k in keys)), 1_000_000_000))
+    if n:
+        return rows.orderBy("order_", *keys).limit(n)
+    return numbered(rows, [F.col("order_"), *map(F.col, keys)], "place").withColumn("place", F.col("place") + 1)

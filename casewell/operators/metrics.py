@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .position import running_sum
+
 
 def over(a: Column, b: Column) -> Column:
     """a / b, or 0 where b is 0."""
@@ -115,12 +117,17 @@ def tune_thresholds(rows: DataFrame, budget: float = 0.10, scores: tuple = (("co
 def kappa(rows: DataFrame, by: list[str] = (), weighted: bool = False) -> DataFrame:
     """n, raw_agreement, kappa of two raters (a, b); quadratic weights over the index of the values present if weighted.
     NaN where chance agreement is certain."""
+    return kappa_of(rows.groupBy(*by, "a", "b").agg(F.count("*").alias("o")), by, weighted)
+
+
+def kappa_of(counts: DataFrame, by: list[str] = (), weighted: bool = False) -> DataFrame:
+    """The same from counts (o) of pairs, which may be counted in parts."""
     by = list(by)
-    cells = rows.groupBy(*by, "a", "b").agg(F.count("*").alias("o"))
+    cells = counts.groupBy(*by, "a", "b").agg(F.sum("o").alias("o"))
     values = cells.select(*by, F.explode(F.array(F.col("a"), F.col("b"))).alias("v")).distinct()
     index = values.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("v") if by else Window.orderBy("v")))
-    left = rows.groupBy(*by, "a").agg(F.count("*").alias("na"))
-    right = rows.groupBy(*by, "b").agg(F.count("*").alias("nb"))
+    left = cells.groupBy(*by, "a").agg(F.sum("o").alias("na"))
+    right = cells.groupBy(*by, "b").agg(F.sum("o").alias("nb"))
     on = (lambda x, y: x.join(y, by)) if by else (lambda x, y: x.join(y, F.lit(True)))
     square = on(left, right)  # of values, not of rows
     square = square.join(index.select(*by, F.col("v").alias("a"), F.col("i").alias("ia")), [*by, "a"]).join(index.select(*by, F.col("v").alias("b"), F.col("i").alias("ib")), [*by, "b"])
@@ -134,10 +141,15 @@ def kappa(rows: DataFrame, by: list[str] = (), weighted: bool = False) -> DataFr
     return sums.select(*by, "n", (F.col("same") / F.col("n")).alias("raw_agreement"), value.alias("kappa"))
 
 
-def average_rank(rows: DataFrame, value: str, by: list[str] = ()) -> Column:
-    """Rank of a value, ties sharing their mean rank."""
-    same = Window.partitionBy(*by, value)
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(same) - 1) / 2
+def average_ranks(rows: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
+    """by, the distinct values, c_ (rows that have it) and rank_ (ties share their mean rank), from counts per value."""
+    per = rows.groupBy(*by, value).agg(F.count("*").alias("c_"))
+    if by:
+        below = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        summed = per.withColumn("sum_", F.sum("c_").over(below))
+    else:
+        summed = running_sum(per, [F.col(value)], "c_", "sum_")
+    return summed.select(*by, value, "c_", (F.col("sum_") - (F.col("c_") - 1) / 2).alias("rank_"))
 
 
 def spearman(rows: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -146,9 +158,7 @@ def spearman(rows: DataFrame, by: list[str] = ()) -> DataFrame:
     by = list(by)
     ranked = rows
     for c in ("a", "b"):
-        per = rows.groupBy(*by, c).agg(F.count("*").alias("c_"))
-        below = Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow) if by else Window.orderBy(c).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ranks = per.select(*by, c, (F.sum("c_").over(below) - (F.col("c_") - 1) / 2).alias(f"r{c}"))
+        ranks = average_ranks(rows, c, by).select(*by, c, F.col("rank_").alias(f"r{c}"))
         ranked = ranked.join(ranks, [*by, c])
     sums = ranked.groupBy(*by).agg(F.count("*").alias("n"), (F.covar_pop("ra", "rb") / F.nullif(F.stddev_pop("ra") * F.stddev_pop("rb"), F.lit(0.0))).alias("rho"), F.avg(F.col("b") - F.col("a")).alias("mean_bias"), F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1"))
     fit = (F.col("n") >= 3) & (F.col("a0") < F.col("a1")) & (F.col("b0") < F.col("b1"))

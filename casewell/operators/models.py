@@ -1,15 +1,14 @@
-"""Spark ML operators: k-means with restarts, the k sweep, out-of-fold logistic regression; baselines."""
+"""Fitted models: k-means with restarts, the k sweep, out-of-fold logistic regression; baselines."""
 
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import saved
+from . import sweep
 from .features import sparse_features, term_counts, vocabulary, weighted
 from .metrics import majority_class
 from .sample import position_folds
@@ -19,36 +18,22 @@ from .sparse_svd import sparse_rows, term_places
 CANNED_REPLY = "Sorry for the trouble! We'd like to help. Please share more details so we can look into this for you."
 
 
-def featured(vectors: DataFrame) -> DataFrame:
-    return vectors.withColumn("features", array_to_vector(F.transform("vector", lambda x: x.cast("double"))))
-
-
-def kmeans(rows: DataFrame, k: int, seed: int = 42, restarts: int = 4):
-    """The model of the lowest cost among the restarts; rows: features."""
-    models = [KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster").fit(rows) for i in range(restarts)]
-    return min(models, key=lambda m: m.summary.trainingCost)
-
-
 def kmeans_assign(vectors: DataFrame, k: int, seed: int = 42, restarts: int = 4) -> DataFrame:
-    rows = featured(vectors).select("features").persist()
-    try:
-        model = kmeans(rows, k, seed, restarts)
-    finally:
-        rows.unpersist()
-    return model.transform(featured(vectors)).select("id", F.col("cluster").cast("int").alias("cluster"))
+    """id, cluster of the model of the lowest cost among the restarts, which advance together."""
+    found = sweep.fits(vectors, [k], [seed + i for i in range(restarts)])
+    if not found:
+        return vectors.select("id", F.lit(None).cast("int").alias("cluster"))
+    return sweep.assigned(vectors, min(found.values(), key=lambda m: m[1])[0])
 
 
 def choose_k(vectors: DataFrame, ks=range(8, 24, 2), seed: int = 42, restarts: int = 4) -> DataFrame:
-    """k, silhouette (cosine, four digits, over all rows), chosen: the best score, the lowest k on ties."""
-    judge, found = ClusteringEvaluator(predictionCol="cluster", featuresCol="features", distanceMeasure="cosine"), []
-    rows = featured(vectors).select("features").persist()
-    try:
-        for k in ks:
-            found.append((int(k), round(float(judge.evaluate(kmeans(rows, k, seed, restarts).transform(rows))), 4)))
-    finally:
-        rows.unpersist()
-    best = min(found, key=lambda x: (-x[1], x[0]))[0]
-    return vectors.sparkSession.createDataFrame([(k, s, k == best) for k, s in found], "k int, silhouette double, chosen boolean")
+    """k, silhouette (cosine, four digits, over all rows), chosen: the best score, the lowest k on ties. All models of the
+    sweep advance in the same scans: at most ``sweep.ROUNDS`` + 3 of them, whatever the number of models."""
+    found = sweep.fits(vectors, list(ks), [seed + i for i in range(restarts)])
+    best = {k: min((m for (own, _), m in found.items() if own == k), key=lambda m: m[1])[0] for k in ks} if found else {}
+    scores = {k: round(s, 4) for k, s in sweep.silhouettes(vectors, best).items()} if best else {}
+    chosen = min(scores, key=lambda k: (-scores[k], k), default=None)
+    return vectors.sparkSession.createDataFrame([(int(k), scores[k], k == chosen) for k in ks if k in scores], "k int, silhouette double, chosen boolean")
 
 
 def logreg_oof(messages: DataFrame, folds: int = 5, most: int = 100_000, iterations: int = 100) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..scratch import bucketed
 
 # The reasons an annotator may give.
 REASONS = [
@@ -14,9 +15,17 @@ REASONS = [
 ]
 
 
+def response_table(responses: DataFrame, buckets: int | None = None) -> DataFrame:
+    """key, response of recorded responses in a table dealt to buckets by key, so that requests come to them and they
+    stay where they are."""
+    n = buckets or int(responses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bucketed(responses.select("key", "response").dropDuplicates(["key"]), "key", n, "responses")
+
+
 def resolve_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """request_id, provider, response of the first provider in each request's chain that has a recorded response.
-    requests: request_id, chain (array of struct(provider, key)) in order; misses have nulls."""
+    requests: request_id, chain (array of struct(provider, key)) in order; misses have nulls. A ``response_table`` is not
+    moved, other responses are shuffled by key."""
     tries = requests.select("request_id", F.posexplode_outer("chain").alias("place", "try")).select("request_id", "place", "try.provider", "try.key")
     known = responses.select("key", "response").dropDuplicates(["key"])
     ranked = tries.join(known, "key", "left").withColumn("hit", F.col("response").isNotNull())
@@ -39,11 +48,30 @@ def unfenced(response: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(response), r"^```[A-Za-z]*\s*|\s*```$", ""))
 
 
+def with_parsed(rows: DataFrame, response: str = "response", name: str = "parsed") -> DataFrame:
+    """``rows`` with the response as one VARIANT, null where it is no JSON: every validator can read that column."""
+    return rows.withColumn(name, F.try_parse_json(unfenced(F.col(response))))
+
+
+def _parsed(rows: DataFrame, response: str) -> DataFrame:
+    """``rows`` with parsed_: the response, parsed here unless it is a VARIANT already."""
+    if dict(rows.dtypes)[response] == "variant":
+        return rows.withColumn("parsed_", F.col(response))
+    return with_parsed(rows, response, "parsed_")
+
+
+def fields(parsed: Column, schema: str, marker: str | None = None) -> Column:
+    """The fields of a VARIANT as a struct of ``schema``; a field of another type is null and spoils no other. Null where
+    the response is no object. ``marker`` is a field that must be there."""
+    listed = [f.split(" ", 1) for f in schema.split(", ")]
+    row = F.struct(*(F.try_variant_get(parsed, f"$.{name}", kind).alias(name) for name, kind in listed))
+    there = F.lit(True) if marker is None else F.try_variant_get(parsed, f"$.{marker}", dict(listed)[marker]).isNotNull()
+    return F.when(F.schema_of_variant(parsed).startswith("OBJECT") & there, row)
+
+
 def parse_response(response: Column, schema: str, marker: str | None = None) -> Column:
     """The response as a struct of ``schema``; null where it is no JSON object. ``marker`` is a field that must be there."""
-    parsed = F.from_json(unfenced(response), f"{schema}, broken_ string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken_"})
-    there = parsed["broken_"].isNull() if marker is None else parsed[marker].isNotNull()
-    return F.when(parsed.isNotNull() & there, parsed)
+    return fields(F.try_parse_json(unfenced(response)), schema, marker)
 
 
 def clamp(value: Column, low, high) -> Column:
@@ -53,12 +81,13 @@ def clamp(value: Column, low, high) -> Column:
 
 def validate_classification(rows: DataFrame, names: list[str], response: str = "response") -> DataFrame:
     """intent, confidence, rationale, secondary_intent, ok, error. Labels are trimmed; unknown and missing ones become ``other`` with confidence 0."""
-    p = parse_response(F.col(response), schemas.CLASSIFICATION)
+    keep, rows = [c for c in rows.columns if c != response], _parsed(rows, response)
+    p = fields(F.col("parsed_"), schemas.CLASSIFICATION)
     intent, second = (F.regexp_replace(F.coalesce(p[c], F.lit("")), r"(?U)^\s+|\s+$", "") for c in ("intent", "secondary_intent"))
     known = p.isNotNull() & intent.isin(names)
     confidence = F.coalesce(clamp(p["confidence"].try_cast("double"), 0.0, 1.0), F.lit(0.0))
     return rows.select(
-        *[c for c in rows.columns if c != response],
+        *keep,
         F.when(known, intent).otherwise("other").alias("intent"),
         F.when(known, confidence).otherwise(0.0).alias("confidence"),
         F.substring(F.coalesce(p["rationale"], F.lit("")), 1, 300).alias("rationale"),
@@ -70,12 +99,13 @@ def validate_classification(rows: DataFrame, names: list[str], response: str = "
 
 def validate_draft(rows: DataFrame, response: str = "response", most: int = 280) -> DataFrame:
     """reply, truncated, grounded_in (blank citations dropped), uncertain, uncertainty_reason, draft_ok."""
-    p = parse_response(F.col(response), schemas.DRAFT, "reply")
+    keep, rows = [c for c in rows.columns if c != response], _parsed(rows, response)
+    p = fields(F.col("parsed_"), schemas.DRAFT, "reply")
     reply = F.trim(F.coalesce(p["reply"], F.lit("")))
     long = F.length(reply) > most
     cited = F.filter(F.coalesce(p["grounded_in"], F.array().cast("array<string>")), lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")
     return rows.select(
-        *[c for c in rows.columns if c != response],
+        *keep,
         F.when(long, F.rtrim(F.substring(reply, 1, most))).otherwise(reply).alias("reply"), long.alias("truncated"), cited.alias("grounded_in"),
         F.coalesce(p["uncertain"], F.lit(False)).alias("uncertain"), F.coalesce(p["uncertainty_reason"], F.lit("")).alias("uncertainty_reason"), (F.length(reply) > 0).alias("draft_ok"),
     )
@@ -83,12 +113,13 @@ def validate_draft(rows: DataFrame, response: str = "response", most: int = 280)
 
 def validate_judge(rows: DataFrame, reply: str = "reply", response: str = "response", model: str = "judge_model") -> DataFrame:
     """Scores clamped to 1..5 (unreadable: 1), their mean, the gate. An empty reply is all ones, not sendable, with no model."""
-    p = parse_response(F.col(response), schemas.JUDGE, "would_send")
+    keep, rows = [c for c in rows.columns if c not in (response, model)], _parsed(rows, response)
+    p = fields(F.col("parsed_"), schemas.JUDGE, "would_send")
     empty = F.trim(F.coalesce(F.col(reply), F.lit(""))) == ""
     score = {d: F.when(empty, 1).otherwise(F.coalesce(clamp(p[d].try_cast("double").cast("int"), 1, 5), F.lit(1))) for d in ("groundedness", "resolution", "tone_fit", "safety")}
     claims = F.transform(F.slice(F.coalesce(p["unsupported_claims"], F.array().cast("array<string>")), 1, 5), lambda x: F.substring(x, 1, 200))
     return rows.select(
-        *[c for c in rows.columns if c not in (response, model)], *(v.cast("int").alias(d) for d, v in score.items()),
+        *keep, *(v.cast("int").alias(d) for d, v in score.items()),
         (sum(score.values(), F.lit(0)) / 4).alias("mean_score"),
         F.when(empty, False).otherwise(F.coalesce(p["would_send"], F.lit(False))).alias("would_send"),
         F.substring(F.coalesce(p["justification"], F.lit("")), 1, 400).alias("justification"), claims.alias("unsupported_claims"),

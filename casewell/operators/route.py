@@ -45,8 +45,10 @@ def with_policy(rows: DataFrame, taxonomy: DataFrame) -> DataFrame:
 
 
 def with_patterns(rows: DataFrame, message: str = "customer_msg") -> DataFrame:
-    """hard_ and pii_ of the message in a projection of their own: each pattern runs once a row."""
-    return rows.withColumns({"hard_": T.match_hard_escalation(F.col(message)), "pii_": T.match_pii(F.col(message))})
+    """hard_ and pii_ of the message in projections of their own: a text is folded once, each pattern runs once at most."""
+    folded = F.col("folded_")
+    rows = rows.withColumn("folded_", T.fold(T.filled(F.col(message))))
+    return rows.withColumns({"hard_": T.match_hard_escalation(F.col(message), folded), "pii_": T.match_pii(F.col(message), folded)}).drop("folded_")
 
 
 def route(rows: DataFrame, taxonomy: DataFrame, tau_confidence: float = TAU_CONFIDENCE, tau_similarity: float = TAU_SIMILARITY) -> DataFrame:
@@ -61,14 +63,13 @@ def route(rows: DataFrame, taxonomy: DataFrame, tau_confidence: float = TAU_CONF
 
 def forced_escalation(rows: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """``rows`` with forced: a rule that no threshold can move escalates (blank replies are not looked at)."""
-    rows = with_policy(rows, taxonomy)
-    message = F.col("customer_msg")
-    forced = T.match_hard_escalation(message).isNotNull() | T.match_pii(message).isNotNull() | F.col("never_auto") | ~F.col("ok") | ~F.col("draft_ok") | F.col("truncated")
+    rows = with_policy(with_patterns(rows), taxonomy)
+    forced = F.col("hard_").isNotNull() | F.col("pii_").isNotNull() | F.col("never_auto") | ~F.col("ok") | ~F.col("draft_ok") | F.col("truncated")
     forced = forced | (F.size(F.coalesce("grounded_in", F.array().cast("array<string>"))) == 0) | F.col("uncertain")
-    return rows.withColumn("forced", forced).drop("never_auto", "escalation_note")
+    return rows.withColumn("forced", forced).drop("never_auto", "escalation_note", "hard_", "pii_")
 
 
-def pattern_route(message: Column) -> Column:
-    """The rule that the message alone triggers, or rules_only: what routes before any model is asked."""
-    pii = T.match_pii(message)
-    return F.coalesce(T.match_hard_escalation(message), F.when(pii.isNotNull(), F.concat(F.lit("pii_"), pii)), F.lit("rules_only"))
+def pattern_route(rows: DataFrame, message: str = "customer_msg") -> DataFrame:
+    """``rows`` with triggered_rule: what the message alone triggers, or rules_only: what routes before any model is asked."""
+    rule = F.coalesce("hard_", F.concat(F.lit("pii_"), F.col("pii_")), F.lit("rules_only"))
+    return with_patterns(rows, message).withColumn("triggered_rule", rule).drop("hard_", "pii_")

@@ -132,7 +132,7 @@ def j12(spark, d):
     requests = docs.select(F.col("doc_id").alias("request_id"), F.array(F.struct(F.lit("first").alias("provider"), key("first").alias("key")), F.struct(F.lit("second").alias("provider"), key("second").alias("key"))).alias("chain"))
     h = lambda p: stable_bucket(F.concat(F.lit(p + ":"), F.col("doc_id")), 3)
     known = docs.where(h("a") == 0).select(key("first").alias("key")).unionByName(docs.where(h("b") == 0).select(key("second").alias("key"))).withColumn("response", F.lit("{}"))
-    return responses.resolve_responses(requests, known).select("request_id", "provider")
+    return responses.resolve_responses(requests, responses.response_table(known)).select("request_id", "provider")
 
 
 @query("r10_agent_pipeline", HIT.rstrip() + f""", doc AS (SELECT doc_id, coalesce(text, '') AS customer_msg, s FROM documents JOIN (SELECT query_id AS doc_id, max(similarity) AS s FROM hits GROUP BY 1) USING (doc_id)),
@@ -147,10 +147,10 @@ def r10(spark, d):
     answers = recorded(spark, d).join(asked.select("doc_id"), "doc_id", "left_semi")
     known = answers.select(request_key({"provider": F.when(stable_bucket(F.concat(F.lit("a:"), F.col("doc_id")), 3) == 0, "first").otherwise("second"), "prompt": F.col("doc_id").cast("string"), "model": F.lit("m")}).alias("key"), "response")
     requests = asked.select(F.col("doc_id").alias("request_id"), F.array(*(F.struct(F.lit(p).alias("provider"), key(p).alias("key")) for p in ("first", "second"))).alias("chain"))
-    resolved = responses.require_all(responses.resolve_responses(requests, known)).select(F.col("request_id").alias("doc_id"), "response")
-    answered = saved(asked.join(resolved, "doc_id"), "answered")
+    resolved = responses.require_all(responses.resolve_responses(requests, responses.response_table(known))).select(F.col("request_id").alias("doc_id"), "response")
+    answered = saved(responses.with_parsed(asked.join(resolved, "doc_id")).drop("response"), "answered")  # one parse for all validators
     both = answered.withColumn("system", F.lit("agent")).unionByName(answered.withColumn("exemplars", F.slice("exemplars", 1, 0)).withColumn("system", F.lit("no_retrieval")))
-    rows = both.withColumn("draft", F.col("response"))
-    rows = responses.validate_draft(responses.validate_classification(rows, I.NAMES), "draft")
+    rows = both.withColumn("draft", F.col("parsed"))
+    rows = responses.validate_draft(responses.validate_classification(rows, I.NAMES, "parsed"), "draft")
     rows = rows.withColumn("max_similarity", R.max_similarity(F.col("exemplars")))
     return R.route(rows, I.taxonomy(spark), 0.4, 0.3).select(F.col("doc_id").alias("thread_id"), "system", "triggered_rule")

@@ -9,8 +9,9 @@ from ..operators import bootstrap as BS
 from ..operators import failures as FA
 from ..operators import metrics as M
 from ..operators import models
+from ..scratch import saved
 from . import inputs as I
-from .registry import query, with_
+from .registry import bucket_sql, query, with_
 
 O = I.OUTPUTS
 AG = "a AS (SELECT * FROM o WHERE system = 'agent')"
@@ -111,7 +112,7 @@ query("g15_spearman", WK.rstrip().rstrip(",") + RANKED + " SELECT count(*) AS n,
     lambda spark, d: rounded(M.spearman(pairs(spark, d).select(F.col("h_tone_fit").alias("a"), F.col("j_tone_fit").alias("b"))))
 )
 query("w8_average_rank", WK.rstrip().rstrip(",") + RANKED + " SELECT a, CAST(ra AS DOUBLE) AS ra, count(*) AS n FROM rk GROUP BY a, ra")(
-    lambda spark, d: (lambda r: r.withColumn("ra", M.average_rank(r, "a").cast("double")).groupBy("a", "ra").agg(F.count("*").alias("n")))(pairs(spark, d).select(F.col("h_tone_fit").alias("a")))
+    lambda spark, d: M.average_ranks(pairs(spark, d).select(F.col("h_tone_fit").alias("a")), "a").select("a", F.col("rank_").cast("double").alias("ra"), F.col("c_").alias("n"))
 )
 LONG = PAIRS.rstrip() + ", r AS (" + " UNION ALL ".join(f"SELECT '{x}' AS dimension, h_{x} AS a, j_{x} AS b FROM hj" for x in I.SCORED) + "),\n"
 query("g16_judge_agreement", LONG + kappa_sql("r", "dimension", True) + """, rk AS (SELECT *, rank() OVER (PARTITION BY dimension ORDER BY a) + (count(*) OVER (PARTITION BY dimension, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY dimension ORDER BY b) + (count(*) OVER (PARTITION BY dimension, b) - 1) / 2.0 AS rb FROM r),
@@ -215,11 +216,26 @@ query("s1_union_systems", with_(O) + "SELECT system, thread_id, action FROM o")(
 query("s2_label_universe", with_(O) + "SELECT gold AS label FROM o UNION SELECT pred FROM o")(lambda spark, d: M.label_universe(I.outputs(spark, d)).orderBy("label"))
 
 
-@query("g29_bootstrap_ci")
+HIT = "CASE WHEN gold = pred THEN 1 ELSE 0 END"
+SENT = "CASE WHEN action = 'auto' THEN 1 ELSE 0 END"
+HARM = "CASE WHEN action = 'auto' AND gold_action = 'escalate' THEN 1 ELSE 0 END"
+#: statistic: numerator, denominator, value of a replicate without denominator.
+RATIOS = {"accuracy": (HIT, "1", "NULL"), "false_auto_rate": (HARM, SENT, "0.0"), "mean_confidence": ("confidence", "1", "NULL"), "similarity_when_right": (f"max_similarity * {HIT}", HIT, "NULL")}
+DRAWN = f"""bx AS (SELECT *, {bucket_sql("concat('boot:42:', thread_id)", BS.PRIME)} AS key FROM o WHERE system = 'agent'),
+bw AS (SELECT bx.*, r.range AS r, {BS.draws_sql('key', 'r.range')} AS w FROM bx CROSS JOIN range(2000) r),
+bv AS (""" + " UNION ALL ".join(
+    f"SELECT '{name}' AS statistic, r, CASE WHEN sum(w * {under}) <> 0 THEN sum(CAST(w * {over} AS DOUBLE)) / sum(w * {under}) ELSE {empty} END AS value FROM bw GROUP BY r" for name, (over, under, empty) in RATIOS.items()
+) + """ UNION ALL SELECT 'macro_f1', r, avg(CASE WHEN sides > 0 THEN 2 * CAST(hit AS DOUBLE) / sides ELSE 0 END) FROM (SELECT r, label, sum(w * hit) AS hit, sum(w) AS sides FROM
+  (SELECT r, w, gold AS label, CASE WHEN gold = pred THEN 1 ELSE 0 END AS hit FROM bw UNION ALL SELECT r, w, pred, 0 FROM bw) GROUP BY r, label) GROUP BY r)"""
+
+
+@query("g29_bootstrap_ci", with_(O, DRAWN) + "SELECT statistic, (SELECT count(*) FROM bx) AS n, round(quantile_cont(value, 0.025), 6) AS low, round(quantile_cont(value, 0.975), 6) AS high FROM bv GROUP BY statistic")
 def g29(spark, d):
-    rows = agent(spark, d)
-    one = lambda name, cells, f: BS.bootstrap_ci(rows, cells, f).select(F.lit(name).alias("statistic"), "n", "low", "high")
-    return one("accuracy", ["gold", "pred"], BS.accuracy).unionByName(one("macro_f1", ["gold", "pred"], BS.macro_f1)).unionByName(one("false_auto_rate", ["action", "gold_action"], BS.false_auto_rate))
+    rows = saved(agent(spark, d).select("thread_id", "gold", "pred", "action", "gold_action", "confidence", "max_similarity"), "bootstrap-rows")
+    found = BS.macro_f1_ci(rows, "thread_id").withColumn("statistic", F.lit("macro_f1"))
+    for name, (over, under, empty) in RATIOS.items():
+        found = found.unionByName(BS.ratio_ci(rows, "thread_id", F.expr(over), F.expr(under), empty=None if empty == "NULL" else float(empty)).withColumn("statistic", F.lit(name)))
+    return found.select("statistic", "n", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query("m8_trivial_policies", with_(O) + f"SELECT doc_id, (SELECT concat('c', label) FROM embeddings GROUP BY label ORDER BY count(*) DESC, min(vec_id) LIMIT 1) AS intent, s.system, s.action FROM documents CROSS JOIN (VALUES ('trivial_always_auto', 'auto'), ('trivial_always_escalate', 'escalate')) s(system, action)")

@@ -158,7 +158,7 @@ query("w11_stable_subset", f"SELECT doc_id, {RELABEL} AS order_ FROM labels ORDE
     lambda spark, d: curate.stable_order(I.table(spark, d, "labels").select("doc_id"), "relabel", ["doc_id"], 50)
 )
 SHUFFLE = b("concat('humanjudge:', source, ':', doc_id)", 1_000_000_000)
-query("w10_stable_shuffle", f"SELECT source, doc_id, {SHUFFLE} AS order_ FROM documents WHERE source IS NOT NULL")(
+query("w10_stable_shuffle", f"SELECT source, doc_id, {SHUFFLE} AS order_, row_number() OVER (ORDER BY {SHUFFLE}, source, doc_id) AS place FROM documents WHERE source IS NOT NULL")(
     lambda spark, d: curate.stable_order(docs(spark, d).where("source is not null").select("source", "doc_id"), "humanjudge", ["source", "doc_id"])
 )
 query("s3_distinct_messages", f"WITH {DOCS} SELECT DISTINCT text FROM documents WHERE text IS NOT NULL")(
@@ -197,3 +197,6 @@ def w6(spark, d):
 query("w7_position_folds", f"SELECT doc_id, CAST({b(chr(99) + 'oncat(' + chr(39) + 'fold:' + chr(39) + ', doc_id)', 5)} AS INTEGER) AS fold FROM documents")(
     lambda spark, d: sample.position_folds(docs(spark, d).select("doc_id"), "doc_id")
 )
+query("w7_row_folds", "SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) % 5 AS INTEGER) AS fold FROM documents")(
+    lambda spark, d: sample.row_folds(docs(spark, d).select("doc_id"), ["doc_id"])
+)

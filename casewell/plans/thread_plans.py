@@ -161,7 +161,7 @@ def triage(spark, d):
 
     usable = built(spark, d).where(T.is_usable(F.col("customer_msg")))
     once = curate.near_dup_first(usable, "customer_msg", [F.col("thread_id").cast("long")])
-    routed = curate.hash_split(once, "thread_id").withColumn("triggered_rule", pattern_route(F.col("customer_msg")))
+    routed = pattern_route(curate.hash_split(once, "thread_id"))
     return routed.groupBy("split", "triggered_rule").agg(F.count("*").alias("n"))
 
 
@@ -180,13 +180,23 @@ def x1(spark, d):
     return spark.read.schema("conv_id long, turn long, triggered_rule string").parquet(f"{sink}/*")
 
 
-@query("x2_stream_dedupe")
+MESSAGE = "concat_ws(' ', event_type, props, CAST(user_id AS VARCHAR))"
+
+
+@query("x2_stream_dedupe", f"""WITH RECURSIVE e AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, {DEDUPE.replace('customer_msg', MESSAGE)} AS dedupe_key FROM events WHERE ts IS NOT NULL),
+w(dedupe_key, ts) AS (SELECT dedupe_key, min(ts) FROM e GROUP BY 1 UNION ALL SELECT w.dedupe_key, min(e.ts) FROM w JOIN e ON e.dedupe_key = w.dedupe_key AND e.ts >= w.ts + INTERVAL 10 DAY GROUP BY w.dedupe_key)
+SELECT min(e.event_id) AS event_id, w.dedupe_key FROM w JOIN e ON e.dedupe_key = w.dedupe_key AND e.ts = w.ts GROUP BY w.dedupe_key, w.ts""")
 def x2(spark, d):
+    """Events as a stream, driven to its end: a closing row far ahead lets the watermark pass all others."""
     files = I.table(spark, d, "events")
-    source = spark.readStream.schema(files.schema).parquet(f"{d}/events.parquet/" if _is_folder(files) else f"{d}/events.parquet*")
+    columns = files.select("event_id", "event_type", "props", "user_id", "ts")
+    end = place(spark, "stream-closing")
+    columns.limit(0).unionByName(spark.sql("SELECT -1 AS event_id, '' AS event_type, '' AS props, 0 AS user_id, TIMESTAMP '2200-01-01 00:00:00' AS ts").select(*(F.col(c).cast(t).alias(c) for c, t in columns.dtypes))).write.parquet(end)
+    stored = spark.readStream.schema(files.schema).parquet(f"{d}/events.parquet/" if _is_folder(files) else f"{d}/events.parquet*")
+    source = stored.select(*columns.columns).unionByName(spark.readStream.schema(columns.schema).parquet(end)).where("ts is not null")
     keyed = source.withColumn("message", F.concat_ws(" ", "event_type", "props", F.col("user_id").cast("string"))).withColumn("ts", F.col("ts").cast("timestamp"))
-    once = stream.stream_dedupe(keyed, "message", "ts").select("event_id", "dedupe_key")
-    return stream.run_to_end(once, f"dedupe-{uuid.uuid4().hex}", place(spark, "stream-state"), place(spark, "stream-out"))
+    once = stream.stream_dedupe(keyed, "message", "ts", "event_id", "10 days")
+    return stream.run_to_end(once, f"dedupe-{uuid.uuid4().hex}", place(spark, "stream-state"), place(spark, "stream-out")).where("id <> -1").select(F.col("id").alias("event_id"), "dedupe_key")
 
 
 def _is_folder(files) -> bool:

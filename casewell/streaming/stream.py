@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions import text as T
 from ..operators.route import pattern_route, with_policy
 from ..operators.vectors import knn_topk
 
 
-def stream_triage(messages: DataFrame, message: str = "text") -> DataFrame:
-    """Messages with triggered_rule and action from the message rules; stateless, so it runs on any source and trigger."""
-    rule = pattern_route(F.col(message))
-    return messages.withColumn("triggered_rule", rule).withColumn("action", F.when(F.col("triggered_rule") == "rules_only", "auto").otherwise("escalate"))
-
-
 def with_policy_of(messages: DataFrame, classes: DataFrame, taxonomy: DataFrame, key: str) -> DataFrame:
     """A stream's messages joined with two static tables: the class of each (key, intent) and the class's policy."""
     return with_policy(messages.join(classes.select(key, "intent"), key, "left"), taxonomy)
@@ -26,7 +22,7 @@ def route_batch(messages: DataFrame, vectors: DataFrame, history: DataFrame, key
     the history holds anything similar. Vectors (key, vector) and history (id, vector) are static."""
     asked = vectors.join(messages.select(key).distinct(), key, "left_semi").select(F.col(key).alias("query_id"), "vector")
     near = knn_topk(asked, history, 2).where("id <> query_id").groupBy(F.col("query_id").alias(key)).agg(F.max("similarity").alias("similarity"))
-    rows = messages.join(near, key, "left").withColumn("pattern_", pattern_route(F.col(message)))
+    rows = pattern_route(messages.join(near, key, "left"), message).withColumnRenamed("triggered_rule", "pattern_")
     rule = F.when(F.col("pattern_") != "rules_only", F.col("pattern_")).when(F.col("never_auto"), "never_auto_intent")
     return rows.withColumn("triggered_rule", rule.when(F.coalesce("similarity", F.lit(0.0)) < least, "low_retrieval_similarity").otherwise("rules_only")).drop("pattern_")
 
@@ -42,10 +38,66 @@ def run_batches(stream: DataFrame, handle, name: str, checkpoint: str, sink: str
     query.awaitTermination()
 
 
-def stream_dedupe(messages: DataFrame, message: str, time: str, horizon: str = "10 minutes") -> DataFrame:
-    """The first message of every dedupe key within the horizon; state older than that is dropped."""
-    keyed = messages.withColumn("dedupe_key", T.dedupe_key(F.col(message)))
-    return keyed.withWatermark(time, horizon).dropDuplicatesWithinWatermark(["dedupe_key"])
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+FIRST = "dedupe_key string, time_us long, id long"
+
+
+class FirstByTime(StatefulProcessor):
+    """Of each key the earliest message by event time and, once a horizon has passed since one was given out, the next.
+    Messages wait until the watermark has passed them, so a later one that arrives first does not win. State: what waits,
+    and the time last given out, which is forgotten when it is older than the horizon."""
+
+    def __init__(self, horizon_ms: int):
+        self.horizon = horizon_ms * 1000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "time_us long, id long")
+        self.last = handle.getValueState("last", "time_us long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        least: dict[int, int] = {}
+        for pdf in rows:
+            for t, i in zip(pdf.time_us.tolist(), pdf.id.tolist()):
+                least[t] = min(i, least.get(t, i))
+        for t, i in least.items():
+            self.waiting.appendValue((t, i))
+            self.handle.registerTimer(-(-t // 1000))
+        yield pd.DataFrame({"dedupe_key": pd.Series(dtype=str), "time_us": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted((int(t), int(i)) for t, i in self.waiting.get())
+        last = int(self.last.get()[0]) if self.last.exists() else None
+        out, later = [], [r for r in rows if r[0] > passed]
+        for t, i in rows:
+            if t <= passed and (last is None or t >= last + self.horizon):
+                out.append((key[0], t, i))
+                last = t
+        if later:
+            self.waiting.put(later)
+        else:
+            self.waiting.clear()
+        if last is not None:
+            if passed >= last + self.horizon:
+                self.last.clear()
+            else:
+                self.last.update((last,))
+                self.handle.registerTimer(-(-(last + self.horizon) // 1000))
+        yield pd.DataFrame(out, columns=["dedupe_key", "time_us", "id"]).astype({"time_us": "int64", "id": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_dedupe(messages: DataFrame, message: str, time: str, id_column: str, horizon: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
+    """dedupe_key, time_us, id of the first message of every key by event time, and of the first one a horizon or more after
+    it, and so on; ties go to the smaller id. Messages later than ``delay`` behind the newest are dropped."""
+    spark = messages.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    millis = int(pd.Timedelta(horizon).total_seconds() * 1000)
+    keyed = messages.withWatermark(time, delay).select(T.dedupe_key(F.col(message)).alias("dedupe_key"), F.unix_micros(F.col(time)).alias("time_us"), F.col(id_column).cast("long").alias("id"), F.col(time).alias("time"))
+    return keyed.groupBy("dedupe_key").transformWithStateInPandas(FirstByTime(millis), FIRST, "Append", "EventTime")
 
 
 def run_to_end(stream: DataFrame, name: str, checkpoint: str, sink: str) -> DataFrame:
