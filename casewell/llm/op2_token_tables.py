@@ -95,7 +95,8 @@ def read_tables(manifest: DataFrame, digest: bool = False) -> DataFrame:
 
 
 def lookup(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Ids of the wanted identifiers: the manifest's ranges choose files; Bloom filter and index choose a block."""
+    """Ids of the wanted identifiers: a binary search among the files' first and last identifiers chooses files, all those
+    that can hold one and no others; Bloom filter and index choose a block."""
 
     def find(batches):
         from .sstable import Reader
@@ -108,19 +109,25 @@ def lookup(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(found), pa.int64()), pa.array([x.tolist() for x in found], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
-    # an equality join on spans of identifiers: a file is in every span that it reaches into, at most two per file on average
-    ranges = manifest.select("file", "first_id", "last_id")
-    low, high, n_files = ranges.agg(F.min(F.coalesce("first_id", "last_id")), F.max("last_id"), F.count("*")).first()
-    low, high = (low, high) if high is not None else (0, 0)
-    width = max(1, -(-(high - low + 1) // max(1, n_files)))
-    span = lambda c: F.floor((F.col(c) - low) / width)
-    inside = ranges.where("last_id is not null").withColumn("first", F.coalesce("first_id", F.lit(low)))
-    inside = inside.withColumn("span", F.explode(F.sequence(span("first"), span("last_id"))))
+    def choose(batches):
+        first, last, shards = held.value
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            # files are in order of identifiers: those that reach up to one, up to those that start at or before it
+            low, high = np.searchsorted(last, ids, "left"), np.searchsorted(first, ids, "right")
+            n = np.maximum(0, high - low)
+            row = np.repeat(np.arange(len(ids)), n)
+            at = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(shards[at].astype(np.int64))], ["wanted", "shard"])
+
+    ranges = manifest.select(F.col("shard").cast("long").alias("shard"), "file", "first_id", "last_id")
+    # two identifiers and a number per file, so as many rows as there were writing tasks, whatever the identifiers are
+    bounds = ranges.where("last_id is not null").select("shard", F.coalesce("first_id", F.lit(-(1 << 63))).alias("first"), "last_id").orderBy("shard").toPandas()
+    held = manifest.sparkSession.sparkContext.broadcast((bounds["first"].to_numpy(np.int64), bounds["last_id"].to_numpy(np.int64), bounds["shard"].to_numpy(np.int64)))
     asked = wanted.select(F.col("doc_id").cast("long").alias("wanted")).distinct()
-    hits = asked.where(F.col("wanted").between(low, high)).withColumn("span", span("wanted")).join(inside, "span").where("wanted between first and last_id").select("wanted", "file")
-    null_files = ranges.where("first_id is null").select("file")
+    hits = asked.where("wanted is not null").mapInArrow(choose, "wanted long, shard long").join(ranges.select("shard", "file"), "shard").select("wanted", "file")
     if not asked.where("wanted is null").isEmpty():
-        hits = hits.unionByName(null_files.select(F.lit(None).cast("long").alias("wanted"), "file"))
+        hits = hits.unionByName(ranges.where("first_id is null").select(F.lit(None).cast("long").alias("wanted"), "file"))
     return hits.repartition("file").mapInArrow(find, "doc_id long, ids array<long>")
 
 

@@ -133,6 +133,20 @@ def test_token_tables_lookup_of_null_and_repeated_ids(spark, word_vocabulary, mo
     assert got == {None: 20, 5: 40, 7: 1, 10**12: 1}
 
 
+def test_token_tables_lookup_with_an_outlying_id(spark, word_vocabulary, monkeypatch):
+    monkeypatch.setattr(op2_token_tables, "LEAST_DOCS", 8)
+    monkeypatch.setattr(op2_token_tables, "MOST_DOCS", 8)
+    rows = [(i, f"text {i}") for i in range(300)] + [(10**15, "far out")]
+    manifest = op2_token_tables.write_tables(spark.createDataFrame(rows, "doc_id long, text string"), word_vocabulary)
+    assert manifest.count() > 20
+    wanted = spark.createDataFrame([(i,) for i in range(0, 300, 3)] + [(10**15,), (10**14,)], "doc_id long")
+    found = op2_token_tables.lookup(manifest, wanted)
+    assert Counter(r.doc_id for r in found.collect()) == Counter([*range(0, 300, 3), 10**15])
+    # every wanted identifier meets one file, not all of them
+    files = manifest.select("first_id", "last_id").collect()
+    assert max(sum(f.first_id <= i <= f.last_id for f in files) for i in range(0, 300, 3)) == 1
+
+
 def test_token_tables_of_nothing(none, word_vocabulary):
     assert op2_token_tables.read_tables(op2_token_tables.write_tables(none, word_vocabulary)).count() == 0
 
