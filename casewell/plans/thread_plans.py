@@ -35,6 +35,14 @@ def built(spark, d):
 query("a1_scan_structure", f"WITH {I.LOG} SELECT id, author, inbound, parent FROM log")(lambda spark, d: io.scan_structure(I.message_log(spark, d)))
 
 
+@query("a1_csv_ingest", f"WITH {I.LOG} SELECT id, author, inbound, parent, created_at, coalesce(text, '') AS text FROM log")
+def a1_csv(spark, d):
+    """The log written as CSV lines and read back by its declared schema, in as many tasks as its bytes ask for."""
+    folder = place(spark, "log-csv")
+    io.write_message_log(I.message_log(spark, d), folder)
+    return io.read_message_log(spark, folder, multi_line=False).withColumn("text", F.coalesce("text", F.lit("")))
+
+
 @query("a2_scan_text_for_ids", f"{REC}, {I.OWNED} SELECT l.id, l.created_at, l.text FROM owned JOIN roots USING (root) JOIN log l USING (id)")
 def a2(spark, d):
     """The second scan: text only of messages in threads that a brand owns."""

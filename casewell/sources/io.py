@@ -8,11 +8,28 @@ from pyspark.sql import functions as F
 from .. import schemas
 
 
-def read_message_log(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV log with header tweet_id, author_id, inbound, created_at, text, response_tweet_id, in_response_to_tweet_id."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    parent = F.col("in_response_to_tweet_id").cast("double").cast("long")
-    return raw.select(F.col("tweet_id").cast("long").alias("id"), F.col("author_id").alias("author"), (F.lower("inbound") == "true").alias("inbound"), parent.alias("parent"), "created_at", "text")
+def read_message_log(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A CSV log with header, of the declared columns. Texts may hold line feeds in quotes, so that a file is read by one
+    task; logs whose texts hold none (``write_message_log`` can write such) are split at any line: ``multi_line`` False."""
+    raw = spark.read.schema(schemas.LOG_FILE).options(header=True, multiLine=multi_line, escape='"', enforceSchema=True).csv(path)
+    text = F.col("text") if multi_line else _unbroken(F.col("text"), back=True)
+    parent = F.col("in_response_to_tweet_id").cast("long")
+    return raw.select(F.col("tweet_id").alias("id"), F.col("author_id").alias("author"), (F.lower("inbound") == "true").alias("inbound"), parent.alias("parent"), "created_at", text.alias("text"))
+
+
+def _unbroken(text: Column, back: bool = False) -> Column:
+    """The text on one line: line feeds and returns as backslash and letter, a backslash as two; and back."""
+    if not back:
+        return F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+    held = F.replace(text, F.lit("\\\\"), F.lit("\x00"))  # no text file holds a zero character
+    return F.replace(F.replace(F.replace(held, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")), F.lit("\x00"), F.lit("\\"))
+
+
+def write_message_log(log: DataFrame, path: str, one_line: bool = True) -> None:
+    """The log as CSV with the reader's columns; with ``one_line`` every row is one line, so files can be split."""
+    text = _unbroken(F.col("text")) if one_line else F.col("text")
+    rows = log.select(F.col("id").alias("tweet_id"), F.col("author").alias("author_id"), F.col("inbound").cast("string").alias("inbound"), "created_at", text.alias("text"), F.lit(None).cast("string").alias("response_tweet_id"), F.col("parent").cast("double").alias("in_response_to_tweet_id"))
+    rows.write.options(header=True, quoteAll=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def scan_structure(log: DataFrame) -> DataFrame:

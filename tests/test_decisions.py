@@ -103,3 +103,17 @@ def test_csv_log_and_blank_lines(spark, tmp_path):
     assert rows[2].parent == 1 and not rows[2].inbound and rows[1].parent is None and rows[2].text == "a, b\nc"
     (tmp_path / "x.json").write_text('{"thread_id": "1"}\n\n{"thread_id": "2"}\n')
     assert io.read_json_lines(spark, str(tmp_path / "x.json"), "thread_id string").where(F.col("thread_id").isNotNull()).count() == 2
+
+
+def test_message_log_on_single_lines_can_be_split(spark, tmp_path):
+    from casewell.sources import io
+
+    texts = ["a, \"b\"\nc", "back\\slash\\n", "cr\r\nlf", "  spaces  ", "\\\\x", "ünï"]
+    rows = spark.createDataFrame([(i, "u", True, i - 1 if i else None, "t", t) for i, t in enumerate(texts)], "id long, author string, inbound boolean, parent long, created_at string, text string")
+    for one_line in (True, False):
+        folder = str(tmp_path / f"log-{one_line}")
+        io.write_message_log(rows.coalesce(1), folder, one_line)
+        got = io.read_message_log(spark, folder, multi_line=not one_line)
+        assert {r.id: r.text for r in got.collect()} == dict(enumerate(texts)) and {r.id: r.parent for r in got.collect()} == {0: None, **{i: i - 1 for i in range(1, 6)}}
+    plan = io.scan_structure(io.read_message_log(spark, folder))._jdf.queryExecution().executedPlan().toString()
+    assert "created_at" not in plan[plan.index("ReadSchema") :]
