@@ -268,9 +268,14 @@ class Search:
         q = queries.repartition(max(8, self.blocks), "k1").mapInPandas(visits, f"t int, cells array<int>, least double, guess double, done double, old double, k1 long, k2 long, v {self.kind}")
         q = q.withColumn("cell", F.explode("cells")).drop("cells").join(F.broadcast(self.parts), ["t", "cell"])
         q = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("block", F.pmod("k1", F.lit(self.blocks)).cast("int")).drop("parts")
-        m = self.members.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1)))) if self.blocks > 1 else self.members.withColumn("block", F.lit(0))
+        if self.blocks > 1:  # a cell goes only to the blocks of queries that visit it
+            q = saved(q, "hash-visits")
+            seen = q.select(F.col("t").alias("vt"), F.col("cell").alias("vc"), F.col("block").alias("for_block")).distinct()
+            m = self.members.join(seen, (F.col("t") == F.col("vt")) & (F.col("cell") == F.col("vc"))).drop("vt", "vc")
+        else:
+            m = self.members.withColumn("for_block", F.lit(0))
         key = ["t", "cell", "part", "block"]
-        return saved(q.groupBy(*key).cogroup(m.groupBy(*key)).applyInPandas(score, FOUND), "hash-found")
+        return saved(q.groupBy(*key).cogroup(m.groupBy(*key[:3], "for_block")).applyInPandas(score, FOUND), "hash-found")
 
     def nearest(self) -> DataFrame:
         merged = self.found.groupBy("q1", "q2", "c1", "c2").agg(F.max("near").alias("near"), F.min("first").alias("first"))

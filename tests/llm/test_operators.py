@@ -742,3 +742,16 @@ def test_posterior_equals_a_plain_product_of_odds():
                 z += model.odds[j][int(row[model.parent[j]]) if model.parent[j] != j else 1]
         assert got == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-5)
     assert ((model.posterior(votes, lexical) > 0.5) == toxic).mean() > 0.93
+
+
+# ---- 8, several blocks of queries
+def test_blocks_of_queries_change_no_neighbours(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    centres = draw.standard_normal((40, 16))
+    m = centres[draw.integers(0, 40, 2400)] + 0.1 * draw.standard_normal((2400, 16))
+    rows = spark.createDataFrame([(i, v.astype(np.float32).tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<float>")
+    found = []
+    for block in (op8_multiprobe.QUERY_BLOCK, 20):
+        monkeypatch.setattr(op8_multiprobe, "QUERY_BLOCK", block)
+        found.append(sorted((r.query_id, r["rank"], r.vec_id) for r in op8_multiprobe.nearest(rows).collect()))
+    assert found[0] == found[1] and len(found[0]) == 48 * 5
