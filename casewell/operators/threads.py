@@ -19,32 +19,45 @@ def last_per_id(log: DataFrame, position: str | None = None) -> DataFrame:
     return log.groupBy("id").agg(F.max_by(F.struct(*columns), order).alias("x")).select("id", "x.*")
 
 
-def _settle(edges: DataFrame, rounds: int) -> DataFrame:
-    """Pointer doubling over (id, parent; null at a terminal): id, at, done."""
+#: Doublings between two written tables.
+DOUBLINGS = 2
+
+
+def _doubled(now: DataFrame) -> DataFrame:
+    """Pointers of (id, at, done) moved as far again; a pointer to an absent id has ended."""
+    ahead = now.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("done").alias("end"))
+    moved = now.where("not done").join(ahead, "at", "left")
+    moved = moved.select("id", F.coalesce("next", "at").alias("at"), F.coalesce("end", F.lit(True)).alias("done"))
+    return now.where("done").unionByName(moved)
+
+
+def _settle(edges: DataFrame) -> tuple[DataFrame, bool]:
+    """Pointer doubling over (id, parent; null at a terminal): id, at, done; whether all are done. As many rounds as the
+    number of rows asks for, which the first count of open pointers gives along."""
     now = saved(edges.select("id", F.coalesce("parent", "id").alias("at"), F.col("parent").isNull().alias("done")), "pointers")
-    for _ in range(rounds):
-        if not now.where("not done").limit(1).count():
-            break
-        ahead = now.select(F.col("id").alias("at"), F.col("at").alias("next"), F.col("done").alias("end"))
-        moved = now.where("not done").join(ahead, "at", "left")
-        moved = moved.select("id", F.coalesce("next", "at").alias("at"), F.coalesce("end", F.lit(True)).alias("done"))
-        now = saved(now.where("done").unionByName(moved), "pointers")
-    return now
+    n, left = now.agg(F.count("*"), F.count_if(~F.col("done"))).first()
+    rounds = max(1, math.ceil(math.log2(n + 2)) + 1)
+    while left and rounds > 0:
+        for _ in range(DOUBLINGS):
+            now = _doubled(now)
+        rounds -= DOUBLINGS
+        now = saved(now, "pointers")
+        left = now.where("not done").count()
+    return now, not left
 
 
 def thread_roots(log: DataFrame) -> DataFrame:
     """id, root of every message. A chain that leaves the log ends at the absent id; a message on a cycle is its
     own root, one that leads into a cycle gets the node where it enters."""
     edges = log.select("id", "parent").groupBy("id").agg(F.max("parent").alias("parent"))
-    rounds = max(1, math.ceil(math.log2(edges.count() + 2)) + 1)
-    first = _settle(edges, rounds)
-    loose = first.where("not done")
-    if not loose.limit(1).count():
+    first, settled = _settle(edges)
+    if settled:
         return first.select("id", F.col("at").alias("root"))
+    loose = first.where("not done")
     # after so many steps exactly the nodes on cycles are pointed at; they end the walks of the rest
     cycle = saved(loose.select(F.col("at").alias("id")).distinct().withColumn("on_cycle", F.lit(True)), "cycles")
     cut = edges.join(loose.select("id"), "id").join(cycle, "id", "left").select("id", F.when(F.col("on_cycle").isNull(), F.col("parent")).alias("parent"))
-    rest = _settle(cut, rounds)
+    rest, _ = _settle(cut)
     return first.where("done").unionByName(rest).select("id", F.col("at").alias("root"))
 
 
@@ -53,7 +66,8 @@ def cycle_groups(log: DataFrame, roots: DataFrame) -> DataFrame:
     links = log.select("id", F.col("parent").alias("next")).join(roots.where("id = root").select("id"), "id").where("next is not null")
     links = links.join(roots.where("id = root").select(F.col("id").alias("next")), "next")
     now = saved(links.select("id", "next", F.least("id", "next").alias("low")), "cycle-walk")
-    for _ in range(max(1, math.ceil(math.log2(now.count() + 2)) + 1)):
+    n = now.count()
+    for _ in range(max(1, math.ceil(math.log2(n + 2)) + 1) if n else 0):
         ahead = now.select(F.col("id").alias("next"), F.col("next").alias("far"), F.col("low").alias("far_low"))
         now = saved(now.join(ahead, "next").select("id", F.col("far").alias("next"), F.least("low", "far_low").alias("low")), "cycle-walk")
     return now.select(F.col("id").alias("root"), F.col("low").alias("group"))
