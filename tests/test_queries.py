@@ -94,14 +94,28 @@ def test_sweep_tries_every_k_of_the_survey(spark, sf):
 
 
 def test_kmeans_does_four_restarts(spark, sf, monkeypatch):
-    from casewell.operators import models
+    from casewell.operators import sweep
 
-    seeds, fit = [], models.KMeans.fit
-    monkeypatch.setattr(models.KMeans, "fit", lambda self, rows: seeds.append(self.getSeed()) or fit(self, rows))
+    seeds, fits = [], sweep.fits
+    monkeypatch.setattr(sweep, "fits", lambda rows, ks, own: seeds.extend(own) or fits(rows, ks, own))
     catalogue.QUERIES["m4_kmeans"](spark, sf)
     assert len(set(seeds)) == 4
 
 
+def test_outputs_follow_their_tables(spark, sf, tmp_path):
+    import shutil
+
+    from casewell.plans import inputs
+
+    for name in ("embeddings", "documents", "labels"):
+        shutil.copy(f"{sf}/{name}.parquet", tmp_path / f"{name}.parquet")
+    before = inputs.outputs(spark, str(tmp_path)).count()
+    some = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").limit(60).toPandas()
+    some.to_parquet(tmp_path / "embeddings.parquet")
+    spark.catalog.refreshByPath(str(tmp_path / "embeddings.parquet"))
+    assert before > inputs.outputs(spark, str(tmp_path)).count() == 120
+
+
 def test_stream_dedupe_drops_repeats(spark, sf):
     rows = catalogue.QUERIES["x2_stream_dedupe"](spark, sf)
     total = spark.read.parquet(f"{sf}/events.parquet").count()

@@ -77,7 +77,7 @@ def test_tags_and_defects(spark):
 def test_language(spark):
     assert one(spark, T.is_probably_english, "where is my order please it was not here")
     assert not one(spark, T.is_probably_english, "wo ist mein paket und ich habe nicht die nummer")
-    assert one(spark, T.is_probably_english, "ur app shows expected delivery on 25th")
+    assert one(spark, T.is_probably_english, "u said the parcel would get here on monday")
     assert one(spark, T.latin_ratio, "") == 0.0 and not one(spark, T.is_usable, "short")
 
 
