@@ -141,7 +141,7 @@ def validate_annotation(rows: DataFrame, names: list[str], never_auto: list[str]
 
 def build_prompts(rows: DataFrame, taxonomy_block: str, head: str = "Classify the message and draft a reply.") -> DataFrame:
     """``rows`` with prompt: instructions, classes, numbered precedents and the message."""
-    lines = F.transform("exemplars", lambda e, i: F.format_string("E%d (similarity %.2f) customer: %s | reply: %s", i + 1, e["similarity"], e["customer_msg"], e["brand_reply"]))
+    lines = F.transform("exemplars", lambda e, i: F.format_string("E%d (similarity %s) customer: %s | reply: %s", i + 1, F.call_function("format_number", e["similarity"], F.lit("0.00")), e["customer_msg"], e["brand_reply"]))
     shown = F.coalesce(F.nullif(F.array_join(lines, "\n"), F.lit("")), F.lit("(no precedent)"))
     return rows.withColumn("prompt", F.concat_ws("\n\n", F.lit(head), F.lit(taxonomy_block), shown, F.concat(F.lit("Message: "), F.col("customer_msg"))))
 
