@@ -168,8 +168,8 @@ def all_matches(text: Column, patterns: list[tuple[str, str]], folded: Column |
     return F.array_compact(F.array(*(F.when(matches(text, p, folded), F.lit(n)) for n, p in patterns)))
 
 
-def draft_defects(reply: Column) -> Column:
-    return all_matches(reply, DEFECTS)
+def draft_defects(reply: Column, folded: Column | None = None) -> Column:
+    return all_matches(reply, DEFECTS, folded)
 
 
 def adversarial_tags(text: Column) -> Column:

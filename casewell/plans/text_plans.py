@@ -69,9 +69,12 @@ TAGS = f"""list_filter([CASE WHEN length(text) < 40 THEN 'very_short' END, CASE
 per_doc("t16_adversarial_tags", lambda: F.array_join(T.adversarial_tags(F.col("text")), ","), f"array_to_string({TAGS}, ',')")
 DRAFTED = "CASE doc_id % 5 WHEN 0 THEN concat('Hi [Customer Name], ', text) WHEN 1 THEN concat(text, ' please share your order id') WHEN 2 THEN concat('We will update you within 24 hours. ', text) WHEN 3 THEN '[URL] TODO handled by a human agent' ELSE text END"
 DEFECT_CASES = ", ".join(f"CASE WHEN {matches_sql(DRAFTED, p)} THEN '{n}' END" for n, p in T.DEFECTS)
-query("t17_draft_defects", f"WITH {DOCS}, e AS (SELECT doc_id, list_filter([{DEFECT_CASES}], lambda x: x IS NOT NULL) AS found FROM d) SELECT doc_id, unnest(found) AS defect FROM e")(
-    lambda spark, d: docs(spark, d).select("doc_id", F.explode(T.draft_defects(F.expr(DRAFTED.replace("text", "coalesce(text, '')")))).alias("defect"))
-)
+@query("t17_draft_defects", f"WITH {DOCS}, e AS (SELECT doc_id, list_filter([{DEFECT_CASES}], lambda x: x IS NOT NULL) AS found FROM d) SELECT doc_id, unnest(found) AS defect FROM e")
+def t17(spark, d):
+    """Drafts and their folds are columns of their own, so that each is made once and not for every condition on it."""
+    drafts = docs(spark, d).select("doc_id", F.expr(DRAFTED.replace("text", "coalesce(text, '')")).alias("reply"))
+    drafts = drafts.withColumn("folded_", T.fold(F.col("reply")))
+    return drafts.select("doc_id", F.explode(T.draft_defects(F.col("reply"), F.col("folded_"))).alias("defect"))
 
 
 GREETINGS = ["Hi Anna, ", "hello THERE, so sorry, Anna! ", "We are so sorry about that, Mark! ", "Hey Petra, ", "DEAR mark: ", "Good day. "]
