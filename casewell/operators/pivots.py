@@ -110,8 +110,8 @@ class PivotIndex:
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """query_id, id, similarity of the k nearest and some more."""
         asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
-        # one small file of queries would be one task
-        asked = asked.repartition(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        # one small file of queries would be one task; written, for what makes the queries would run in every step below
+        asked = saved(asked.repartition(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "pivot-asked")
         first = self._visit(asked.withColumn("reach", F.lit(None).cast("double")), k)
         best = first.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list("similarity"), asc=False), k, 1).alias("s"))  # at most FIRST x k
         kth = F.when(F.size("s") == 1, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("s")[0]))).otherwise(F.lit(2.0))

@@ -63,21 +63,31 @@ def _block_topk(k: int):
     return best
 
 
+class Neighbours:
+    """Exact top-k of one corpus (id, vector) for any number of searches: a corpus of more than one block gets a pivot index,
+    which is made once and of which queries visit only the shells that can hold a neighbour; a smaller one is scored as it
+    is, by blocks of queries. No pair of rows passes the driver."""
+
+    def __init__(self, corpus: DataFrame):
+        ship(corpus.sparkSession)
+        self.corpus = corpus
+        self.index = PivotIndex(corpus) if corpus.count() > CORPUS_BLOCK else None
+
+    def topk(self, queries: DataFrame, k: int = 5) -> DataFrame:
+        """query_id, id, similarity, rank: the k most similar corpus rows by cosine, exactly; ties to smaller ids."""
+        if self.index:
+            return ranked(self.index.search(queries, k), k)
+        n_q = max(1, -(-queries.count() // QUERY_BLOCK))
+        q = queries.select("query_id", F.col("vector").alias("asked"), F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("qb"))
+        c = self.corpus.select("id", F.col("vector").alias("held"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
+        # names differ by side: both may come from one table, and a cogroup would take their columns for the same
+        scored = q.groupBy("qb").cogroup(c.groupBy("qb")).applyInPandas(_block_topk(k), "query_id long, id long, similarity double")
+        return ranked(scored, k)
+
+
 def knn_topk(queries: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, id, similarity, rank: the k most similar corpus rows by cosine, exactly; ties to smaller ids. A corpus of
-    more than one block gets a pivot index, which is shuffled once and of which queries visit only the shells that can
-    hold a neighbour; a smaller one is scored as it is, by blocks of queries. No pair of rows passes the driver."""
-    ship(queries.sparkSession)
-    n_c = max(1, -(-corpus.count() // CORPUS_BLOCK))
-    if n_c > 1:
-        return ranked(PivotIndex(corpus).search(queries, k), k)
-    n_q = max(1, -(-queries.count() // QUERY_BLOCK))
-    spread = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    q = queries.select("query_id", F.col("vector").alias("asked"), F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("qb"), spread("cb", n_c))
-    c = corpus.select("id", F.col("vector").alias("held"), F.pmod(F.xxhash64("id"), F.lit(n_c)).cast("int").alias("cb"), spread("qb", n_q))
-    # names differ by side: both may come from one table, and a cogroup would take their columns for the same
-    scored = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(_block_topk(k), "query_id long, id long, similarity double")
-    return ranked(scored, k)
+    """One search (``Neighbours``)."""
+    return Neighbours(corpus).topk(queries, k)
 
 
 def topk_per_query(scored: DataFrame, k: int) -> DataFrame:

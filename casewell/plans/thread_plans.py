@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import curate
 from ..operators import threads as TH
+from ..operators.vectors import Neighbours
 from ..scratch import folder
 from ..sources import io
 from ..streaming import stream
@@ -181,7 +182,7 @@ def x1(spark, d):
     """User turns as a stream: joined with static classes and their policy, retrieval in every micro-batch."""
     files, sink = I.table(spark, d, "conversations"), place(spark, "stream-out")
     source = spark.readStream.schema(files.schema).parquet(f"{d}/conversations.parquet/" if _is_folder(files) else f"{d}/conversations.parquet*")
-    vectors, history = I.vectors(spark, d).withColumnRenamed("id", "conv_id"), I.split_vectors(spark, d)[1].select("id", "vector")
+    vectors, history = I.vectors(spark, d).withColumnRenamed("id", "conv_id"), Neighbours(I.split_vectors(spark, d)[1].select("id", "vector"))
     classes = vectors.select("conv_id", F.concat(F.lit("c"), F.col("cluster")).alias("intent"))
     judged = stream.with_policy_of(source.where("role = 'user'"), classes, I.taxonomy(spark), "conv_id")
     stream.run_batches(judged, lambda rows: stream.route_batch(rows, vectors, history, "conv_id").select("conv_id", "turn", "triggered_rule"), f"triage-{uuid.uuid4().hex}", place(spark, "stream-state"), sink)

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions import text as T
 from ..operators.route import pattern_route, with_policy
-from ..operators.vectors import knn_topk
+from ..operators.vectors import Neighbours
 
 
 def with_policy_of(messages: DataFrame, classes: DataFrame, taxonomy: DataFrame, key: str) -> DataFrame:
@@ -17,11 +17,11 @@ def with_policy_of(messages: DataFrame, classes: DataFrame, taxonomy: DataFrame,
     return with_policy(messages.join(classes.select(key, "intent"), key, "left"), taxonomy)
 
 
-def route_batch(messages: DataFrame, vectors: DataFrame, history: DataFrame, key: str, message: str = "text", least: float = 0.3) -> DataFrame:
+def route_batch(messages: DataFrame, vectors: DataFrame, history: Neighbours, key: str, message: str = "text", least: float = 0.3) -> DataFrame:
     """A micro-batch of messages with similarity and triggered_rule: patterns first, then the class's policy, then whether
-    the history holds anything similar. Vectors (key, vector) and history (id, vector) are static."""
+    the history holds anything similar. Vectors (key, vector) and history are static: all batches search the same index."""
     asked = vectors.join(messages.select(key).distinct(), key, "left_semi").select(F.col(key).alias("query_id"), "vector")
-    near = knn_topk(asked, history, 2).where("id <> query_id").groupBy(F.col("query_id").alias(key)).agg(F.max("similarity").alias("similarity"))
+    near = history.topk(asked, 2).where("id <> query_id").groupBy(F.col("query_id").alias(key)).agg(F.max("similarity").alias("similarity"))
     rows = pattern_route(messages.join(near, key, "left"), message).withColumnRenamed("triggered_rule", "pattern_")
     rule = F.when(F.col("pattern_") != "rules_only", F.col("pattern_")).when(F.col("never_auto"), "never_auto_intent")
     return rows.withColumn("triggered_rule", rule.when(F.coalesce("similarity", F.lit(0.0)) < least, "low_retrieval_similarity").otherwise("rules_only")).drop("pattern_")
