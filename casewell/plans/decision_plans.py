@@ -142,7 +142,8 @@ SELECT doc_id AS thread_id, s.system, CASE WHEN hard IS NOT NULL THEN hard WHEN
 def r10(spark, d):
     """Retrieve, resolve along two providers, validate and route whole documents; the ablation is the same plan with an empty exemplar array."""
     found = exemplars(spark, d).select(F.col("query_id").alias("doc_id"), "exemplars")
-    asked = I.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("customer_msg")).join(found, "doc_id")
+    # written, for requests, responses and answers all start from these rows, and the search would run for each
+    asked = saved(I.pool_documents(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("customer_msg")).join(found, "doc_id"), "asked")
     key = lambda p: request_key({"provider": F.lit(p), "prompt": F.col("doc_id").cast("string"), "model": F.lit("m")})
     answers = recorded(spark, d).join(asked.select("doc_id"), "doc_id", "left_semi")
     known = answers.select(request_key({"provider": F.when(stable_bucket(F.concat(F.lit("a:"), F.col("doc_id")), 3) == 0, "first").otherwise("second"), "prompt": F.col("doc_id").cast("string"), "model": F.lit("m")}).alias("key"), "response")

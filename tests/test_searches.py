@@ -1,9 +1,10 @@
-"""What a search is made from is made once: the index of a stream's history, and the queries."""
+"""What a search is made from is made once: the index of a stream's history, and the queries; texts that no query has stay."""
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from casewell.operators import pivots, vectors
+from casewell.plans import inputs
 from casewell.streaming import stream
 
 
@@ -51,3 +52,12 @@ def test_queries_are_made_once(spark):
     asked = rows.where("id < 20").withColumnRenamed("id", "query_id").mapInArrow(counted, "query_id long, vector array<double>")
     assert pivots.ranked(pivots.PivotIndex(rows, 32).search(asked, 3), 3).count() == 60
     assert seen.value == 20
+
+
+def test_pool_documents_hold_every_query_and_few_others(spark, sf):
+    kept = inputs.pool_documents(spark, sf)
+    every = inputs.table(spark, sf, "documents")
+    asked = inputs.split_vectors(spark, sf)[0].select(F.col("query_id").alias("doc_id"))
+    assert kept.join(asked, "doc_id").count() == every.join(asked, "doc_id").count() > 0
+    assert 0 < kept.count() < 0.2 * every.count()
+    assert "bucket" not in kept.columns and kept.where("text is null").count() <= every.where("text is null").count()
