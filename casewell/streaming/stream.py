@@ -40,56 +40,63 @@ def run_batches(stream: DataFrame, handle, name: str, checkpoint: str, sink: str
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FIRST = "dedupe_key string, time_us long, id long"
+#: Buckets of keys that share a state.
+BUCKETS = 4096
 
 
 class FirstByTime(StatefulProcessor):
     """Of each key the earliest message by event time and, once a horizon has passed since one was given out, the next.
-    Messages wait until the watermark has passed them, so a later one that arrives first does not win. State: what waits,
-    and the time last given out, which is forgotten when it is older than the horizon."""
+    Messages wait until the watermark has passed them, so a later one that arrives first does not win. Keys are dealt to
+    buckets, whose state is read and written in one go, for a call per key takes far longer than its rows. State of a
+    bucket: what waits, a row for each batch, and the times last given out, which are forgotten when they are older than the horizon."""
 
     def __init__(self, horizon_ms: int):
         self.horizon = horizon_ms * 1000
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "time_us long, id long")
-        self.last = handle.getValueState("last", "time_us long")
+        self.waiting = handle.getListState("waiting", "dedupe_key array<string>, time_us array<long>, id array<long>")
+        self.last = handle.getListState("last", "dedupe_key string, time_us long")
 
     def handleInputRows(self, key, rows, timerValues):
-        least: dict[int, int] = {}
-        for pdf in rows:
-            for t, i in zip(pdf.time_us.tolist(), pdf.id.tolist()):
-                least[t] = min(i, least.get(t, i))
-        for t, i in least.items():
-            self.waiting.appendValue((t, i))
-            self.handle.registerTimer(-(-t // 1000))
-        yield pd.DataFrame({"dedupe_key": pd.Series(dtype=str), "time_us": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64")})
+        rows = pd.concat([_none(), *rows]).groupby(["dedupe_key", "time_us"], as_index=False).id.min()
+        if len(rows):
+            self.waiting.appendValue(tuple(rows[c].tolist() for c in rows.columns))
+            self.handle.registerTimer(-(-int(rows.time_us.min()) // 1000))
+        yield _none()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted((int(t), int(i)) for t, i in self.waiting.get())
-        last = int(self.last.get()[0]) if self.last.exists() else None
-        out, later = [], [r for r in rows if r[0] > passed]
-        for t, i in rows:
-            if t <= passed and (last is None or t >= last + self.horizon):
-                out.append((key[0], t, i))
-                last = t
-        if later:
-            self.waiting.put(later)
+        rows, last = sorted((t, i, k) for many in self.waiting.get() for k, t, i in zip(*many)), dict(self.last.get())
+        held, out, later = bool(last), [], [r for r in rows if r[0] > passed]
+        for t, i, k in rows[: len(rows) - len(later)]:
+            if k not in last or t >= last[k] + self.horizon:
+                out.append((k, t, i))
+                last[k] = t
+        if len(later) < len(rows):
+            self._keep(self.waiting, [([k for _, _, k in later], [t for t, _, _ in later], [i for _, i, _ in later])] if later else [])
+        last = {k: t for k, t in last.items() if passed < t + self.horizon}
+        if held or last:
+            self._keep(self.last, list(last.items()))
+        for due in [t for t, _, _ in later[:1]] + ([min(last.values()) + self.horizon] if last else []):
+            self.handle.registerTimer(-(-due // 1000))
+        yield pd.concat([_none(), pd.DataFrame(out, columns=["dedupe_key", "time_us", "id"]).astype({"time_us": "int64", "id": "int64"})])
+
+    @staticmethod
+    def _keep(state, rows: list[tuple]) -> None:
+        if rows:
+            state.put(rows)
         else:
-            self.waiting.clear()
-        if last is not None:
-            if passed >= last + self.horizon:
-                self.last.clear()
-            else:
-                self.last.update((last,))
-                self.handle.registerTimer(-(-(last + self.horizon) // 1000))
-        yield pd.DataFrame(out, columns=["dedupe_key", "time_us", "id"]).astype({"time_us": "int64", "id": "int64"})
+            state.clear()
 
     def close(self) -> None:
         pass
 
 
+def _none() -> pd.DataFrame:
+    return pd.DataFrame({"dedupe_key": pd.Series(dtype=str), "time_us": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64")})
+
+
 def stream_dedupe(messages: DataFrame, message: str, time: str, id_column: str, horizon: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
     """dedupe_key, time_us, id of the first message of every key by event time, and of the first one a horizon or more after
     it, and so on; ties go to the smaller id. Messages later than ``delay`` behind the newest are dropped."""
@@ -97,7 +104,8 @@ def stream_dedupe(messages: DataFrame, message: str, time: str, id_column: str,
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     millis = int(pd.Timedelta(horizon).total_seconds() * 1000)
     keyed = messages.withWatermark(time, delay).select(T.dedupe_key(F.col(message)).alias("dedupe_key"), F.unix_micros(F.col(time)).alias("time_us"), F.col(id_column).cast("long").alias("id"), F.col(time).alias("time"))
-    return keyed.groupBy("dedupe_key").transformWithStateInPandas(FirstByTime(millis), FIRST, "Append", "EventTime")
+    dealt = keyed.withColumn("bucket", F.pmod(F.xxhash64("dedupe_key"), F.lit(BUCKETS)).cast("int"))
+    return dealt.groupBy("bucket").transformWithStateInPandas(FirstByTime(millis), FIRST, "Append", "EventTime")
 
 
 def run_to_end(stream: DataFrame, name: str, checkpoint: str, sink: str) -> DataFrame:
