@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..scratch import saved
 from . import sweep
-from .features import sparse_features, term_counts, vocabulary, weighted
+from .features import sparse_features, sparse_weights, term_totals, vocabulary
 from .metrics import majority_class
 from .sample import position_folds
-from .sparse_svd import sparse_rows, term_places
+from .sparse_svd import term_places
 
 #: Fixed value: the canned reply.
 CANNED_REPLY = "Sorry for the trouble! We'd like to help. Please share more details so we can look into this for you."
@@ -41,7 +41,7 @@ def logreg_oof(messages: DataFrame, folds: int = 5, most: int = 100_000, iterati
     frequent terms, every row predicted by a model whose vocabulary, weights and coefficients come from the other folds.
     messages: id, label (text), message. Messages without a known term are predicted from the intercepts."""
     rows = saved(position_folds(messages.select("id", "label", "message"), "id", folds), "oof-rows")
-    counts = saved(term_counts(rows, "message").join(rows.select("id", "fold"), "id"), "oof-terms")
+    totals = saved(term_totals(rows, "message", "fold").groupBy("part", "term").agg(F.sum("df").alias("df"), F.sum("total").alias("total")), "oof-terms")
     sizes = rows.groupBy("label", "fold").agg(F.count("*").alias("n")).toPandas()  # one row per class and fold
     labels = sorted(sizes.label.unique())
     number = F.element_at(F.create_map(*(F.lit(x) for i, name in enumerate(labels) for x in (name, float(i)))), F.col("label"))
@@ -50,11 +50,9 @@ def logreg_oof(messages: DataFrame, folds: int = 5, most: int = 100_000, iterati
         own = sizes[sizes.fold != k].groupby("label").n.sum()
         n = int(own.sum())
         weight = F.element_at(F.create_map(*(F.lit(x) for name, c in own.items() for x in (name, n / (len(own) * float(c))))), F.col("label"))
-        terms = term_places(vocabulary(counts.where(F.col("fold") != k), n, 1, most))
-        packed = sparse_rows(weighted(counts.drop("fold"), terms.select("term", "idf")), terms)
-        none = [F.coalesce("places", F.array().cast("array<int>")).alias("places"), F.coalesce("values", F.array().cast("array<double>")).alias("values")]
-        every = rows.select("id", "label", "fold", number.alias("number"), weight.alias("weight")).join(packed, "id", "left").select("id", "label", "fold", "number", "weight", *none)
-        full = sparse_features(every, max(1, terms.count()))
+        terms = term_places(vocabulary(totals.where(F.col("part") != k), n, 1, most))
+        every = rows.select("id", "label", "fold", number.alias("number"), weight.alias("weight"), "message")
+        full = sparse_features(sparse_weights(every, "message", terms), max(1, terms.count()))
         model = LogisticRegression(standardization=False, regParam=1.0 / max(1, n), weightCol="weight", labelCol="number", maxIter=iterations).fit(full.where(F.col("fold") != k))
         pred = F.element_at(F.array(*map(F.lit, labels)), (F.col("prediction") + 1).cast("int"))
         one = model.transform(full.where(F.col("fold") == k)).select("id", "label", pred.alias("pred"), F.array_max(vector_to_array("probability")).alias("confidence"), "fold")
