@@ -17,6 +17,9 @@ from .sparse_svd import term_places
 #: Fixed value: the canned reply.
 CANNED_REPLY = "Sorry for the trouble! We'd like to help. Please share more details so we can look into this for you."
 
+#: MB of rows that a task of the regression multiplies at a time: each such block also costs a pass over classes x terms numbers.
+BLOCK_MB = 32.0
+
 
 def kmeans_assign(vectors: DataFrame, k: int, seed: int = 42, restarts: int = 4) -> DataFrame:
     """id, cluster of the model of the lowest cost among the restarts, which advance together."""
@@ -53,7 +56,7 @@ def logreg_oof(messages: DataFrame, folds: int = 5, most: int = 100_000, iterati
         terms = term_places(vocabulary(totals.where(F.col("part") != k), n, 1, most))
         every = rows.select("id", "label", "fold", number.alias("number"), weight.alias("weight"), "message")
         full = sparse_features(sparse_weights(every, "message", terms), max(1, terms.count()))
-        model = LogisticRegression(standardization=False, regParam=1.0 / max(1, n), weightCol="weight", labelCol="number", maxIter=iterations).fit(full.where(F.col("fold") != k))
+        model = LogisticRegression(standardization=False, regParam=1.0 / max(1, n), weightCol="weight", labelCol="number", maxIter=iterations, maxBlockSizeInMB=BLOCK_MB).fit(full.where(F.col("fold") != k))
         pred = F.element_at(F.array(*map(F.lit, labels)), (F.col("prediction") + 1).cast("int"))
         one = model.transform(full.where(F.col("fold") == k)).select("id", "label", pred.alias("pred"), F.array_max(vector_to_array("probability")).alias("confidence"), "fold")
         out = one if out is None else out.unionByName(one)
